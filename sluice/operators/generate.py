@@ -31,7 +31,7 @@ def _name(field: str, fallback: str, naming: NamingOptions) -> str:
 
 def file_name_col():
     """The file name of ``__file`` (a URI), decoded."""
-    return F.url_decode(F.element_at(F.split(F.col(FILE), "/"), -1))
+    return F.url_decode(F.try_element_at(F.split(F.col(FILE), "/"), F.lit(-1)))
 
 
 def now_text(now: dt.datetime | None = None) -> str:
