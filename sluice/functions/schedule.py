@@ -41,11 +41,16 @@ def _int(c: Column, default: int) -> Column:
 
 
 def next_run(
-    mode: Column, base: Column, *, amount: Column = F.lit(None), unit: Column = F.lit(None),
-    time: Column = F.lit(None), weekday: Column = F.lit(None), day: Column = F.lit(None),
-    month: Column = F.lit(None), start_at: Column = F.lit(""), end_at: Column = F.lit(""),
-    last_run_at: Column = F.lit(""),
+    mode: Column, base: Column, *, amount: Column | None = None, unit: Column | None = None,
+    time: Column | None = None, weekday: Column | None = None, day: Column | None = None,
+    month: Column | None = None, start_at: Column | None = None, end_at: Column | None = None,
+    last_run_at: Column | None = None,
 ) -> Column:
+    def opt(c: Column | None, default=None) -> Column:
+        return F.lit(default) if c is None else c
+
+    amount, unit, time, weekday, day, month = (opt(c) for c in (amount, unit, time, weekday, day, month))
+    start_at, end_at, last_run_at = (opt(c, "") for c in (start_at, end_at, last_run_at))
     base = base.cast("timestamp_ntz")
     start, end, last = _ts(start_at), _ts(end_at), _ts(last_run_at)
     b = F.when(start.isNotNull() & (base < start), start).otherwise(base)

@@ -99,8 +99,11 @@ def align_to_table(spark: SparkSession, table: str, df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _write_new(df: DataFrame, table: str, fmt: str = "parquet") -> None:
-    df.write.format(fmt).mode("overwrite").saveAsTable(table)
+def _write_new(df: DataFrame, table: str, fmt: str = "parquet", root: str = "") -> None:
+    w = df.write.format(fmt).mode("overwrite")
+    if root:
+        w = w.option("path", f"{root.rstrip('/')}/{table}")
+    w.saveAsTable(table)
 
 
 def _count(spark: SparkSession, table: str) -> int:
@@ -168,7 +171,7 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
     exists = table_exists(spark, table)
     if mode == "rebuild" or not exists:
         typed = cast_columns(data, types).observe(obs, F.count(F.lit(1)).alias("n"))
-        _write_new(typed, table, fmt)
+        _write_new(typed, table, fmt, o.location_root)
         result.rows_written = int(obs.get["n"])
         expected = result.rows_written
     elif mode in {"append", "overwrite"}:
@@ -192,7 +195,7 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
         ins_aligned = inserts.select(*[F.col(q(c)) if c in inserts.columns else F.lit(None).alias(c) for c in tfields])
         ins_aligned = ins_aligned.select(*[F.col(q(f.name)).cast(f.dataType).alias(f.name) for f in table_columns(spark, table)])
         content = updated.unionByName(ins_aligned)
-        _write_new(content, staging, fmt)
+        _write_new(content, staging, fmt, o.location_root)
         n_src = src.observe(src_obs, F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1))).first()[0]
         result.rows_inserted = int(ins_obs.get["n"])
         result.rows_updated = int(n_src) - result.rows_inserted

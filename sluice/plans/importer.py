@@ -109,22 +109,23 @@ def resume_key(spark: SparkSession, path: str, table: str, mode: str) -> str:
     return hashlib.sha1(raw.encode("utf-8")).hexdigest()
 
 
-def _checkpoint_rows(spark: SparkSession, key: str) -> int:
-    if not table_exists(spark, CHECKPOINT_TABLE):
+def checkpoint_rows(spark: SparkSession, key: str, table: str = CHECKPOINT_TABLE) -> int:
+    """Rows of a file already loaded by an interrupted run (LOAD-9)."""
+    if not table_exists(spark, table):
         return 0
-    row = spark.table(CHECKPOINT_TABLE).where(F.col("key") == key).agg(F.max("rows_done")).first()
+    row = spark.table(table).where(F.col("key") == key).agg(F.max("rows_done")).first()
     return int(row[0] or 0)
 
 
-def set_checkpoint(spark: SparkSession, key: str, rows_done: int) -> None:
+def set_checkpoint(spark: SparkSession, key: str, rows_done: int, table: str = CHECKPOINT_TABLE, root: str = "") -> None:
     """Record rows already loaded for a file (LOAD-9): an upsert on ``key``."""
     df = spark.createDataFrame([(key, dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), int(rows_done))],
                                "key string, updated_at string, rows_done long")
-    load(spark, df, CHECKPOINT_TABLE, LoadOptions(mode="update", verify=False), ["key"])
+    load(spark, df, table, LoadOptions(mode="update", verify=False, location_root=root), ["key"])
 
 
-def clear_checkpoint(spark: SparkSession, key: str) -> None:
-    set_checkpoint(spark, key, 0)
+def clear_checkpoint(spark: SparkSession, key: str, table: str = CHECKPOINT_TABLE, root: str = "") -> None:
+    set_checkpoint(spark, key, 0, table, root)
 
 
 @dataclass
@@ -166,7 +167,7 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
                 done = 0
                 if s.load.resume and s.load.mode != "update":
                     key = resume_key(spark, f, table, s.load.mode)
-                    done = _checkpoint_rows(spark, key)
+                    done = checkpoint_rows(spark, key)
                     if done:
                         df = df.where(F.col(RN) > done)
                 res = load(spark, df, table, s.load, prepared.keys)

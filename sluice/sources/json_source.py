@@ -82,8 +82,10 @@ def root_elements(content: Column, row_tag: str = "") -> Column:
         F.when(F.lit(bool(row_tag)) & F.array_contains(keys, F.lit(row_tag or "")), tagged),
         first_list,
     )
+    lines = F.filter(F.split(text, "\\r?\\n"), lambda ln: F.trim(ln) != "")
     return (
         F.when(text.startswith("["), F.from_json(text, "array<string>"))
+        .when(text.startswith("{") & raw.isNull(), lines)   # JSON lines
         .when(chosen.isNotNull(), F.from_json(chosen, "array<string>"))
         .otherwise(F.array(text))
     )
