@@ -629,6 +629,7 @@ def stream_ingest(spark, sf_dir):
     ingest_folder(spark, f"{inbox}/*", cols, t, f"{root}/ck", load_options=opts).awaitTermination()
     export_frame(ev.where(~F.col("event_type").isin("view", "click")), inbox, "batch2", ExportOptions(fmt="csv"))
     ingest_folder(spark, f"{inbox}/*", cols, t, f"{root}/ck", load_options=opts).awaitTermination()
+    spark.catalog.refreshTable(t)
     return spark.table(t)
 
 

@@ -46,16 +46,18 @@ def ingest_folder(
         .load(folder)
         .select(*columns,
                 F.col("_metadata.file_path").alias(FILE),
-                F.col("_metadata.file_block_start").alias(BLOCK),
-                F.monotonically_increasing_id().alias(POS))
+                F.col("_metadata.file_block_start").alias(BLOCK))
     )
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        numbered = number_rows(batch)
+        # inside a micro-batch the frame is a plain batch scan of the new files
+        numbered = number_rows(batch.withColumn(POS, F.monotonically_increasing_id()))
         cleaned = clean(numbered, clean_options)
-        load(spark, cleaned, table, load_options, keys or columns[:1])
+        # the micro-batch runs in the stream's own session: use it for the
+        # catalog too, so its relation cache sees the files just written
+        load(batch.sparkSession, cleaned, table, load_options, keys or columns[:1])
 
     writer = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
