@@ -24,8 +24,11 @@ def double_to_text(c: Column) -> Column:
     sign = F.when(F.regexp_extract(java, "E(-?)", 1) == "-", F.lit("-")).otherwise(F.lit("+"))
     sci = F.concat(mant, F.lit("e"), sign, F.lpad(exp, 2, "0"))
     a = F.abs(c)
+    # Between 1e-3 and 1e7 Java and Python print the same shortest digits in
+    # the same layout: one cast, no regex (the common case).
     return (
         F.when(c.isNull(), F.lit(""))
+        .when((a >= 1e-3) & (a < 1e7), java)
         .when(F.isnan(c), F.lit("nan"))
         .when(c == float("inf"), F.lit("inf"))
         .when(c == float("-inf"), F.lit("-inf"))

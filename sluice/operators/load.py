@@ -164,11 +164,17 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
         table = chosen
     cols = visible_columns(df)
     data = df.select(*[F.col(q(c)) for c in cols])
-    types = infer_types(data, o.type_mode)
+    exists = table_exists(spark, table)
+    if mode == "rebuild" or not exists:
+        types = infer_types(data, o.type_mode)
+    else:
+        # an existing table's types win: infer only columns it lacks
+        have = {f.name for f in table_columns(spark, table)}
+        new = [c for c in cols if c not in have]
+        types = infer_types(data, o.type_mode, new) if new else {}
     obs = Observation(f"load_{uuid.uuid4().hex[:8]}")
     result = LoadResult(table, mode)
 
-    exists = table_exists(spark, table)
     if mode == "rebuild" or not exists:
         typed = cast_columns(data, types).observe(obs, F.count(F.lit(1)).alias("n"))
         _write_new(typed, table, fmt, o.location_root)

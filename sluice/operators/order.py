@@ -28,7 +28,15 @@ FILE = "__file"
 BLOCK = "__blk"
 POS = "__pos"
 RN = "__rn"
-HIDDEN = (FILE, BLOCK, POS, RN)
+LB = "__lb"
+HIDDEN = (FILE, BLOCK, POS, RN, LB)
+
+# Logical blocks: consecutive row-number ranges of one file.  Order-sensitive
+# steps (fill-down, renumbering) group by (file, logical block), so a group is
+# bounded whatever the physical layout (one huge row group, one huge file) and
+# there are enough groups to keep every core busy.
+MIN_BLOCK_ROWS = 10_000
+MAX_BLOCK_ROWS = 10_000_000
 
 # Broadcast bound for driver-built side tables (rows).  A per-block row is a
 # path plus a few longs, so 200,000 rows stay well under 64 MB.
@@ -88,39 +96,61 @@ def block_stats(df: DataFrame, extra_aggs: list[Column] | None = None) -> DataFr
     )
 
 
+def logical_block_rows(spark, total_rows: int) -> int:
+    """Rows per logical block: about four blocks per core, within fixed bounds."""
+    cores = max(int(spark.sparkContext.defaultParallelism), 1)
+    return int(min(max(-(-total_rows // (4 * cores)), MIN_BLOCK_ROWS), MAX_BLOCK_ROWS))
+
+
 def number_rows(df: DataFrame, keep_total: bool = False) -> DataFrame:
-    """Add ``__rn`` (1-based row number within the file) without moving data.
+    """Add ``__rn`` (1-based row number within the file) and ``__lb`` (its
+    logical block) without moving data.
 
     ``df`` must carry ``__file``, ``__blk`` and a dense in-block ``__pos``.
     With ``keep_total`` the file's row count is kept as ``__total``.
     """
     stats, _ = bounded_side(block_stats(df))
+    total = stats.agg(F.sum("__n")).first()[0] or 0
+    size = logical_block_rows(df.sparkSession, int(total))
     cols = ["__off", "__first"] + (["__total"] if keep_total else [])
     joined = df.join(stats.select(FILE, BLOCK, *cols), [FILE, BLOCK], "inner")
     out = joined.withColumn(RN, F.col("__off") + (F.col(POS) - F.col("__first")) + F.lit(1))
+    out = out.withColumn(LB, F.floor((F.col(RN) - 1) / F.lit(size)).cast("long"))
     return out.drop("__off", "__first")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Co-locate logical blocks (hash on file and block) when the input has
+    fewer partitions than cores; a later window over (file, block) then needs
+    no further exchange.  Large inputs keep their scan partitioning."""
+    if LB not in df.columns:
+        return df
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(FILE, LB)
+
+
 def renumber_survivors(df: DataFrame) -> DataFrame:
     """Dense 1-based ``__rn`` per file over rows that survived a filter or a
     de-duplication, keeping their original order.
 
-    Blocks are bounded (one file split each), so the in-block window is a
-    shuffle into evenly sized groups; offsets come from the small per-block table.
+    Logical blocks are bounded row ranges, so the in-block window is a shuffle
+    into evenly sized groups; offsets come from the small per-block table.
+    Row numbers stay dense but logical blocks keep their original ranges.
     """
-    stats = df.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("__n"))
-    per_file = Window.partitionBy(FILE).orderBy(BLOCK)
+    stats = df.groupBy(FILE, LB).agg(F.count(F.lit(1)).alias("__n"))
+    per_file = Window.partitionBy(FILE).orderBy(LB)
     stats = stats.select(
-        FILE, BLOCK,
+        FILE, LB,
         F.coalesce(
             F.sum("__n").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("__off"),
     )
     stats, _ = bounded_side(stats)
-    in_block = Window.partitionBy(FILE, BLOCK).orderBy(RN)
+    in_block = Window.partitionBy(FILE, LB).orderBy(RN)
     ranked = df.withColumn("__i", F.row_number().over(in_block))
     return (
-        ranked.join(stats, [FILE, BLOCK], "inner")
+        ranked.join(stats, [FILE, LB], "inner")
         .withColumn(RN, F.col("__off") + F.col("__i"))
         .drop("__off", "__i")
     )
