@@ -116,7 +116,7 @@ def number_rows(df: DataFrame, keep_total: bool = False) -> DataFrame:
     joined = df.join(stats.select(FILE, BLOCK, *cols), [FILE, BLOCK], "inner")
     out = joined.withColumn(RN, F.col("__off") + (F.col(POS) - F.col("__first")) + F.lit(1))
     out = out.withColumn(LB, F.floor((F.col(RN) - 1) / F.lit(size)).cast("long"))
-    return out.drop("__off", "__first")
+    return spread(out.drop("__off", "__first"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -13,9 +13,17 @@ from pyspark.sql import types as T
 
 from sluice.operators.order import visible_columns
 
-# The number patterns of the contract (whole-cell match).
+# The number patterns of the contract (whole-cell match).  Digits
+# are Unicode digits; the ASCII forms are tried first because they are cheap.
 INT_PATTERN = "^(?U)[-+]?\\d+$"
 REAL_PATTERN = "^(?U)[-+]?(\\d+(\\.\\d*)?|\\.\\d+)$"
+ASCII_INT = "^[-+]?[0-9]+$"
+ASCII_REAL = "^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$"
+_ASCII_ONLY = "^[\\x00-\\x7F]*$"
+
+
+def _matches(v, ascii_pattern: str, unicode_pattern: str):
+    return F.when(v.rlike(ascii_pattern), F.lit(True)).when(v.rlike(_ASCII_ONLY), F.lit(False)).otherwise(v.rlike(unicode_pattern))
 LONG_DIGITS = 18
 
 
@@ -33,11 +41,12 @@ def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = N
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         nonempty = v.isNotNull() & (v != "")
+        is_int = nonempty & _matches(v, ASCII_INT, INT_PATTERN)
         aggs += [
             F.count_if(nonempty).alias(f"n{i}"),
-            F.count_if(nonempty & v.rlike(INT_PATTERN)).alias(f"i{i}"),
-            F.count_if(nonempty & v.rlike(REAL_PATTERN)).alias(f"r{i}"),
-            F.max(F.when(nonempty & v.rlike(INT_PATTERN), F.length(F.regexp_replace(v, "^[-+]", "")))).alias(f"d{i}"),
+            F.count_if(is_int).alias(f"i{i}"),
+            F.count_if(nonempty & _matches(v, ASCII_REAL, REAL_PATTERN)).alias(f"r{i}"),
+            F.max(F.when(is_int, F.length(v) - F.when(v.startswith("-") | v.startswith("+"), 1).otherwise(0))).alias(f"d{i}"),
         ]
     row = df.agg(*aggs).first()
     out: dict[str, T.DataType] = dict(fixed)
