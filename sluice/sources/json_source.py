@@ -2,70 +2,83 @@
 
 Root handling: an array of objects; or a root object whose ``row_tag`` key,
 else first list-valued key (document order), holds the rows; else the object
-itself.  Non-objects are dropped.  Objects are flattened one level
-(``parent_child``), lists become JSON text, scalars become contract text
-(``True``, ``3``, ``1.5``, ``1e+20``), null becomes "".  Columns are the union of
-keys in first-seen order.
-
-All parsing is JVM-side (``from_json`` keeps raw nested text and document key
-order; ``map<string,variant>`` keeps scalar types).  A JSON document is one
-file, so scale comes from many files, each parsed by its own task.
+itself; JSON lines are read line by line.  Non-objects are dropped.  Objects
+are flattened one level (``parent_child``), lists become JSON text, scalars
+become contract text (``True``, ``3``, ``1.5``, ``1e+20``), null becomes "".
+Columns are the union of keys in first-seen order.
+
+Root resolution is JVM-side (``from_json`` as ``array<string>`` keeps each
+element's raw text); each object is then flattened by Python's json parser in
+Arrow batches.  A JSON document is one file, so scale comes from many files.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.functions.totext import double_to_text
 from sluice.operators.order import BLOCK, FILE, POS
 
-ENTRY = "__entries"
 
 
-def variant_text(v: Column) -> Column:
-    """A JSON scalar (as variant) in the contract's text form."""
-    t = F.schema_of_variant(v)
-    dbl = double_to_text(v.cast("double"))
-    return (
-        F.when(v.isNull() | (t == "VOID"), F.lit(""))
-        .when(t == "BOOLEAN", F.when(v.cast("boolean"), F.lit("True")).otherwise(F.lit("False")))
-        .when(t.startswith("DECIMAL") & t.endswith(",0)"), v.cast("string"))
-        .when(t.startswith("DECIMAL") | (t == "DOUBLE") | (t == "FLOAT"), dbl)
-        .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
-        .otherwise(v.cast("string"))
-    )
+def _cell_text(value) -> str:
+    """The contract's value-to-text for parsed JSON values."""
+    if value is None:
+        return ""
+    return str(value)
+
 
+def _flatten_object(obj: dict) -> tuple[list[str], list[str]]:
+    """One-level flatten: child dicts -> ``parent_child``, lists -> JSON text."""
+    names, values = [], []
+    for key, value in obj.items():
+        name = str(key)
+        if isinstance(value, dict):
+            for ck, cv in value.items():
+                names.append(f"{name}_{ck}")
+                values.append(_cell_text(cv))
+        elif isinstance(value, list):
+            names.append(name)
+            values.append(json.dumps(value, ensure_ascii=False))
+        else:
+            names.append(name)
+            values.append(_cell_text(value))
+    return names, values
 
-def object_entries(obj_text: Column) -> Column:
-    """Ordered array<struct<name,value>> of one JSON object, flattened one level."""
-    keys = F.json_object_keys(obj_text)
-    raw = F.from_json(obj_text, "map<string,string>")
-    typed = F.from_json(obj_text, "map<string,variant>")
-
-    def one(k):
-        rv = F.try_element_at(raw, k)
-        tv = F.try_element_at(typed, k)
-        kind = F.schema_of_variant(tv)
-        child_raw = F.from_json(rv, "map<string,string>")
-        child_typed = F.from_json(rv, "map<string,variant>")
-        children = F.transform(
-            F.json_object_keys(rv),
-            lambda ck: F.struct(
-                F.concat(k, F.lit("_"), ck).alias("name"),
-                F.when(F.schema_of_variant(F.try_element_at(child_typed, ck)).startswith("OBJECT")
-                       | F.schema_of_variant(F.try_element_at(child_typed, ck)).startswith("ARRAY"),
-                       F.try_element_at(child_raw, ck))
-                .otherwise(variant_text(F.try_element_at(child_typed, ck))).alias("value"),
-            ),
-        )
-        single = F.array(F.struct(
-            k.alias("name"),
-            F.when(kind.startswith("ARRAY"), rv).otherwise(variant_text(tv)).alias("value"),
-        ))
-        return F.when(kind.startswith("OBJECT"), children).otherwise(single)
-
-    return F.flatten(F.transform(keys, one))
+
+def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
+    """Add ``__names`` / ``__values``: the flattened fields of each JSON object
+    in ``obj_col``, in document order.
+
+    Python's own parser gives the exact text forms (``True``, ``1e+20``, nested
+    values as Python text) that no built-in expression reproduces; it runs as
+    an Arrow-batched ``mapInPandas`` on the partitions Spark already has.
+    """
+    schema = T.StructType(df.schema.fields + [
+        T.StructField("__names", T.ArrayType(T.StringType())), T.StructField("__values", T.ArrayType(T.StringType())),
+    ])
+    pos = df.columns.index(obj_col)
+
+    def run(batches):
+        for pdf in batches:
+            names_col, values_col = [], []
+            for text in pdf.iloc[:, pos]:
+                try:
+                    obj = json.loads(text) if text is not None else None
+                except ValueError:
+                    obj = None
+                if isinstance(obj, dict):
+                    n, v = _flatten_object(obj)
+                else:
+                    n, v = [], []
+                names_col.append(n)
+                values_col.append(v)
+            yield pdf.assign(__names=names_col, __values=values_col)
+
+    return df.mapInPandas(run, schema)
 
 
 def root_elements(content: Column, row_tag: str = "") -> Column:
@@ -97,10 +110,10 @@ def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[D
     ``order_cols`` give first-seen order of keys (e.g. file, position).  Only
     the distinct key names (with their first position) reach the driver.
     """
-    withe = df.where(F.ltrim(F.col(json_col)).startswith("{")).withColumn(ENTRY, object_entries(F.col(json_col)))
+    withe = with_entries(df.where(F.ltrim(F.col(json_col)).startswith("{")), json_col)
     names = (
-        withe.select(*order_cols, F.posexplode(ENTRY).alias("__kp", "__e"))
-        .groupBy(F.col("__e.name").alias("name"))
+        withe.select(*order_cols, F.posexplode("__names").alias("__kp", "name"))
+        .groupBy("name")
         .agg(F.min(F.struct(*[F.col(c) for c in order_cols], F.col("__kp"))).alias("__first"))
         .orderBy("__first")
         .collect()
@@ -108,8 +121,8 @@ def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[D
     keys = [r["name"] for r in names]
     def cell(k: str) -> Column:
         # a later duplicate name wins, as with a dict assignment
-        hits = F.filter(F.col(ENTRY), lambda e: e["name"] == F.lit(k))
-        return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
+        from_end = F.array_position(F.reverse(F.col("__names")), F.lit(k))
+        return F.when(from_end > 0, F.try_element_at(F.col("__values"), -from_end.cast("int"))).otherwise(F.lit(""))
 
     cells = [cell(k).alias(f"c{i + 1}") for i, k in enumerate(keys)]
     keep = [c for c in df.columns if c != json_col]
