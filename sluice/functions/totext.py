@@ -13,28 +13,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _shortest_sci(c: Column) -> Column:
+    """Shortest round-tripping digits of a double as ``d.ddde+XX`` (15-17 digits)."""
+    cands = [F.format_string(f"%.{p - 1}e", c) for p in (15, 16, 17)]
+    return F.coalesce(*[F.when(x.cast("double") == c, x) for x in cands[:2]], cands[2])
+
+
 def double_to_text(c: Column) -> Column:
-    java = c.cast("string")                      # shortest digits, Java layout
-    fixed = c.cast("decimal(38,21)").cast("string")
-    fixed = F.regexp_replace(fixed, "0+$", "")
-    fixed = F.regexp_replace(fixed, "\\.$", ".0")
-    mant = F.regexp_extract(java, "^(-?[0-9.]+)E", 1)
-    mant = F.regexp_replace(mant, "\\.0$", "")
-    exp = F.regexp_extract(java, "E(-?)([0-9]+)$", 2)
-    sign = F.when(F.regexp_extract(java, "E(-?)", 1) == "-", F.lit("-")).otherwise(F.lit("+"))
-    sci = F.concat(mant, F.lit("e"), sign, F.lpad(exp, 2, "0"))
+    java = c.cast("string")                      # Java digits and layout
+    sci = _shortest_sci(c)
+    pat = "^(-?)([0-9])\\.?([0-9]*)e([+-][0-9]+)$"
+    sign = F.regexp_extract(sci, pat, 1)
+    digits = F.regexp_replace(F.concat(F.regexp_extract(sci, pat, 2), F.regexp_extract(sci, pat, 3)), "0+$", "")
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    exp = F.regexp_extract(sci, pat, 4).cast("int")
+    n = F.length(digits)
+    whole = F.concat(F.rpad(digits, exp + 1, "0"), F.lit(".0"))
+    split = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    fixed = F.when(exp < 0, small).when(n <= exp + 1, whole).otherwise(split)
+    mant = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+    sci_py = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    precise = F.concat(sign, F.when((exp >= -4) & (exp < 16), fixed).otherwise(sci_py))
     a = F.abs(c)
-    # Between 1e-3 and 1e7 Java and Python print the same shortest digits in
-    # the same layout: one cast, no regex (the common case).
+    # Between 1e-3 and 1e7 a short Java string (at most 15 digits) is already
+    # Python's repr: one cast, no formatting (the common case).
     return (
         F.when(c.isNull(), F.lit(""))
-        .when((a >= 1e-3) & (a < 1e7), java)
+        .when((a >= 1e-3) & (a < 1e7) & (F.length(java) <= 16), java)
         .when(F.isnan(c), F.lit("nan"))
         .when(c == float("inf"), F.lit("inf"))
         .when(c == float("-inf"), F.lit("-inf"))
         .when(c == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
-        .when((a >= 1e-4) & (a < 1e16), fixed)
-        .otherwise(sci)
+        .otherwise(precise)
     )
 
 
