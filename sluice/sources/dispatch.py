@@ -33,7 +33,7 @@ def read_units(spark: SparkSession, paths: list[str], o: ReadOptions) -> Iterato
     elif suffix == ".dbf":
         from sluice.sources.dbf import read_dbf
 
-        df, keys = read_dbf(spark, paths)
+        df, keys = read_dbf(spark, paths, o.encoding)
         yield df, keys, ""
     elif suffix in {".xlsx", ".xlsm"}:
         from sluice.sources.workbook import read_workbook_units
