@@ -158,6 +158,7 @@ class _Reader(DataSourceReader):
         self.paths = json.loads(options.get("paths", "[]"))
         self.sheet = options.get("sheet", "")
         self.mode = options.get("sheet_mode", "specified")
+        self.by_index = options.get("sheet_by_index", "false") == "true"
 
     def partitions(self):
         parts = []
@@ -168,7 +169,9 @@ class _Reader(DataSourceReader):
                 chosen = sheets
             elif not self.sheet:
                 chosen = sheets[:1]
-            elif self.sheet.isdigit():
+            elif self.by_index:
+                if not self.sheet.isdigit():
+                    raise ValueError(f"sheet index must be a number: {self.sheet}")
                 i = int(self.sheet) - 1
                 if not 0 <= i < len(sheets):
                     raise ValueError(f"sheet {self.sheet} does not exist in {p}")
@@ -209,6 +212,7 @@ def read_workbook(spark: SparkSession, paths: list[str], o: ReadOptions = ReadOp
         .option("paths", json.dumps(list(paths)))
         .option("sheet", o.sheet or "")
         .option("sheet_mode", o.sheet_mode)
+        .option("sheet_by_index", str(bool(o.sheet_by_index)).lower())
         .load()
     )
 
@@ -218,7 +222,12 @@ def read_workbook_units(spark: SparkSession, paths: list[str], o: ReadOptions) -
     rows = read_workbook(spark, paths, o)
     units = rows.select("file", "sheet").distinct().collect() if o.sheet_mode == "all" else None
     if units is None:
-        yield _widen(rows), None, o.sheet if (o.sheet and not o.sheet.isdigit()) else ""
+        sheet = o.sheet
+        if not sheet or o.sheet_by_index:
+            names = sheet_names(paths[0])
+            i = int(sheet) - 1 if sheet else 0
+            sheet = names[i] if 0 <= i < len(names) else ""
+        yield _widen(rows), None, sheet
         return
     for u in sorted(units, key=lambda r: (r["file"], sheet_names(r["file"]).index(r["sheet"]))):
         yield _widen(rows.where((F.col("file") == u["file"]) & (F.col("sheet") == u["sheet"]))), None, u["sheet"]

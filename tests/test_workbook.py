@@ -17,6 +17,9 @@ def test_i4_sheet_by_name_with_column_filter(spark, tmp_dir):
         {"importMode": "rebuild", "tableName": "t_i4", "sheetName": "SheetA", "columnFilter": "Code"}))[0]
     assert r.result.rows_written == 2
     assert spark.table("t_i4").columns == ["code"]
+    r = import_path(spark, p, ImportSettings.from_fields(
+        {"importMode": "rebuild", "tableName": "t_i4b", "sheetFilterMode": "index", "sheetName": "2", "sheetNameField": "sh"}))[0]
+    assert r.result.rows_written == 2 and spark.table("t_i4b").first()["sh"] == "SheetA"
 
 
 def test_i9_i10_sheets(spark, tmp_dir):
