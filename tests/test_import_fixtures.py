@@ -5,7 +5,7 @@ import os
 import pytest
 
 from sluice.options import LoadOptions, ReadOptions
-from sluice.plans.importer import ImportSettings, checkpoint_rows, import_path, resume_key, set_checkpoint
+from sluice.plans.importer import ImportSettings, checkpoint_rows, import_path, import_together, resume_key, set_checkpoint
 
 
 def write(path, text, bom=False):
@@ -152,3 +152,18 @@ def test_multi_file_folder(spark, tmp_dir):
     res = run(spark, d, {"importMode": "append", "tableName": "t_many"})
     assert [r.file_name for r in res] == ["a.csv", "b.csv"]
     assert spark.table("t_many").count() == 3
+
+
+def test_import_together_one_scan(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "together")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "Name,Amount\nA,1\nA,1\nB,\n")
+    write(os.path.join(d, "b.csv"), "Name,Amount\nA,5\n,6\nC,7\n")
+    s = ImportSettings.from_fields({"importMode": "rebuild", "tableName": "t_tog", "dedupeColumns": "name",
+                                    "fillDownColumns": "name", "autoPkField": "id"})
+    res, counts = import_together(spark, d, s, per_file_counts=True)
+    assert res.rows_written == 4 and res.rows_skipped == 2
+    got = sorted((r.id, r.name, r.amount) for r in spark.table("t_tog").collect())
+    assert got == [(1, "A", 1), (1, "A", 5), (2, "B", None), (2, "C", 7)]
+    per = {r["__file"].rsplit("/", 1)[-1]: r["rows"] for r in counts.collect()}
+    assert per == {"a.csv": 2, "b.csv": 2}
