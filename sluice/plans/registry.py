@@ -444,6 +444,13 @@ def export_roundtrip_xml(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "xml")
 
 
+@register("workbook_io", _CUST_RT)
+def workbook_io(spark, sf_dir):
+    """EXP-9 then SRC-5: every partition writes workbook parts; the scan reads
+    them back one partition per (file, sheet)."""
+    return _roundtrip(spark, sf_dir, "xlsx")
+
+
 @register("export_split", "SELECT c_mktsegment AS part, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def export_split(spark, sf_dir):
     from sluice.sources.delimited import read_delimited

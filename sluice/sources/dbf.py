@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sluice.operators.order import BLOCK, FILE, POS
+from sluice.sources.files import open_read
 
 RECORDS_PER_PARTITION = 200_000
 # Language-driver byte -> code page, for encoding "auto".
@@ -28,12 +29,8 @@ CODE_PAGES = {
 }
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def read_header(path: str) -> dict:
-    with open(_local(path), "rb") as fh:
+    with open_read(path) as fh:
         head = fh.read(32)
         n, header_len, rec_len = struct.unpack("<IHH", head[4:12])
         lang = head[29]
@@ -116,7 +113,7 @@ class _Reader(DataSourceReader):
     def read(self, part):
         h = read_header(part.path)
         enc = self.encoding if self.encoding != "auto" else CODE_PAGES.get(h["lang"], "ascii")
-        with open(_local(part.path), "rb") as fh:
+        with open_read(part.path) as fh:
             fh.seek(h["header_len"] + part.start * h["record_len"])
             for i in range(part.start, part.stop):
                 rec = fh.read(h["record_len"])

@@ -108,3 +108,39 @@ def sample_text(spark: SparkSession, path: str, encoding_option: str = "auto", n
 def suffix_of(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     return ("." + name.rsplit(".", 1)[-1].lower()) if "." in name else ""
+
+
+# ---------------------------------------------------------------- task-side I/O
+
+def _task_fs(uri: str):
+    """(filesystem, path) usable inside Python tasks: local paths directly,
+    other schemes through pyarrow's file systems (HDFS, S3, GCS...)."""
+    if uri.startswith("file:"):
+        uri = uri[len("file:"):]
+        while uri.startswith("//"):
+            uri = uri[1:]
+    if "://" not in uri:
+        return None, uri
+    from pyarrow import fs as pafs
+
+    return pafs.FileSystem.from_uri(uri)
+
+
+def open_read(uri: str):
+    """A seekable binary reader for a file, inside or outside tasks."""
+    fs, path = _task_fs(uri)
+    return open(path, "rb") if fs is None else fs.open_input_file(path)
+
+
+def open_write(uri: str):
+    fs, path = _task_fs(uri)
+    if fs is None:
+        import os
+
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        return open(path, "wb")
+    return fs.open_output_stream(path)
+
+
+def join_uri(base: str, *parts: str) -> str:
+    return "/".join([base.rstrip("/"), *parts])

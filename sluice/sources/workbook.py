@@ -30,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sluice.functions.names import safe_sheet_name
 from sluice.operators.order import BLOCK, FILE, POS
 from sluice.options import ReadOptions
+from sluice.sources.files import join_uri, open_read, open_write
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -39,10 +40,6 @@ MAX_SHEET_ROWS = 1_048_575
 EXCEL_EPOCH = dt.datetime(1899, 12, 30)
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def _sheets(zf: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(sheet name, member path) in workbook order."""
     wb = ET.fromstring(zf.read("xl/workbook.xml"))
@@ -57,7 +54,7 @@ def _sheets(zf: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 
 def sheet_names(path: str) -> list[str]:
-    with zipfile.ZipFile(_local(path)) as zf:
+    with open_read(path) as fh, zipfile.ZipFile(fh) as zf:
         return [n for n, _ in _sheets(zf)]
 
 
@@ -110,7 +107,7 @@ def _number_text(v: str, is_date: bool) -> str:
 
 def read_sheet(path: str, member: str) -> Iterator[tuple[int, list[str]]]:
     """(row number, cell texts) of one sheet, gap rows included, from the first row."""
-    with zipfile.ZipFile(_local(path)) as zf:
+    with open_read(path) as raw, zipfile.ZipFile(raw) as zf:
         strings = _shared_strings(zf)
         dates = _date_styles(zf)
         last = None
@@ -163,7 +160,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         parts = []
         for p in self.paths:
-            with zipfile.ZipFile(_local(p)) as zf:
+            with open_read(p) as fh, zipfile.ZipFile(fh) as zf:
                 sheets = _sheets(zf)
             if self.mode == "all":
                 chosen = sheets
@@ -280,11 +277,18 @@ def _sheet_file(tmp: str, columns: list[str], rows, header: bool) -> int:
 
 
 def write_xlsx_sheets(path: str, sheets: list[tuple[str, list[str], list]], header: bool = True) -> int:
-    """Write one workbook with the given (name, columns, rows) sheets."""
+    """Write one workbook with the given (name, columns, rows) sheets.
+
+    Sheet XML is spooled to the task's own scratch space, then the zipped
+    workbook is streamed to ``path`` (any file system pyarrow can open).
+    """
+    import tempfile
+
     n = 0
     tmps = []
+    scratch = tempfile.mkdtemp(prefix="sluice-xlsx-")
     for i, (_, columns, rows) in enumerate(sheets):
-        tmp = f"{path}.sheet{i}-{uuid.uuid4().hex}"
+        tmp = os.path.join(scratch, f"sheet{i}.xml")
         n += _sheet_file(tmp, columns, rows, header)
         tmps.append(tmp)
     ct = "".join(
@@ -297,7 +301,8 @@ def write_xlsx_sheets(path: str, sheets: list[tuple[str, list[str], list]], head
     rels = "".join(
         f'<Relationship Id="rId{i + 1}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" '
         f'Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+    book = os.path.join(scratch, "book.xlsx")
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as zf:
         zf.writestr("[Content_Types].xml",
                     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
                     '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
@@ -319,8 +324,12 @@ def write_xlsx_sheets(path: str, sheets: list[tuple[str, list[str], list]], head
                     + rels + '</Relationships>')
         for i, tmp in enumerate(tmps):
             zf.write(tmp, f"xl/worksheets/sheet{i + 1}.xml")
-    for tmp in tmps:
-        os.remove(tmp)
+    with open(book, "rb") as src, open_write(path) as dst:
+        while chunk := src.read(1 << 20):
+            dst.write(chunk)
+    for f in [*tmps, book]:
+        os.remove(f)
+    os.rmdir(scratch)
     return n
 
 
@@ -334,8 +343,8 @@ def write_workbooks(df: DataFrame, path: str, o, partition: bool) -> list[str]:
     (per split value a sub-folder ``{stem}_{value}``).  Returns the files."""
     from sluice.operators.export import PART_COLUMN
 
-    folder = _local(path)
-    stem = os.path.basename(folder).rsplit(".", 1)[0]
+    folder = path
+    stem = folder.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     cols = [c for c in df.columns if c != PART_COLUMN]
     sheet = o.sheet_name or stem
     header = bool(o.header)
@@ -346,7 +355,6 @@ def write_workbooks(df: DataFrame, path: str, o, partition: bool) -> list[str]:
     def run(batches):
         import pandas as pd
 
-        os.makedirs(folder, exist_ok=True)
         task = uuid.uuid4().hex[:12]
         groups: dict[str, list] = {}
         for pdf in batches:
@@ -358,10 +366,9 @@ def write_workbooks(df: DataFrame, path: str, o, partition: bool) -> list[str]:
                                                       (v.item() if hasattr(v, "item") else v) for v in row))
         out_files, out_rows = [], []
         for k, rows in groups.items():
-            target = os.path.join(folder, f"{stem}_{k}") if partition else folder
-            os.makedirs(target, exist_ok=True)
+            target = join_uri(folder, f"{stem}_{k}") if partition else folder
             for j in range(0, len(rows), cap):
-                f = os.path.join(target, f"part-{task}-{j // cap:05d}.xlsx")
+                f = join_uri(target, f"part-{task}-{j // cap:05d}.xlsx")
                 out_rows.append(write_xlsx(f, sheet, cols, rows[j:j + cap], header))
                 out_files.append(f)
         yield pd.DataFrame({"file": out_files, "rows": out_rows})
