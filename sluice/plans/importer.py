@@ -61,6 +61,9 @@ class ImportSettings:
     after_each_sql: str = ""
     after_all_sql: str = ""
     delete_source: bool = False
+    export_sql: str = ""          # LOAD-13: query exported after the import
+    export_folder: str = ""
+    log_table: str = ""           # LOG-1: append one row per file here
 
     @classmethod
     def from_fields(cls, f: dict) -> "ImportSettings":
@@ -84,6 +87,8 @@ class ImportSettings:
             after_each_sql=(f.get("afterEachSql", "") or "") + "\n" + (f.get("customSql", "") or ""),
             after_all_sql=f.get("afterAllSql", "") or "",
             delete_source=parse_bool(f, "deleteAfterImport"),
+            export_sql=f.get("exportSql", "") or "",
+            export_folder=f.get("exportFolder", "") or "",
         )
 
 
@@ -188,6 +193,15 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
             fs.delete(p, False)
     if s.after_all_sql.strip():
         S.execute_batch(spark, s.after_all_sql)
+    if s.log_table:
+        from sluice.operators.runlog import append_import_log, import_log_rows
+
+        append_import_log(spark, s.log_table, import_log_rows(spark, results, s.load.mode))
+    if s.export_sql.strip() and s.export_folder and any(r.status == "success" for r in results):
+        from sluice.operators.export import export_frame
+        from sluice.options import ExportOptions
+
+        export_frame(spark.sql(s.export_sql.strip().rstrip(";")), s.export_folder, "query", ExportOptions(fmt="xlsx"))
     if results and all(r.status == "failed" for r in results):
         raise ValueError("all files failed: " + "; ".join(f"{r.file_name}: {r.message}" for r in results))
     return results
@@ -215,3 +229,29 @@ def import_together(spark: SparkSession, path: str, s: ImportSettings, per_file_
     if s.after_all_sql.strip():
         S.execute_batch(spark, s.after_all_sql)
     return res, counts
+
+
+def preview_import(spark: SparkSession, path: str, s: ImportSettings, rows: int = 20) -> dict:
+    """SHP-9: the first rows as they would load, the columns, the total, the
+    sheets and the suggested table name - for the first file of ``path``."""
+    from sluice.sources.files import list_files
+    from sluice.sources.workbook import sheet_names
+
+    f = list_files(spark, path)[0]
+    raw, header, sheet = next(iter(dispatch.read_units(spark, [f], s.read)))
+    prepared = prepare(raw, header, s, sheet=sheet)
+    df = prepared.df
+    head = df.orderBy(RN).limit(rows) if RN in df.columns else df.limit(rows)
+    from sluice.functions.totext import as_text_frame
+
+    data = [list(r) for r in as_text_frame(head.select(*prepared.columns)).collect()]
+    name = f.rsplit("/", 1)[-1]
+    return {
+        "columns": prepared.columns,
+        "rows": data,
+        "total": df.count(),
+        "sheets": sheet_names(f) if name.lower().endswith((".xlsx", ".xlsm")) else [],
+        "table": target_table_name(name, table_name=s.table, sheet=sheet, rule=s.table_rule, regex=s.table_regex,
+                                   symbol_to_underscore=s.symbol_to_underscore, pinyin=s.table_pinyin,
+                                   prefix=s.table_prefix, suffix=s.table_suffix, case=s.table_case),
+    }
