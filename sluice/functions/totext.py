@@ -13,28 +13,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _shortest_sci(c: Column) -> Column:
-    """Shortest round-tripping digits of a double as ``d.ddde+XX`` (15-17 digits)."""
-    cands = [F.format_string(f"%.{p - 1}e", c) for p in (15, 16, 17)]
-    return F.coalesce(*[F.when(x.cast("double") == c, x) for x in cands[:2]], cands[2])
+def _bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable, so
+    the expression is not copied into every place that uses it (keeps the
+    generated code small)."""
+    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
+
+
+def _precise(c: Column) -> Column:
+    """Python's repr of a double: shortest round-tripping digits (15-17), laid
+    out fixed for -4 <= exp < 16, else ``d.ddde+XX``."""
+    cands = F.array(*[F.format_string(f"%.{p - 1}e", c) for p in (15, 16, 17)])
+    sci = F.coalesce(F.try_element_at(F.filter(cands, lambda x: x.cast("double") == c), F.lit(1)),
+                     F.try_element_at(cands, F.lit(3)))
+    pat = "^(-?)([0-9])\\.?([0-9]*)e([+-][0-9]+)$"
+
+    def parts(s):
+        digits = F.regexp_replace(F.concat(F.regexp_extract(s, pat, 2), F.regexp_extract(s, pat, 3)), "0+$", "")
+        return F.struct(
+            F.regexp_extract(s, pat, 1).alias("sign"),
+            F.when(digits == "", F.lit("0")).otherwise(digits).alias("d"),
+            F.regexp_extract(s, pat, 4).cast("int").alias("e"),
+        )
+
+    def layout(t):
+        d, e = t["d"], t["e"]
+        n = F.length(d)
+        fixed = (
+            F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+            .when(n <= e + 1, F.concat(F.rpad(d, e + 1, "0"), F.lit(".0")))
+            .otherwise(F.concat(F.substr(d, F.lit(1), e + 1), F.lit("."), F.substr(d, e + 2)))
+        )
+        mant = F.when(n == 1, d).otherwise(F.concat(F.substr(d, F.lit(1), F.lit(1)), F.lit("."), F.substr(d, F.lit(2))))
+        sci_py = F.concat(mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        return F.concat(t["sign"], F.when((e >= -4) & (e < 16), fixed).otherwise(sci_py))
+
+    return _bind(_bind(sci, parts), layout)
 
 
 def double_to_text(c: Column) -> Column:
     java = c.cast("string")                      # Java digits and layout
-    sci = _shortest_sci(c)
-    pat = "^(-?)([0-9])\\.?([0-9]*)e([+-][0-9]+)$"
-    sign = F.regexp_extract(sci, pat, 1)
-    digits = F.regexp_replace(F.concat(F.regexp_extract(sci, pat, 2), F.regexp_extract(sci, pat, 3)), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    exp = F.regexp_extract(sci, pat, 4).cast("int")
-    n = F.length(digits)
-    whole = F.concat(F.rpad(digits, exp + 1, "0"), F.lit(".0"))
-    split = F.concat(F.substr(digits, F.lit(1), exp + 1), F.lit("."), F.substr(digits, exp + 2))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    fixed = F.when(exp < 0, small).when(n <= exp + 1, whole).otherwise(split)
-    mant = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
-    sci_py = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    precise = F.concat(sign, F.when((exp >= -4) & (exp < 16), fixed).otherwise(sci_py))
     a = F.abs(c)
     # Between 1e-3 and 1e7 a short Java string (at most 15 digits) is already
     # Python's repr: one cast, no formatting (the common case).
@@ -45,7 +63,7 @@ def double_to_text(c: Column) -> Column:
         .when(c == float("inf"), F.lit("inf"))
         .when(c == float("-inf"), F.lit("-inf"))
         .when(c == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
-        .otherwise(precise)
+        .otherwise(_precise(c))
     )
 
 

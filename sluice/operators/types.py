@@ -14,17 +14,39 @@ from pyspark.sql import types as T
 from sluice.operators.order import visible_columns
 
 # The number patterns of the contract (whole-cell match).  Digits
-# are Unicode digits; the ASCII forms are tried first because they are cheap.
+# are Unicode digits; ASCII text is checked with translate(), without a regex.
 INT_PATTERN = "^(?U)[-+]?\\d+$"
 REAL_PATTERN = "^(?U)[-+]?(\\d+(\\.\\d*)?|\\.\\d+)$"
-ASCII_INT = "^[-+]?[0-9]+$"
-ASCII_REAL = "^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$"
-_ASCII_ONLY = "^[\\x00-\\x7F]*$"
+LONG_DIGITS = 18
 
 
-def _matches(v, ascii_pattern: str, unicode_pattern: str):
-    return F.when(v.rlike(ascii_pattern), F.lit(True)).when(v.rlike(_ASCII_ONLY), F.lit(False)).otherwise(v.rlike(unicode_pattern))
-LONG_DIGITS = 18
+_DIGITS = "0123456789"
+
+
+def _ascii_int(v):
+    rest = F.translate(v, _DIGITS, "")
+    return (F.length(v) > F.length(rest)) & (
+        (rest == "") | (rest.isin("+", "-") & v.startswith(rest)))
+
+
+def _ascii_real(v):
+    rest = F.translate(v, _DIGITS, "")
+    sign = F.substr(rest, F.lit(1), F.lit(1))
+    return (F.length(v) > F.length(rest)) & (
+        rest.isin("", ".") | (rest.isin("+", "-", "+.", "-.") & v.startswith(sign)))
+
+
+def _non_ascii(v):
+    return F.octet_length(v) != F.length(v)
+
+
+def _is_int(v):
+    """Whole-cell ``[-+]?\\d+`` with Unicode digits; regex only for non-ASCII text."""
+    return _ascii_int(v) | (_non_ascii(v) & v.rlike(INT_PATTERN))
+
+
+def _is_real(v):
+    return _ascii_real(v) | (_non_ascii(v) & v.rlike(REAL_PATTERN))
 
 
 def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = None) -> dict[str, T.DataType]:
@@ -41,11 +63,11 @@ def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = N
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`")
         nonempty = v.isNotNull() & (v != "")
-        is_int = nonempty & _matches(v, ASCII_INT, INT_PATTERN)
+        is_int = nonempty & _is_int(v)
         aggs += [
             F.count_if(nonempty).alias(f"n{i}"),
             F.count_if(is_int).alias(f"i{i}"),
-            F.count_if(nonempty & _matches(v, ASCII_REAL, REAL_PATTERN)).alias(f"r{i}"),
+            F.count_if(nonempty & _is_real(v)).alias(f"r{i}"),
             F.max(F.when(is_int, F.length(v) - F.when(v.startswith("-") | v.startswith("+"), 1).otherwise(0))).alias(f"d{i}"),
         ]
     row = df.agg(*aggs).first()

@@ -87,3 +87,16 @@ def test_strptime_translation():
     assert strptime_to_spark("%Y-%m-%dT%H:%M:%S") == "yyyy'-'MM'-'dd'T'HH':'mm':'ss"
     with pytest.raises(UnsupportedFormat):
         strptime_to_spark("%Q")
+
+
+def test_number_patterns_match_python(spark):
+    import re
+
+    from sluice.operators.types import _is_int, _is_real
+
+    vals = ["1", "+1", "-1", "1.", ".5", "-.5", "+5.5", "5+", "1.2.3", ".", "+", "-", "", "١٢", "١.٥", "1e5",
+            " 1", "1 ", "0x1", "--1", "+-1", "12a", "٣", "1.5.", "00", "+.", "-0.0"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [(r[0], r[1]) for r in df.select(_is_int(F.col("v")), _is_real(F.col("v"))).collect()]
+    exp = [(bool(re.fullmatch(r"[-+]?\d+", v)), bool(re.fullmatch(r"[-+]?(\d+(\.\d*)?|\.\d+)", v))) for v in vals]
+    assert got == exp
