@@ -82,7 +82,7 @@ def bounded_side(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[D
     return (F.broadcast(side) if n <= max_rows else side), n
 
 
-def block_stats(df: DataFrame, extra_aggs: list[Column] | None = None) -> DataFrame:
+def block_stats(df: DataFrame, extra_aggs: list[Column] | None = None) -> DataFrame:  # noqa: D401
     """One row per (file, block): rows, first position, running offset and file total."""
     aggs = [F.count(F.lit(1)).alias("__n"), F.min(POS).alias("__first")]
     stats = df.groupBy(FILE, BLOCK).agg(*aggs, *(extra_aggs or []))
@@ -109,14 +109,30 @@ def number_rows(df: DataFrame, keep_total: bool = False) -> DataFrame:
     ``df`` must carry ``__file``, ``__blk`` and a dense in-block ``__pos``.
     With ``keep_total`` the file's row count is kept as ``__total``.
     """
-    stats, _ = bounded_side(block_stats(df))
+    return number_rows_with_heads(df, keep_total)[0]
+
+
+def number_rows_with_heads(df: DataFrame, keep_total: bool = False, head_cols: list[str] | None = None):
+    """``number_rows`` that also returns the first row of every file, taken
+    in the same pass that counts the blocks (no extra scan for headers)."""
+    extra = []
+    if head_cols:
+        extra = [F.min_by(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in head_cols]), F.col(POS)).alias("__head")]
+    stats, _ = bounded_side(block_stats(df, extra))
+    heads = {}
+    if head_cols:
+        first = Window.partitionBy(FILE).orderBy(BLOCK)
+        for r in (stats.where(F.col("__n") > 0).select(FILE, F.first("__head").over(first).alias("__h"))
+                  .distinct().collect()):
+            heads[r[FILE]] = list(r["__h"])
+        stats = stats.drop("__head")
     total = stats.agg(F.sum("__n")).first()[0] or 0
     size = logical_block_rows(df.sparkSession, int(total))
     cols = ["__off", "__first"] + (["__total"] if keep_total else [])
     joined = df.join(stats.select(FILE, BLOCK, *cols), [FILE, BLOCK], "inner")
     out = joined.withColumn(RN, F.col("__off") + (F.col(POS) - F.col("__first")) + F.lit(1))
     out = out.withColumn(LB, F.floor((F.col(RN) - 1) / F.lit(size)).cast("long"))
-    return spread(out.drop("__off", "__first"))
+    return spread(out.drop("__off", "__first")), heads
 
 
 def spread(df: DataFrame) -> DataFrame:

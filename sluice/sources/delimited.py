@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.order import with_source_order
+from sluice.operators.shape import used_width
 from sluice.options import ReadOptions
 from sluice.sources.files import sample_text, sniff_delimiter
 
@@ -47,8 +48,12 @@ def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadO
         if o.line_delimiter:
             reader = reader.option("lineSep", o.line_delimiter)
         df = reader.csv(paths)
-        last = df.where(F.col(f"c{width}").isNotNull()).limit(1).count()
-        if not last or width >= MAX_WIDTH:
+        # one pass: the last column holding a non-blank cell in any row (SHP-1);
+        # if that is the last column read, there may be more: read wider
+        used = used_width(df)
+        if used < width or width >= MAX_WIDTH:
             break
         width *= 4
-    return with_source_order(df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(1, width + 1)], "_metadata"))
+    out = with_source_order(df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(1, max(used, 1) + 1)], "_metadata"))
+    out.sluice_used_width = used
+    return out
