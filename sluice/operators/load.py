@@ -165,6 +165,16 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
     cols = visible_columns(df)
     data = df.select(*[F.col(q(c)) for c in cols])
     exists = table_exists(spark, table)
+    if exists and mode != "rebuild":
+        tcols = [f.name for f in table_columns(spark, table)]
+        if o.match_by == "order":       # DCL-3: by position onto the table's names
+            data = data.toDF(*[tcols[i] if i < len(tcols) else c for i, c in enumerate(cols)])
+            df = df.toDF(*[tcols[i] if i < len(tcols) and i < len(cols) else c for i, c in enumerate(df.columns)])
+            keys = [tcols[cols.index(k)] if k in cols and cols.index(k) < len(tcols) else k for k in (keys or [])]
+            cols = data.columns
+        if o.extra_columns == "ignore":  # DCL-4: drop what the table lacks
+            cols = [c for c in cols if c in tcols]
+            data = data.select(*[F.col(q(c)) for c in cols])
     if mode == "rebuild" or not exists:
         types = infer_types(data, o.type_mode)
     else:

@@ -49,7 +49,12 @@ def _is_real(v):
     return _ascii_real(v) | (_non_ascii(v) & v.rlike(REAL_PATTERN))
 
 
+# The text forms accepted as timestamps by date detection (DCL-8).
+DATE_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+
+
 def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = None) -> dict[str, T.DataType]:
+    """TYP-1.  ``mode``: auto, text, or auto_dates (also detects timestamp columns)."""
     columns = columns or visible_columns(df)
     given = {f.name: f.dataType for f in df.schema.fields}
     fixed = {c: given[c] for c in columns if not isinstance(given[c], T.StringType)}
@@ -70,6 +75,9 @@ def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = N
             F.count_if(nonempty & _is_real(v)).alias(f"r{i}"),
             F.max(F.when(is_int, F.length(v) - F.when(v.startswith("-") | v.startswith("+"), 1).otherwise(0))).alias(f"d{i}"),
         ]
+        if mode == "auto_dates":
+            parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for p in DATE_PATTERNS])
+            aggs.append(F.count_if(nonempty & parsed.isNotNull()).alias(f"t{i}"))
     row = df.agg(*aggs).first()
     out: dict[str, T.DataType] = dict(fixed)
     for i, c in enumerate(columns):
@@ -78,6 +86,8 @@ def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = N
             out[c] = T.LongType() if digits <= LONG_DIGITS else (T.DecimalType(38, 0) if digits <= 38 else T.StringType())
         elif n and reals == n:
             out[c] = T.DoubleType()
+        elif mode == "auto_dates" and n and row[f"t{i}"] == n:
+            out[c] = T.TimestampNTZType()
         else:
             out[c] = T.StringType()
     return {c: out[c] for c in columns_all}
@@ -93,5 +103,9 @@ def cast_columns(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
             v = F.col(f"`{c}`")
             if isinstance(t, (T.LongType, T.DecimalType, T.DoubleType, T.IntegerType)):
                 v = F.regexp_replace(v, "^\\+", "")
+            if isinstance(t, T.TimestampNTZType):
+                v = F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for p in DATE_PATTERNS]).cast("timestamp_ntz")
+                cols.append(v.alias(c))
+                continue
             cols.append(v.try_cast(t).alias(c))
     return df.select(*cols)

@@ -149,7 +149,7 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
     and failure; a failure is logged and the other files go on (LOAD-10/11)."""
     from sluice.sources.files import list_files
 
-    files = list_files(spark, path)
+    files = list_files(spark, path, recursive=s.read.recursive, modified_after_ms=s.read.modified_after_ms)
     if not files:
         raise ValueError("no supported files found")
     if s.before_all_sql.strip():

@@ -27,8 +27,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def list_files(spark: SparkSession, path: str, suffixes=SUPPORTED_SUFFIXES) -> list[str]:
-    """SRC-11: a file, or the supported files directly inside a folder, sorted by name."""
+def list_files(spark: SparkSession, path: str, suffixes=SUPPORTED_SUFFIXES, *, recursive: bool = False,
+               modified_after_ms: int = 0) -> list[str]:
+    """SRC-11: a file, or the supported files inside a folder, sorted by name.
+
+    ``recursive`` also walks sub-folders (DCL-1); ``modified_after_ms`` keeps
+    only files changed after that time (DCL-2, e.g. the last import).
+    """
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         raise SourceError(f"path does not exist: {path}")
@@ -36,11 +41,18 @@ def list_files(spark: SparkSession, path: str, suffixes=SUPPORTED_SUFFIXES) -> l
     if status.isFile():
         return [status.getPath().toString()]
     out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isFile() and name.lower().endswith(tuple(suffixes)) and not name.startswith((".", "_")):
-            out.append(st.getPath().toString())
-    return sorted(out, key=lambda s: s.rsplit("/", 1)[-1])
+    stack = [p]
+    while stack:
+        for st in fs.listStatus(stack.pop()):
+            name = st.getPath().getName()
+            if name.startswith((".", "_")):
+                continue
+            if st.isDirectory():
+                if recursive:
+                    stack.append(st.getPath())
+            elif name.lower().endswith(tuple(suffixes)) and st.getModificationTime() > modified_after_ms:
+                out.append(st.getPath().toString())
+    return sorted(out, key=lambda s: (s.rsplit("/", 1)[-1], s))
 
 
 def file_info(spark: SparkSession, path: str) -> tuple[int, int]:

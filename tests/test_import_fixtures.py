@@ -167,3 +167,20 @@ def test_import_together_one_scan(spark, tmp_dir):
     assert got == [(1, "A", 1), (1, "A", 5), (2, "B", None), (2, "C", 7)]
     per = {r["__file"].rsplit("/", 1)[-1]: r["rows"] for r in counts.collect()}
     assert per == {"a.csv": 2, "b.csv": 2}
+
+
+def test_declared_options(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "dcl")
+    os.makedirs(os.path.join(d, "sub"))
+    write(os.path.join(d, "a.csv"), "Name,When,Extra\nA,2026-01-02,x\n")
+    write(os.path.join(d, "sub", "b.csv"), "Name,When,Extra\nB,2026-01-03 04:05:06,y\n")
+    res = run(spark, d, {"importMode": "append", "tableName": "t_dcl", "includeSubfolders": "true", "typeMode": "auto_dates"})
+    assert [r.file_name for r in res] == ["a.csv", "b.csv"]
+    assert spark.table("t_dcl").schema["when"].dataType.simpleString() == "timestamp_ntz"
+    write(os.path.join(d, "c.csv"), "Who,At,More\nC,2026-01-04,z\n")
+    run(spark, os.path.join(d, "c.csv"), {"importMode": "append", "tableName": "t_dcl", "matchColumnsBy": "order"})
+    write(os.path.join(d, "e.csv"), "Name,Other\nE,q\n")
+    run(spark, os.path.join(d, "e.csv"), {"importMode": "append", "tableName": "t_dcl", "extraColumns": "ignore"})
+    got = sorted((r.name, r.extra) for r in spark.table("t_dcl").collect())
+    assert got == [("A", "x"), ("B", "y"), ("C", "z"), ("E", None)]
+    assert spark.table("t_dcl").columns == ["name", "when", "extra"]
