@@ -155,13 +155,18 @@ def with_next_run(rules: DataFrame, base: Column | None = None, out: str = "next
 def job_kind(job_steps: DataFrame) -> DataFrame:
     """LOG-10: distinct step types per job; one type -> it, several -> ``job``.
     A job whose only step is a nested job takes that job's kind (one level)."""
-    kinds = job_steps.groupBy("job_id").agg(F.collect_set("step_type").alias("__types"),
-                                            F.max(F.when(F.col("step_type") == "job", F.col("target_job_id"))).alias("__child"))
-    base = kinds.select("job_id", "__child", F.when(F.size("__types") == 1, F.try_element_at("__types", F.lit(1))).otherwise(F.lit("job")).alias("kind"))
+    kinds = job_steps.groupBy("job_id").agg(
+        F.count_distinct("step_type").alias("__n"),
+        F.min("step_type").alias("__type"),
+        F.min(F.when(F.col("step_type") == "job", F.col("target_job_id"))).alias("__child"),
+    )
+    base = kinds.select("job_id", "__child", "__type",
+                        F.when(F.col("__n") == 1, F.col("__type")).otherwise(F.lit("job")).alias("kind"))
     child = base.select(F.col("job_id").alias("__cid"), F.col("kind").alias("__ckind"))
     out = base.join(child, base["__child"] == child["__cid"], "left")
-    return out.select("job_id", F.when((F.col("kind") == "job") & F.col("__ckind").isNotNull() & F.col("__child").isNotNull(),
-                                       F.col("__ckind")).otherwise(F.col("kind")).alias("kind"))
+    only_nested = (F.col("kind") == "job") & (F.col("__type") == "job")
+    return out.select("job_id", F.when(only_nested & F.col("__ckind").isNotNull(), F.col("__ckind"))
+                      .otherwise(F.col("kind")).alias("kind"))
 
 
 def find_cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:

@@ -31,7 +31,7 @@ from sluice.operators.generate import generate
 from sluice.operators.load import load
 from sluice.operators.mapping import apply_mapping
 from sluice.operators.order import FILE, RN, number_rows, visible_columns, with_source_order
-from sluice.operators.runlog import merge_runs, nest_steps, prune_runs, with_next_run
+from sluice.operators.runlog import due, find_cycles, job_kind, latest, merge_runs, nest_steps, prune_runs, with_next_run
 from sluice.operators.shape import shape
 from sluice.operators.types import cast_columns, infer_types
 from sluice.options import (
@@ -620,6 +620,68 @@ def parse_cascade_q(spark, sf_dir):
     return ev.select("event_id", F.date_format(parse_cascade(x), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+@register("latest_entries", """
+SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, event_type AS status
+FROM events ORDER BY created_at DESC, id DESC LIMIT 50""")
+def latest_entries(spark, sf_dir):
+    """LOG-2: the newest 50 log rows (a top-k, the operator's own limit)."""
+    log = scan(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), ts_text(F.col("ts")).alias("created_at"), F.col("event_type").alias("status"))
+    return latest(log, "created_at", 50)
+
+
+@register("due_schedules", """
+SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS next_run_at FROM orders
+WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'
+  AND strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') <= '1996-01-01 00:00:00'""")
+def due_schedules(spark, sf_dir):
+    """LOG-7 over orders read as schedules."""
+    o = scan(spark, sf_dir, "orders")
+    sched = o.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") != "P", 1).otherwise(0).alias("enabled"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("running"),
+        ts_text(F.col("o_orderdate")).alias("next_run_at"),
+    )
+    return due(sched, "1996-01-01 00:00:00").select("id", "next_run_at")
+
+
+@register("job_kinds", """
+WITH s AS (SELECT l_orderkey AS job_id, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE 'job' END AS step_type,
+                  l_partkey AS target FROM lineitem),
+k AS (SELECT job_id, count(DISTINCT step_type) AS n, min(step_type) AS t,
+             min(CASE WHEN step_type = 'job' THEN target END) AS child FROM s GROUP BY job_id),
+b AS (SELECT job_id, child, t, CASE WHEN n = 1 THEN t ELSE 'job' END AS kind FROM k)
+SELECT b.job_id, CASE WHEN b.kind = 'job' AND b.t = 'job' AND c.kind IS NOT NULL THEN c.kind ELSE b.kind END AS kind
+FROM b LEFT JOIN b c ON b.child = c.job_id""")
+def job_kinds(spark, sf_dir):
+    """LOG-10 over lineitem read as job steps (closed lines are nested-job steps)."""
+    li = scan(spark, sf_dir, "lineitem")
+    steps = li.select(
+        F.col("l_orderkey").alias("job_id"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).otherwise(F.lit("job")).alias("step_type"),
+        F.col("l_partkey").alias("target_job_id"),
+    )
+    return job_kind(steps)
+
+
+@register("job_cycles", """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+reach(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)
+SELECT DISTINCT CAST(src AS BIGINT) AS job_id FROM reach WHERE src = dst""")
+def job_cycles(spark, sf_dir):
+    """LOG-11 over a graph derived by joins: customer nation -> supplier nation."""
+    li, o = scan(spark, sf_dir, "lineitem"), scan(spark, sf_dir, "orders")
+    c, s = scan(spark, sf_dir, "customer"), scan(spark, sf_dir, "supplier")
+    edges = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+             .join(s, li.l_suppkey == s.s_suppkey)
+             .select(c.c_nationkey.cast("long").alias("job_id"), s.s_nationkey.cast("long").alias("child_id")))
+    return find_cycles(edges)
+
+
 # ------------------------------------------------------------------ streaming
 
 @register("stream_ingest", "SELECT event_id, event_type, value FROM events")
