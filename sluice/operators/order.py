@@ -82,6 +82,16 @@ def bounded_side(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[D
     return (F.broadcast(side) if n <= max_rows else side), n
 
 
+def bounded_side_with_total(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int, int]:
+    """``bounded_side`` for the per-block table, also returning its row total
+    (one small job for both numbers)."""
+    ensure_checkpoint_dir(side.sparkSession)
+    side = side.checkpoint(eager=True)
+    row = side.agg(F.count(F.lit(1)).alias("n"), F.sum("__n").alias("t")).first()
+    n, total = int(row["n"]), int(row["t"] or 0)
+    return (F.broadcast(side) if n <= max_rows else side), n, total
+
+
 def block_stats(df: DataFrame, extra_aggs: list[Column] | None = None) -> DataFrame:  # noqa: D401
     """One row per (file, block): rows, first position, running offset and file total."""
     aggs = [F.count(F.lit(1)).alias("__n"), F.min(POS).alias("__first")]
@@ -118,7 +128,7 @@ def number_rows_with_heads(df: DataFrame, keep_total: bool = False, head_cols: l
     extra = []
     if head_cols:
         extra = [F.min_by(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in head_cols]), F.col(POS)).alias("__head")]
-    stats, _ = bounded_side(block_stats(df, extra))
+    stats, n_blocks, total = bounded_side_with_total(block_stats(df, extra))
     heads = {}
     if head_cols:
         first = Window.partitionBy(FILE).orderBy(BLOCK)
@@ -126,8 +136,7 @@ def number_rows_with_heads(df: DataFrame, keep_total: bool = False, head_cols: l
                   .distinct().collect()):
             heads[r[FILE]] = list(r["__h"])
         stats = stats.drop("__head")
-    total = stats.agg(F.sum("__n")).first()[0] or 0
-    size = logical_block_rows(df.sparkSession, int(total))
+    size = logical_block_rows(df.sparkSession, total)
     cols = ["__off", "__first"] + (["__total"] if keep_total else [])
     joined = df.join(stats.select(FILE, BLOCK, *cols), [FILE, BLOCK], "inner")
     out = joined.withColumn(RN, F.col("__off") + (F.col(POS) - F.col("__first")) + F.lit(1))
@@ -135,6 +144,16 @@ def number_rows_with_heads(df: DataFrame, keep_total: bool = False, head_cols: l
     return spread(out.drop("__off", "__first")), heads
 
 
+def balance(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the input has fewer
+    partitions than cores (a single large row group, a few files) and the
+    next step is heavy per row.  Inputs already split finer are untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Co-locate logical blocks (hash on file and block) when the input has
     fewer partitions than cores; a later window over (file, block) then needs

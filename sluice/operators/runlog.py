@@ -143,8 +143,10 @@ def with_next_run(rules: DataFrame, base: Column | None = None, out: str = "next
     def c(name):
         return F.col(name) if name in cols else F.lit(None)
 
+    from sluice.operators.order import balance
+
     b = base if base is not None else F.current_timestamp().cast("timestamp_ntz")
-    return rules.withColumn(out, next_run(
+    return balance(rules).withColumn(out, next_run(
         c("mode"), b, amount=c("amount"), unit=c("unit"), time=c("time"), weekday=c("weekday"),
         day=c("day"), month=c("month"),
         start_at=F.coalesce(c("start_at"), F.lit("")), end_at=F.coalesce(c("end_at"), F.lit("")),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.operators.order import visible_columns
+from sluice.operators.order import balance, visible_columns
 
 # The number patterns of the contract (whole-cell match).  Digits
 # are Unicode digits; ASCII text is checked with translate(), without a regex.
@@ -78,7 +78,7 @@ def infer_types(df: DataFrame, mode: str = "auto", columns: list[str] | None = N
         if mode == "auto_dates":
             parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for p in DATE_PATTERNS])
             aggs.append(F.count_if(nonempty & parsed.isNotNull()).alias(f"t{i}"))
-    row = df.agg(*aggs).first()
+    row = balance(df).agg(*aggs).first()
     out: dict[str, T.DataType] = dict(fixed)
     for i, c in enumerate(columns):
         n, ints, reals, digits = row[f"n{i}"], row[f"i{i}"], row[f"r{i}"], row[f"d{i}"] or 0

@@ -30,7 +30,7 @@ from sluice.operators.export import export_frame
 from sluice.operators.generate import generate
 from sluice.operators.load import load
 from sluice.operators.mapping import apply_mapping
-from sluice.operators.order import FILE, RN, number_rows, visible_columns, with_source_order
+from sluice.operators.order import FILE, RN, balance, number_rows, visible_columns, with_source_order
 from sluice.operators.runlog import due, find_cycles, job_kind, latest, merge_runs, nest_steps, prune_runs, with_next_run
 from sluice.operators.shape import shape
 from sluice.operators.types import cast_columns, infer_types
@@ -282,7 +282,7 @@ def _infer_oracle() -> str:
 def infer_types_q(spark, sf_dir):
     out = []
     for t in ("part", "lineitem"):
-        df = as_text_frame(scan(spark, sf_dir, t))
+        df = as_text_frame(balance(scan(spark, sf_dir, t)))
         for c, ty in infer_types(df).items():
             out.append((t, c, ty.simpleString()))
     return spark.createDataFrame(out, "tbl string, col string, inferred string")
