@@ -130,7 +130,7 @@ def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[D
 
 
 def read_json(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
-    docs = spark.read.option("wholetext", "true").text(paths).select(
+    docs = spark.read.text(paths, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)
     )
     elems = docs.select(FILE, BLOCK, F.posexplode(root_elements(F.col("value"), row_tag)).alias("__i", "__obj"))

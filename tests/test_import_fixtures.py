@@ -53,7 +53,8 @@ def test_i5_after_each_sql(spark, tmp_dir):
 
 
 def test_i3_i7_json(spark, tmp_dir):
-    p = write(os.path.join(tmp_dir, "qa.json"), json.dumps([{"city": "Shanghai", "qty": 3}, {"city": "Beijing", "qty": 5}]))
+    p = write(os.path.join(tmp_dir, "qa.json"),
+              json.dumps([{"city": "Shanghai", "qty": 3}, {"city": "Beijing", "qty": 5}], indent=2))
     r = run(spark, p, {"importMode": "rebuild", "tableName": "t_i3"})[0]
     assert r.result.rows_written == 2
     p = write(os.path.join(tmp_dir, "mx.json"),
