@@ -32,3 +32,39 @@ def test_preview_log_and_export(spark, tmp_dir):
     log = spark.table("import_log_test").first()
     assert (log.file_name, log.table_name, log.rows_written, log.status) == ("pv.csv", "pv", 30, "success")
     assert any(f.endswith(".xlsx") for _, _, fs in os.walk(out) for f in fs)
+
+
+def test_pretty_printed_documents(spark, tmp_dir):
+    import json
+
+    from sluice.sources.json_source import read_json
+    from sluice.sources.xml_source import read_xml
+
+    p = os.path.join(tmp_dir, "root.json")
+    with open(p, "w", encoding="utf-8") as fh:
+        json.dump({"meta": {"v": 1}, "items": [{"a": 1, "b": {"c": "x"}}, {"a": 2, "d": [1, 2]}, 3]}, fh, indent=2)
+    df, keys = read_json(spark, [p], row_tag="items")
+    assert keys == ["a", "b_c", "d"]
+    assert sorted(tuple(r)[:3] for r in df.collect()) == [("1", "x", ""), ("2", "", "[1, 2]")]
+    x = os.path.join(tmp_dir, "pretty.xml")
+    with open(x, "w", encoding="utf-8") as fh:
+        fh.write("<?xml version='1.0'?>\n<data>\n  <item>\n    <k>1</k>\n    <v>a</v>\n  </item>\n"
+                 "  <item>\n    <v>b</v>\n    <k>2</k>\n  </item>\n</data>\n")
+    df, keys = read_xml(spark, [x])
+    assert keys == ["k", "v"]
+    assert sorted(tuple(r)[:2] for r in df.collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_source_errors(spark, tmp_dir):
+    import pytest
+
+    from sluice.sources.dispatch import read_units
+    from sluice.sources.files import SourceError, detect_encoding
+    from sluice.options import ReadOptions
+
+    bad = os.path.join(tmp_dir, "x.parquetish")
+    open(bad, "w").write("x")
+    with pytest.raises(SourceError):
+        next(iter(read_units(spark, [bad], ReadOptions())))
+    with pytest.raises(SourceError):
+        detect_encoding(b"\xff\xfe\xfa\xfb\xfc" * 10, "auto")
