@@ -155,34 +155,63 @@ def with_next_run(rules: DataFrame, base: Column | None = None, out: str = "next
 
 
 def job_kind(job_steps: DataFrame) -> DataFrame:
-    """LOG-10: distinct step types per job; one type -> it, several -> ``job``.
-    A job whose only step is a nested job takes that job's kind (one level)."""
-    kinds = job_steps.groupBy("job_id").agg(
-        F.count_distinct("step_type").alias("__n"),
-        F.min("step_type").alias("__type"),
-        F.min(F.when(F.col("step_type") == "job", F.col("target_job_id"))).alias("__child"),
-    )
-    base = kinds.select("job_id", "__child", "__type",
-                        F.when(F.col("__n") == 1, F.col("__type")).otherwise(F.lit("job")).alias("kind"))
-    child = base.select(F.col("job_id").alias("__cid"), F.col("kind").alias("__ckind"))
-    out = base.join(child, base["__child"] == child["__cid"], "left")
-    only_nested = (F.col("kind") == "job") & (F.col("__type") == "job")
-    return out.select("job_id", F.when(only_nested & F.col("__ckind").isNotNull(), F.col("__ckind"))
-                      .otherwise(F.col("kind")).alias("kind"))
+    """LOG-10: a job's kind from its steps ``(job_id, step_type, target_job_id)``.
 
+    A job whose only step runs another job takes that job's kind, followed
+    through any depth; a missing target, or a chain that loops, gives ``job``.
+    Otherwise: one distinct step type -> that type, several -> ``job``.
+
+    Chains are followed by pointer jumping: every round each unresolved job
+    looks up the job it points at in the *current* state, so the distance
+    covered doubles per round.  A chain without a loop is at most n jobs long,
+    so after ceil(log2 n) + 1 rounds anything still unresolved is a loop.
+    """
+    import math
 
-def find_cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    per_job = job_steps.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("__steps"),
+        F.count_distinct("step_type").alias("__types"),
+        F.min("step_type").alias("__type"),
+        F.min("target_job_id").alias("__target"),
+    )
+    single = (F.col("__steps") == 1) & (F.col("__type") == "job")
+    state = per_job.select(
+        "job_id",
+        F.when(single, F.col("__target")).alias("cur"),
+        F.when(single, F.lit(None).cast("string"))
+        .when(F.col("__types") == 1, F.col("__type")).otherwise(F.lit("job")).alias("kind"),
+    ).checkpoint()
+    n = state.count()
+    for _ in range(int(math.ceil(math.log2(max(n, 2)))) + 1):
+        if state.where(F.col("kind").isNull() & F.col("cur").isNotNull()).isEmpty():
+            break
+        t = state.select(F.col("job_id").alias("t_id"), F.col("cur").alias("t_cur"), F.col("kind").alias("t_kind"))
+        open_ = F.col("kind").isNull() & F.col("cur").isNotNull()
+        state = state.join(t, state["cur"] == t["t_id"], "left").select(
+            "job_id",
+            F.when(~open_, F.col("cur")).when(F.col("t_id").isNull() | F.col("t_kind").isNotNull(), F.lit(None))
+            .otherwise(F.col("t_cur")).alias("cur"),
+            F.when(~open_, F.col("kind")).when(F.col("t_id").isNull(), F.lit("job"))
+            .otherwise(F.col("t_kind")).alias("kind"),
+        ).checkpoint()
+    return state.select("job_id", F.coalesce(F.col("kind"), F.lit("job")).alias("kind"))
+
+
+def find_cycles(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """LOG-11: jobs that reach themselves through nested-job edges (job_id -> child_id).
 
     Iterative frontier expansion: each round joins the frontier of paths to
     the edge table and keeps only (start, reached) pairs not seen before, so
     work is bounded by the transitive closure, not by the number of paths.
-    Lineage is cut every round with ``checkpoint()``.
+    It runs to a fixpoint (no round cap).  Lineage is cut every round with
+    ``checkpoint()``.
     """
     e = edges.select(F.col("job_id").alias("src"), F.col("child_id").alias("dst")).distinct()
     reach = e.checkpoint()
     frontier = reach
-    for _ in range(max_depth):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         step = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select(
             F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
         new = step.distinct().join(reach, ["src", "dst"], "left_anti").checkpoint()

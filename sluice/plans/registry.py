@@ -647,13 +647,22 @@ def due_schedules(spark, sf_dir):
 
 
 @register("job_kinds", """
-WITH s AS (SELECT l_orderkey AS job_id, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE 'job' END AS step_type,
+WITH RECURSIVE s AS (SELECT l_orderkey AS job_id, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE 'job' END AS step_type,
                   l_partkey AS target FROM lineitem),
-k AS (SELECT job_id, count(DISTINCT step_type) AS n, min(step_type) AS t,
-             min(CASE WHEN step_type = 'job' THEN target END) AS child FROM s GROUP BY job_id),
-b AS (SELECT job_id, child, t, CASE WHEN n = 1 THEN t ELSE 'job' END AS kind FROM k)
-SELECT b.job_id, CASE WHEN b.kind = 'job' AND b.t = 'job' AND c.kind IS NOT NULL THEN c.kind ELSE b.kind END AS kind
-FROM b LEFT JOIN b c ON b.child = c.job_id""")
+k AS (SELECT job_id, count(*) AS steps, count(DISTINCT step_type) AS n, min(step_type) AS t, min(target) AS tgt
+      FROM s GROUP BY job_id),
+b AS (SELECT job_id, CASE WHEN steps = 1 AND t = 'job' THEN tgt END AS nxt,
+             CASE WHEN steps = 1 AND t = 'job' THEN NULL WHEN n = 1 THEN t ELSE 'job' END AS kind FROM k),
+walk(job_id, cur, depth) AS (
+  SELECT job_id, nxt, 1 FROM b WHERE nxt IS NOT NULL
+  UNION ALL
+  SELECT w.job_id, b.nxt, w.depth + 1 FROM walk w JOIN b ON w.cur = b.job_id
+  WHERE b.nxt IS NOT NULL AND w.depth <= (SELECT count(*) FROM b)),
+last AS (SELECT job_id, arg_max(cur, depth) AS cur, max(depth) AS d FROM walk GROUP BY job_id)
+SELECT b.job_id, CASE WHEN b.kind IS NOT NULL THEN b.kind
+                      WHEN l.d > (SELECT count(*) FROM b) THEN 'job'
+                      ELSE coalesce(t.kind, 'job') END AS kind
+FROM b LEFT JOIN last l ON b.job_id = l.job_id LEFT JOIN b t ON l.cur = t.job_id""")
 def job_kinds(spark, sf_dir):
     """LOG-10 over lineitem read as job steps (closed lines are nested-job steps)."""
     li = scan(spark, sf_dir, "lineitem")

@@ -120,9 +120,12 @@ def test_run_log_operators(spark):
 
 
 def test_job_kind_and_cycles(spark):
-    js = spark.createDataFrame([(1, "sql", None), (1, "export", None), (2, "import", None), (3, "job", 2), (4, "job", 1)],
+    js = spark.createDataFrame([(1, "sql", None), (1, "export", None), (2, "import", None), (3, "job", 2), (4, "job", 1),
+                                (5, "job", 3), (6, "job", 5), (7, "job", 99), (8, "job", 9), (9, "job", 8),
+                                (10, "job", 2), (10, "job", 3), (11, "job", 2), (11, "sql", None)],
                                "job_id long, step_type string, target_job_id long")
     kinds = {r.job_id: r.kind for r in job_kind(js).collect()}
-    assert kinds == {1: "job", 2: "import", 3: "import", 4: "job"}
+    assert kinds == {1: "job", 2: "import", 3: "import", 4: "job", 5: "import", 6: "import", 7: "job",
+                     8: "job", 9: "job", 10: "job", 11: "job"}
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "job_id long, child_id long")
     assert sorted(r.job_id for r in find_cycles(edges).collect()) == [1, 2, 3]
