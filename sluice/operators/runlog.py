@@ -63,6 +63,10 @@ def nest_steps(runs: DataFrame, steps: DataFrame, *, job_id=None, schedule_id=No
         runs = runs.where(F.col("schedule_id") == schedule_id)
     if limit:
         runs = runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
+        # only the listed runs' steps are grouped: a semi join against at most
+        # ``limit`` ids (a proven-small broadcast)
+        ids = F.broadcast(runs.select(F.col("id").alias("__rid")))
+        steps = steps.join(ids, steps["run_id"] == ids["__rid"], "left_semi")
     step_struct = F.struct(*[F.col(c) for c in steps.columns if c != "run_id"])
     grouped = steps.groupBy("run_id").agg(
         F.array_sort(F.collect_list(step_struct), lambda a, b: F.when(a["step_index"] < b["step_index"], -1)
