@@ -158,13 +158,15 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
     for f in files:
         for raw, header, sheet in dispatch.read_units(spark, [f], s.read):
             name = f.rsplit("/", 1)[-1]
+            table_name, rule = s.table, s.table_rule
+            if sheet and s.read.sheet_mode == "all":
+                # SRC-6: one table per sheet, "{table}_{sheet}" or the sheet itself
+                table_name, rule = (f"{s.table}_{sheet}" if s.table else ""), "sheet"
             table = target_table_name(
-                name, table_name=s.table, sheet=sheet, rule=s.table_rule, regex=s.table_regex,
+                name, table_name=table_name, sheet=sheet, rule=rule, regex=s.table_regex,
                 symbol_to_underscore=s.symbol_to_underscore, pinyin=s.table_pinyin,
                 prefix=s.table_prefix, suffix=s.table_suffix, case=s.table_case,
             )
-            if s.table and sheet and s.read.sheet_mode == "all":
-                table = f"{table}_{target_table_name(sheet)}"
             try:
                 prepared = prepare(raw, header, s, sheet=sheet)
                 df = prepared.df

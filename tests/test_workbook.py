@@ -31,8 +31,10 @@ def test_i9_i10_sheets(spark, tmp_dir):
         assert r.result.rows_written == 1
     assert spark.table("t_i9b").first()["value"] == 2.5
     assert spark.table("t_i9b").first()["sheet"] == "Second"
-    res = import_path(spark, p, ImportSettings.from_fields({"importMode": "rebuild", "sheetMode": "all", "tableNameRule": "sheet"}))
+    res = import_path(spark, p, ImportSettings.from_fields({"importMode": "rebuild", "sheetMode": "all"}))
     assert [(r.table, r.result.rows_written) for r in res] == [("first", 1), ("second", 1)]
+    res = import_path(spark, p, ImportSettings.from_fields({"importMode": "rebuild", "sheetMode": "all", "tableName": "book"}))
+    assert [r.table for r in res] == ["book_first", "book_second"]
 
 
 def test_index_sheet_and_values(spark, tmp_dir):
