@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +84,8 @@ class ImportSettings:
             table_suffix=f.get("tableSuffix", "") or "",
             table_case=f.get("tableCase", "lower") or "lower",
             before_all_sql=f.get("beforeAllSql", "") or "",
-            after_each_sql=(f.get("afterEachSql", "") or "") + "\n" + (f.get("customSql", "") or ""),
+            # custom SQL runs first, then the after-each hook
+            after_each_sql=(f.get("customSql", "") or "").strip().rstrip(";") + ";\n" + (f.get("afterEachSql", "") or ""),
             after_all_sql=f.get("afterAllSql", "") or "",
             delete_source=parse_bool(f, "deleteAfterImport"),
             export_sql=f.get("exportSql", "") or "",
@@ -172,12 +173,15 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
                 df = prepared.df
                 key = None
                 done = 0
+                load_opts = s.load
                 if s.load.resume and s.load.mode != "update":
                     key = resume_key(spark, f, table, s.load.mode)
                     done = checkpoint_rows(spark, key)
                     if done:
+                        # resumed: the table keeps what was loaded; only the rest is appended
                         df = df.where(F.col(RN) > done)
-                res = load(spark, df, table, s.load, prepared.keys)
+                        load_opts = replace(s.load, mode="append")
+                res = load(spark, df, table, load_opts, prepared.keys)
                 read_n = int(prepared.rows_read.get.get("n", 0))
                 kept_n = int(prepared.rows_kept.get.get("n", 0))
                 res.rows_skipped += read_n - kept_n
