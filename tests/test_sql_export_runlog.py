@@ -63,6 +63,16 @@ def test_e1_e4_exports(spark, tmp_dir, people):
     assert e4.rows == 2 and open(local(e4.files[0]), encoding="utf-8").read().startswith("<?xml")
 
 
+def test_export_job_payload(spark, tmp_dir, people):
+    from sluice.operators.export import run_export_job
+
+    out = run_export_job(spark, {"extension": "csv", "items": [
+        {"type": "table", "table": "export_people"},
+        {"type": "query", "name": "bj", "sql": "select name from export_people where city = '北京'"}],
+        "beforeSql": "create or replace temp view pre_v as select 1 as x", "splitByBatch": "true", "batchRows": "2"}, tmp_dir)
+    assert out["rows"] == 4 and out["files"]
+
+
 def test_e5_large_and_cap_and_names(spark, tmp_dir):
     big = spark.range(1, 20001).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("n"), F.col("id")).alias("name"),
                                        (F.col("id") % 100).cast("int").alias("amount"))
