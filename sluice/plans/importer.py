@@ -87,9 +87,9 @@ class ImportSettings:
             # custom SQL runs first, then the after-each hook
             after_each_sql=(f.get("customSql", "") or "").strip().rstrip(";") + ";\n" + (f.get("afterEachSql", "") or ""),
             after_all_sql=f.get("afterAllSql", "") or "",
-            delete_source=parse_bool(f, "deleteAfterImport"),
-            export_sql=f.get("exportSql", "") or "",
-            export_folder=f.get("exportFolder", "") or "",
+            delete_source=parse_bool(f, "deleteAfterSuccess") or parse_bool(f, "deleteAfterImport"),
+            export_sql=f.get("afterQuerySql", "") or f.get("exportSql", "") or "",
+            export_folder=f.get("afterQueryExport", "") or f.get("exportFolder", "") or "",
         )
 
 
