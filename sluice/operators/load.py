@@ -79,6 +79,16 @@ def evolve_schema(spark: SparkSession, table: str, df: DataFrame, types: dict[st
         spark.sql(f"ALTER TABLE {q(table)} ADD COLUMNS ({cols})")
 
 
+def convert(c, src_type: T.DataType, dst_type: T.DataType):
+    """Input value to a table column's type: text is parsed leniently (bad or
+    empty -> null, as TYP-2), other types are cast."""
+    if src_type == dst_type:
+        return c
+    if isinstance(src_type, T.StringType) and not isinstance(dst_type, T.StringType):
+        return F.regexp_replace(c, "^\\+", "").try_cast(dst_type)
+    return c.try_cast(dst_type)
+
+
 def align_to_table(spark: SparkSession, table: str, df: DataFrame) -> DataFrame:
     """Input in the table's column order and types; absent columns as null."""
     fields = table_columns(spark, table)
@@ -86,14 +96,7 @@ def align_to_table(spark: SparkSession, table: str, df: DataFrame) -> DataFrame:
     cols = []
     for f in fields:
         if f.name in have:
-            v = F.col(q(f.name))
-            src_type = df.schema[f.name].dataType
-            if src_type != f.dataType:
-                if isinstance(src_type, T.StringType) and not isinstance(f.dataType, T.StringType):
-                    v = F.regexp_replace(v, "^\\+", "").try_cast(f.dataType)
-                else:
-                    v = v.cast(f.dataType)
-            cols.append(v.alias(f.name))
+            cols.append(convert(F.col(q(f.name)), df.schema[f.name].dataType, f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols)
@@ -128,30 +131,39 @@ def upsert_frame(spark: SparkSession, table: str, source: DataFrame, keys: list[
         reduced = source.select(*scols).dropDuplicates(keys)
     s = reduced.select(*[F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(keys)],
                        *[F.col(q(c)).alias(f"__u_{c}") for c in update_cols], F.lit(True).alias("__hit"))
+    stypes0 = {f.name: f.dataType for f in source.schema.fields}
+    tfields0 = {f.name: f.dataType for f in target.schema.fields}
     cond = None
     for i, k in enumerate(keys):
-        e = target[q(k)].eqNullSafe(s[f"__k{i}"])
+        e = target[q(k)].eqNullSafe(convert(s[f"__k{i}"], stypes0[k], tfields0[k]))
         cond = e if cond is None else cond & e
     joined = target.join(s, cond, "left")
     tfields = {f.name: f.dataType for f in target.schema.fields}
+    stypes = {f.name: f.dataType for f in source.schema.fields}
     updated = joined.select(
         *[
-            (F.when(F.col("__hit"), F.col(f"__u_{c}").cast(tfields[c])).otherwise(F.col(q(c))) if c in update_cols else F.col(q(c))).alias(c)
+            (F.when(F.col("__hit"), convert(F.col(f"__u_{c}"), stypes[c], tfields[c])).otherwise(F.col(q(c)))
+             if c in update_cols else F.col(q(c))).alias(c)
             for c in tcols
         ]
     )
     tkeys = target.select(*[F.col(q(k)).alias(f"__t{i}") for i, k in enumerate(keys)]).distinct()
     cond2 = None
     for i, k in enumerate(keys):
-        e = reduced[q(k)].eqNullSafe(tkeys[f"__t{i}"])
+        e = convert(reduced[q(k)], stypes[k], tfields[k]).eqNullSafe(tkeys[f"__t{i}"])
         cond2 = e if cond2 is None else cond2 & e
     inserts = reduced.join(tkeys, cond2, "left_anti")
     return updated, inserts
 
 
 def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOptions(), keys: list[str] | None = None,
-         fmt: str = "parquet") -> LoadResult:
-    """Write ``df`` (visible columns; ``__rn`` used as order for update) into ``table``."""
+         fmt: str = "parquet", count_source: bool = True) -> LoadResult:
+    """Write ``df`` (visible columns; ``__rn`` used as order for update) into ``table``.
+
+    In update mode ``rows_updated`` needs the number of input rows; with
+    ``count_source=False`` the caller supplies it (it usually has it from an
+    observation) and ``rows_updated`` is left at -1.
+    """
     t0 = time.time()
     mode = o.mode
     if mode not in {"append", "overwrite", "rebuild", "update"}:
@@ -208,13 +220,19 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
         src_obs = Observation(f"src_{uuid.uuid4().hex[:8]}")
         inserts = inserts.observe(ins_obs, F.count(F.lit(1)).alias("n"))
         tfields = [f.name for f in table_columns(spark, table)]
-        ins_aligned = inserts.select(*[F.col(q(c)) if c in inserts.columns else F.lit(None).alias(c) for c in tfields])
-        ins_aligned = ins_aligned.select(*[F.col(q(f.name)).cast(f.dataType).alias(f.name) for f in table_columns(spark, table)])
+        ins_types = {f.name: f.dataType for f in inserts.schema.fields}
+        ins_aligned = inserts.select(*[
+            (convert(F.col(q(f.name)), ins_types[f.name], f.dataType) if f.name in ins_types
+             else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in table_columns(spark, table)])
         content = updated.unionByName(ins_aligned)
         _write_new(content, staging, fmt, o.location_root)
-        n_src = src.observe(src_obs, F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1))).first()[0]
         result.rows_inserted = int(ins_obs.get["n"])
-        result.rows_updated = int(n_src) - result.rows_inserted
+        if count_source:
+            n_src = src.observe(src_obs, F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1))).first()[0]
+            result.rows_updated = int(n_src) - result.rows_inserted
+        else:
+            result.rows_updated = -1
         result.rows_written = result.rows_inserted
         spark.sql(f"DROP TABLE {q(table)}")
         spark.sql(f"ALTER TABLE {q(staging)} RENAME TO {q(table)}")

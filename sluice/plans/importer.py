@@ -181,10 +181,12 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
                         # resumed: the table keeps what was loaded; only the rest is appended
                         df = df.where(F.col(RN) > done)
                         load_opts = replace(s.load, mode="append")
-                res = load(spark, df, table, load_opts, prepared.keys)
+                res = load(spark, df, table, load_opts, prepared.keys, count_source=False)
                 read_n = int(prepared.rows_read.get.get("n", 0))
                 kept_n = int(prepared.rows_kept.get.get("n", 0))
                 res.rows_skipped += read_n - kept_n
+                if res.rows_updated < 0:
+                    res.rows_updated = kept_n - done - res.rows_inserted
                 if s.after_each_sql.strip():
                     S.execute_batch(spark, s.after_each_sql)
                 if key:

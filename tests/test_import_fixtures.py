@@ -185,3 +185,13 @@ def test_declared_options(spark, tmp_dir):
     got = sorted((r.name, r.extra) for r in spark.table("t_dcl").collect())
     assert got == [("A", "x"), ("B", "y"), ("C", "z"), ("E", None)]
     assert spark.table("t_dcl").columns == ["name", "when", "extra"]
+
+
+def test_update_with_empty_numeric_cell(spark, tmp_dir):
+    p = write(os.path.join(tmp_dir, "upd.csv"), "Name,Amount\nA,1\nB,2\n")
+    run(spark, p, {"importMode": "rebuild", "tableName": "t_upd"})
+    write(p, "Name,Amount\nA,\nC,+3\nC,4\n")
+    r = run(spark, p, {"importMode": "update", "tableName": "t_upd"})[0]
+    assert r.status == "success", r.message
+    assert (r.result.rows_inserted, r.result.rows_updated) == (1, 2)
+    assert sorted(tuple(x) for x in spark.table("t_upd").collect()) == [("A", None), ("B", 2), ("C", 4)]
