@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     taken, so lineage cuts still go through ``checkpoint()`` and never through
     ``localCheckpoint``.
     """
+    ship_package(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not current:
@@ -47,3 +49,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sluice`` importable in executor Python workers (Arrow-batched
+    steps and the Python data sources run there): zip the package once per
+    application and hand it to ``addPyFile``, Spark's own distribution path."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sluice-pkg-"), "sluice.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.join("sluice", os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

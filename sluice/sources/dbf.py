@@ -141,6 +141,9 @@ class DbfSource(DataSource):
 
 
 def read_dbf(spark: SparkSession, paths: list[str], encoding: str = "auto") -> tuple[DataFrame, list[str]]:
+    from sluice.session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(DbfSource)
     names = [f["name"] for f in read_header(paths[0])["fields"]]
     rows = spark.read.format("sluice_dbf").option("paths", json.dumps(list(paths))).option("encoding", encoding).load()

@@ -57,6 +57,9 @@ def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
     values as Python text) that no built-in expression reproduces; it runs as
     an Arrow-batched ``mapInPandas`` on the partitions Spark already has.
     """
+    from sluice.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [
         T.StructField("__names", T.ArrayType(T.StringType())), T.StructField("__values", T.ArrayType(T.StringType())),
     ])

@@ -198,6 +198,9 @@ class WorkbookSource(DataSource):
 
 
 def _register(spark: SparkSession) -> None:
+    from sluice.session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(WorkbookSource)
 
 
@@ -373,5 +376,8 @@ def write_workbooks(df: DataFrame, path: str, o, partition: bool) -> list[str]:
                 out_files.append(f)
         yield pd.DataFrame({"file": out_files, "rows": out_rows})
 
+    from sluice.session import ship_package
+
+    ship_package(df.sparkSession)
     written = df.mapInPandas(run, "file string, rows long").collect()
     return sorted(r["file"] for r in written)
