@@ -451,6 +451,21 @@ def workbook_io(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "xlsx")
 
 
+@register("dbf_io", """
+SELECT c_custkey AS custkey, c_name AS name, CAST(c_nationkey AS BIGINT) AS nationkey, c_acctbal AS acctbal,
+       c_mktsegment AS segment FROM customer""")
+def dbf_io(spark, sf_dir):
+    """SRC-7 over DBF files Spark writes from customer (one file per partition)."""
+    from sluice.sources.dbf import write_dbf_parts
+
+    cust = scan(spark, sf_dir, "customer")
+    fields = [("CUSTKEY", "N", 12, 0), ("NAME", "C", 25, 0), ("NATIONKEY", "N", 4, 0),
+              ("ACCTBAL", "N", 14, 2), ("SEGMENT", "C", 12, 0)]
+    folder = f"{workdir(spark)}/dbf"
+    write_dbf_parts(balance(cust), folder, fields)
+    return _reimport(spark, folder)
+
+
 @register("export_split", "SELECT c_mktsegment AS part, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def export_split(spark, sf_dir):
     from sluice.sources.delimited import read_delimited

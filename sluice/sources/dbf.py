@@ -154,11 +154,14 @@ def read_dbf(spark: SparkSession, paths: list[str], encoding: str = "auto") -> t
 
 
 def write_dbf(path: str, fields: list[tuple[str, str, int, int]], rows: list[list], lang: int = 0x4D, encoding: str = "gbk") -> None:
-    """A small DBF writer (fields: name, type C/N/D/L, length, decimals); used by tests and fixtures."""
+    """A small DBF writer (fields: name, type C/N/D/L, length, decimals) for
+    test fixtures; DBF is an input format here, not an export format."""
+    from sluice.sources.files import open_write
+
     header_len = 32 + 32 * len(fields) + 1
     rec_len = 1 + sum(f[2] for f in fields)
     today = dt.date.today()
-    with open(path, "wb") as fh:
+    with open_write(path) as fh:
         fh.write(struct.pack("<BBBBIHH", 0x03, today.year - 1900, today.month, today.day, len(rows), header_len, rec_len))
         fh.write(b"\0" * 17 + bytes([lang]) + b"\0\0")
         for name, kind, length, dec in fields:
@@ -184,3 +187,26 @@ def write_dbf(path: str, fields: list[tuple[str, str, int, int]], rows: list[lis
                     raw = str(v).encode(encoding)[:length].ljust(length, b" ")
                 fh.write(raw)
         fh.write(b"\x1a")
+
+
+def write_dbf_parts(df: DataFrame, folder: str, fields: list[tuple[str, str, int, int]]) -> list[str]:
+    """Fixture writer: every partition of ``df`` becomes one DBF file."""
+    import uuid
+
+    from sluice.session import ship_package
+    from sluice.sources.files import join_uri
+
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        rows = []
+        for pdf in batches:
+            rows += [[None if (isinstance(v, float) and v != v) else v for v in r]
+                     for r in pdf.itertuples(index=False, name=None)]
+        path = join_uri(folder, f"part-{uuid.uuid4().hex[:12]}.dbf")
+        write_dbf(path, fields, rows)
+        yield pd.DataFrame({"file": [path]})
+
+    return sorted(r["file"] for r in df.mapInPandas(run, "file string").collect())
