@@ -195,3 +195,16 @@ def test_update_with_empty_numeric_cell(spark, tmp_dir):
     assert r.status == "success", r.message
     assert (r.result.rows_inserted, r.result.rows_updated) == (1, 2)
     assert sorted(tuple(x) for x in spark.table("t_upd").collect()) == [("A", None), ("B", 2), ("C", 4)]
+
+
+def test_failure_isolation_and_delete_after_success(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "iso")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "Name,When\nA,2026/01/02\n")
+    write(os.path.join(d, "b.csv"), "Name,When\nB,not a date\n")
+    write(os.path.join(d, "c.csv"), "Name,When\nC,2026/01/03\n")
+    res = run(spark, d, {"importMode": "append", "tableName": "t_iso", "dateColumns": "When:%Y/%m/%d",
+                         "deleteAfterSuccess": "true"})
+    assert [(r.file_name, r.status) for r in res] == [("a.csv", "success"), ("b.csv", "failed"), ("c.csv", "success")]
+    assert "b.csv" in os.listdir(d) and "a.csv" not in os.listdir(d)
+    assert sorted(r.name for r in spark.table("t_iso").collect()) == ["A", "C"]
