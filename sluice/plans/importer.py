@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.names import file_stem, target_table_name
+from sluice.functions.names import target_table_name
 from sluice.operators import sql as S
 from sluice.operators.clean import clean
 from sluice.operators.generate import generate
