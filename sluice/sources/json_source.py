@@ -107,13 +107,10 @@ def root_elements(content: Column, row_tag: str = "") -> Column:
     )
 
 
-def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Objects in ``json_col`` -> text columns named by the key union.
-
-    ``order_cols`` give first-seen order of keys (e.g. file, position).  Only
-    the distinct key names (with their first position) reach the driver.
-    """
-    withe = with_entries(df.where(F.ltrim(F.col(json_col)).startswith("{")), json_col)
+def cells_from_pairs(withe: DataFrame, order_cols: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows carrying ``__names``/``__values`` arrays -> text columns ``c1..cN``
+    named by the union of names in first-seen order (only the distinct names
+    reach the driver).  A later duplicate name in a row wins."""
     names = (
         withe.select(*order_cols, F.posexplode("__names").alias("__kp", "name"))
         .groupBy("name")
@@ -122,16 +119,25 @@ def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[D
         .collect()
     )
     keys = [r["name"] for r in names]
+
     def cell(k: str) -> Column:
-        # a later duplicate name wins, as with a dict assignment
         from_end = F.array_position(F.reverse(F.col("__names")), F.lit(k))
         return F.when(from_end > 0, F.try_element_at(F.col("__values"), -from_end.cast("int"))).otherwise(F.lit(""))
 
     cells = [cell(k).alias(f"c{i + 1}") for i, k in enumerate(keys)]
-    keep = [c for c in df.columns if c != json_col]
     return withe.select(*cells, *keep), keys
 
 
+def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Objects in ``json_col`` -> text columns named by the key union.
+
+    ``order_cols`` give first-seen order of keys (e.g. file, position).  Only
+    the distinct key names (with their first position) reach the driver.
+    """
+    withe = with_entries(df.where(F.ltrim(F.col(json_col)).startswith("{")), json_col)
+    return cells_from_pairs(withe, order_cols, [c for c in df.columns if c != json_col])
+
+
 def read_json(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
     docs = spark.read.text(paths, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)

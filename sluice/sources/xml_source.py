@@ -1,20 +1,24 @@
 """SRC-9: XML rows into text cells with Spark's built-in XML reader.
 
-``row_tag`` at any depth (else the root's children); child text per field,
-one nested level as ``parent_child``; attributes ignored; a repeated tag keeps
-its last value; missing -> "".  Spark orders inferred fields by name, so the
-first-seen order is restored from a byte sample of the first file.
+With a ``row_tag`` (at any depth) Spark's splittable XML reader is used; Spark
+orders inferred fields by name, so the first-seen order is restored from a
+byte sample of the first file.  Without one, every child of the root is a row
+whatever its tag, read in document order by a small Python data source (one
+task per file).  Child text per field, one nested level as ``parent_child``,
+attributes ignored, a repeated tag keeps its last value, missing -> "".
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sluice.operators.order import with_source_order
+from sluice.operators.order import BLOCK, FILE, POS, with_source_order
 from sluice.sources.files import read_head
 
 _TAG = re.compile(r"<([A-Za-z_][\w.\-:]*)[\s/>]")
@@ -43,9 +47,91 @@ def _leaf(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+class _FilePartition(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(None)
+        self.path = path
+
+
+def _local_name(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else str(tag)
+
+
+class _ChildrenReader(DataSourceReader):
+    """Rows = the root element's children, whatever their tag, in document order."""
+
+    def __init__(self, options):
+        self.paths = json.loads(options.get("paths", "[]"))
+
+    def partitions(self):
+        return [_FilePartition(p) for p in self.paths]
+
+    def read(self, part):
+        from xml.etree import ElementTree as ET
+
+        from sluice.sources.files import open_read
+
+        depth, idx = 0, 0
+        root = None
+        with open_read(part.path) as fh:
+            for event, el in ET.iterparse(fh, events=("start", "end")):
+                if event == "start":
+                    depth += 1
+                    if depth == 1:
+                        root = el
+                    continue
+                depth -= 1
+                if depth == 1:                       # a child of the root closed
+                    names, values = [], []
+                    for child in list(el):
+                        if len(child):
+                            for g in list(child):
+                                names.append(f"{_local_name(child.tag)}_{_local_name(g.tag)}")
+                                values.append(g.text or "")
+                        else:
+                            names.append(_local_name(child.tag))
+                            values.append(child.text or "")
+                    yield (part.path, idx, names, values)
+                    idx += 1
+                    el.clear()
+                    if root is not None:
+                        root.clear()
+
+
+class XmlChildrenSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "sluice_xml_children"
+
+    def schema(self):
+        return "file string, idx long, __names array<string>, __values array<string>"
+
+    def reader(self, schema):
+        return _ChildrenReader(self.options)
+
+
+def read_xml_children(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """No row tag: every child of the root is a row (one task per file; a
+    single XML document is not splittable without a row tag)."""
+    from sluice.session import ship_package
+    from sluice.sources.json_source import cells_from_pairs
+
+    ship_package(spark)
+    spark.dataSource.register(XmlChildrenSource)
+    rows = spark.read.format("sluice_xml_children").option("paths", json.dumps(list(paths))).load()
+    rows = rows.select(F.col("file").alias(FILE), F.lit(0).cast("long").alias(BLOCK), F.col("idx").alias(POS),
+                       "__names", "__values")
+    out, keys = cells_from_pairs(rows, [FILE, POS], [FILE, BLOCK, POS])
+    if not keys:
+        raise ValueError("the XML rows hold no fields")
+    return out, keys
+
+
 def read_xml(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
+    if not row_tag:
+        return read_xml_children(spark, paths)
     sample = read_head(spark, paths[0], 1 << 20).decode("utf-8", errors="ignore")
-    tag = row_tag or _first_child_tag(sample)
+    tag = row_tag
     df = (
         spark.read.format("xml")
         .option("rowTag", tag)

@@ -68,3 +68,14 @@ def test_source_errors(spark, tmp_dir):
         next(iter(read_units(spark, [bad], ReadOptions())))
     with pytest.raises(SourceError):
         detect_encoding(b"\xff\xfe\xfa\xfb\xfc" * 10, "auto")
+
+
+def test_xml_root_children_any_tag(spark, tmp_dir):
+    from sluice.sources.xml_source import read_xml
+
+    x = os.path.join(tmp_dir, "mixed.xml")
+    with open(x, "w", encoding="utf-8") as fh:
+        fh.write("<root><a id='1'><k>1</k><n><x>9</x></n></a><b><v>z</v><k>2</k><k>3</k></b></root>")
+    df, keys = read_xml(spark, [x])
+    assert keys == ["k", "n_x", "v"]
+    assert [tuple(r)[:3] for r in df.orderBy("__pos").collect()] == [("1", "9", ""), ("3", "", "z")]
