@@ -64,6 +64,7 @@ class ImportSettings:
     export_sql: str = ""          # LOAD-13: query exported after the import
     export_folder: str = ""
     log_table: str = ""           # LOG-1: append one row per file here
+    parallel_files: int = 1       # >1: independent files (distinct tables) load concurrently
 
     @classmethod
     def from_fields(cls, f: dict) -> "ImportSettings":
@@ -144,6 +145,68 @@ class FileResult:
     result: LoadResult | None = None
 
 
+def _import_file(spark: SparkSession, f: str, s: ImportSettings) -> list[FileResult]:
+    """One file (each sheet a unit): prepare, load, hooks; failures are reported."""
+    results: list[FileResult] = []
+    for raw, header, sheet in dispatch.read_units(spark, [f], s.read):
+        name = f.rsplit("/", 1)[-1]
+        table_name, rule = s.table, s.table_rule
+        if sheet and s.read.sheet_mode == "all":
+            # SRC-6: one table per sheet, "{table}_{sheet}" or the sheet itself
+            table_name, rule = (f"{s.table}_{sheet}" if s.table else ""), "sheet"
+        table = target_table_name(
+            name, table_name=table_name, sheet=sheet, rule=rule, regex=s.table_regex,
+            symbol_to_underscore=s.symbol_to_underscore, pinyin=s.table_pinyin,
+            prefix=s.table_prefix, suffix=s.table_suffix, case=s.table_case,
+        )
+        try:
+            prepared = prepare(raw, header, s, sheet=sheet)
+            df = prepared.df
+            key = None
+            done = 0
+            load_opts = s.load
+            if s.load.resume and s.load.mode != "update":
+                key = resume_key(spark, f, table, s.load.mode)
+                done = checkpoint_rows(spark, key)
+                if done:
+                    # resumed: the table keeps what was loaded; only the rest is appended
+                    df = df.where(F.col(RN) > done)
+                    load_opts = replace(s.load, mode="append")
+            res = load(spark, df, table, load_opts, prepared.keys, count_source=False)
+            read_n = int(prepared.rows_read.get.get("n", 0))
+            kept_n = int(prepared.rows_kept.get.get("n", 0))
+            res.rows_skipped += read_n - kept_n
+            if res.rows_updated < 0:
+                res.rows_updated = kept_n - done - res.rows_inserted
+            if s.after_each_sql.strip():
+                S.execute_batch(spark, s.after_each_sql)
+            if key:
+                clear_checkpoint(spark, key)
+            results.append(FileResult(name, res.table, "success", "", read_n, res))
+        except Exception as exc:  # noqa: BLE001 - one file's failure is reported, the rest go on
+            results.append(FileResult(name, table, "failed", str(exc)[:500]))
+    if s.delete_source and all(r.status == "success" for r in results if r.file_name == f.rsplit("/", 1)[-1]):
+        from sluice.sources.files import _fs
+
+        fs, p = _fs(spark, f)
+        fs.delete(p, False)
+    return results
+
+
+def _can_run_files_in_parallel(files: list[str], s: ImportSettings) -> bool:
+    """Only files that load into distinct tables, with no shared state between
+    them (per-file SQL hooks, resume checkpoints, workbooks fanning out)."""
+    if s.parallel_files <= 1 or len(files) < 2 or s.after_each_sql.strip(";\n ") or s.load.resume:
+        return False
+    if any(f.lower().endswith((".xlsx", ".xlsm")) for f in files):
+        return False
+    targets = [target_table_name(
+        f.rsplit("/", 1)[-1], table_name=s.table, rule=s.table_rule, regex=s.table_regex,
+        symbol_to_underscore=s.symbol_to_underscore, pinyin=s.table_pinyin,
+        prefix=s.table_prefix, suffix=s.table_suffix, case=s.table_case) for f in files]
+    return len(set(targets)) == len(targets)
+
+
 def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileResult]:
     """Import one path (file or folder).  Each file (or sheet) is its own unit,
     as in the contract: its own header, counts, generated keys, target table
@@ -155,50 +218,15 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
         raise ValueError("no supported files found")
     if s.before_all_sql.strip():
         S.execute_batch(spark, s.before_all_sql)
-    results: list[FileResult] = []
-    for f in files:
-        for raw, header, sheet in dispatch.read_units(spark, [f], s.read):
-            name = f.rsplit("/", 1)[-1]
-            table_name, rule = s.table, s.table_rule
-            if sheet and s.read.sheet_mode == "all":
-                # SRC-6: one table per sheet, "{table}_{sheet}" or the sheet itself
-                table_name, rule = (f"{s.table}_{sheet}" if s.table else ""), "sheet"
-            table = target_table_name(
-                name, table_name=table_name, sheet=sheet, rule=rule, regex=s.table_regex,
-                symbol_to_underscore=s.symbol_to_underscore, pinyin=s.table_pinyin,
-                prefix=s.table_prefix, suffix=s.table_suffix, case=s.table_case,
-            )
-            try:
-                prepared = prepare(raw, header, s, sheet=sheet)
-                df = prepared.df
-                key = None
-                done = 0
-                load_opts = s.load
-                if s.load.resume and s.load.mode != "update":
-                    key = resume_key(spark, f, table, s.load.mode)
-                    done = checkpoint_rows(spark, key)
-                    if done:
-                        # resumed: the table keeps what was loaded; only the rest is appended
-                        df = df.where(F.col(RN) > done)
-                        load_opts = replace(s.load, mode="append")
-                res = load(spark, df, table, load_opts, prepared.keys, count_source=False)
-                read_n = int(prepared.rows_read.get.get("n", 0))
-                kept_n = int(prepared.rows_kept.get.get("n", 0))
-                res.rows_skipped += read_n - kept_n
-                if res.rows_updated < 0:
-                    res.rows_updated = kept_n - done - res.rows_inserted
-                if s.after_each_sql.strip():
-                    S.execute_batch(spark, s.after_each_sql)
-                if key:
-                    clear_checkpoint(spark, key)
-                results.append(FileResult(name, res.table, "success", "", read_n, res))
-            except Exception as exc:  # noqa: BLE001 - one file's failure is reported, the rest go on
-                results.append(FileResult(name, table, "failed", str(exc)[:500]))
-        if s.delete_source and all(r.status == "success" for r in results if r.file_name == f.rsplit("/", 1)[-1]):
-            from sluice.sources.files import _fs
-
-            fs, p = _fs(spark, f)
-            fs.delete(p, False)
+    if _can_run_files_in_parallel(files, s):
+        from concurrent.futures import ThreadPoolExecutor
+
+        # independent files with distinct target tables: concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=s.parallel_files) as pool:
+            per_file = list(pool.map(lambda f: _import_file(spark, f, s), files))
+    else:
+        per_file = [_import_file(spark, f, s) for f in files]
+    results: list[FileResult] = [r for rs in per_file for r in rs]
     if s.after_all_sql.strip():
         S.execute_batch(spark, s.after_all_sql)
     if s.log_table:

@@ -208,3 +208,15 @@ def test_failure_isolation_and_delete_after_success(spark, tmp_dir):
     assert [(r.file_name, r.status) for r in res] == [("a.csv", "success"), ("b.csv", "failed"), ("c.csv", "success")]
     assert "b.csv" in os.listdir(d) and "a.csv" not in os.listdir(d)
     assert sorted(r.name for r in spark.table("t_iso").collect()) == ["A", "C"]
+
+
+def test_parallel_files_distinct_tables(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "par")
+    os.makedirs(d)
+    for i in range(4):
+        write(os.path.join(d, f"p{i}.csv"), "Name,Amount\n" + "".join(f"n{j},{j}\n" for j in range(i + 1)))
+    s = ImportSettings.from_fields({"importMode": "rebuild", "tablePrefix": "par_"})
+    s.parallel_files = 4
+    res = import_path(spark, d, s)
+    assert [(r.file_name, r.table, r.result.rows_written) for r in res] == [
+        (f"p{i}.csv", f"par_p{i}", i + 1) for i in range(4)]
