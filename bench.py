@@ -23,7 +23,7 @@ from sluice.session import local_session  # noqa: E402
 HEADLINE = [
     "flagship", "clean_text", "pipeline_order", "fill_down", "keep_first", "dense_key", "map_defaults",
     "infer_types", "upsert", "upsert_last_wins", "append_verify", "export_roundtrip_csv",
-    "export_roundtrip_json", "workbook_io", "dbf_io", "export_split", "flatten_json", "merge_runs", "retention", "next_run", "job_kinds", "job_cycles",
+    "export_roundtrip_json", "workbook_io", "dbf_io", "import_folder", "export_split", "flatten_json", "merge_runs", "retention", "next_run", "job_kinds", "job_cycles",
     "stream_ingest",
 ]
 

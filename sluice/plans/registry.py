@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -465,6 +466,30 @@ def dbf_io(spark, sf_dir):
     return _reimport(spark, folder)
 
 
+@register("import_folder", """
+SELECT o_orderkey AS order_key, o_custkey AS customer,
+       CASE WHEN o_orderstatus = 'P' THEN 'NONE' ELSE o_orderstatus END AS status, o_totalprice AS total
+FROM orders""")
+def import_folder(spark, sf_dir):
+    """LOAD-11 one-scan path: orders written as several CSV part files, then
+    all files imported in one scan (header per file, mapping, blank values,
+    replace-blank, typing) into one table."""
+    from sluice.plans.importer import ImportSettings, import_together
+
+    o = scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    res = export_frame(balance(o), workdir(spark), "orders", ExportOptions(fmt="csv"))
+    table = tname("orders_folder")
+    fields = {
+        "importMode": "rebuild", "tableName": table, "blankCellValues": "P", "replaceBlankWith": "NONE",
+        "mapping": [{"sourceIndex": 0, "target": "Order Key"}, {"sourceIndex": 1, "target": "Customer"},
+                    {"sourceIndex": 2, "target": "Status"}, {"sourceIndex": 3, "target": "Total"}],
+    }
+    settings = ImportSettings.from_fields(fields)
+    settings.load = replace(settings.load, location_root=workdir(spark))
+    import_together(spark, res.path, settings)
+    return spark.table(table)
+
+
 @register("export_split", "SELECT c_mktsegment AS part, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def export_split(spark, sf_dir):
     from sluice.sources.delimited import read_delimited
