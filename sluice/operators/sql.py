@@ -127,13 +127,35 @@ def split_statements(text: str) -> list[str]:
     return [s for s in out if re.sub(r"--[^\n]*|/\*.*?\*/", "", s, flags=re.S).strip()]
 
 
-def execute_batch(spark: SparkSession, text: str) -> int:
-    """SQL-2: run statements in order; returns the number run."""
-    n = 0
+def _written_rows(df: DataFrame) -> int:
+    """Rows a write command reported (``numOutputRows``), 0 when none."""
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        if plan.getClass().getSimpleName() == "CommandResultExec":
+            plan = plan.commandPhysicalPlan()
+        stack = [plan]
+        while stack:
+            node = stack.pop()
+            metrics = node.metrics()
+            if metrics.contains("numOutputRows"):
+                return int(metrics.apply("numOutputRows").value())
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+    except Exception:  # noqa: BLE001 - metrics are informational
+        pass
+    return 0
+
+
+def execute_batch(spark: SparkSession, text: str, affected: bool = False) -> int:
+    """SQL-2: run statements in order.  Returns the number run, or with
+    ``affected`` the sum of rows the write statements reported."""
+    n = rows = 0
     for stmt in split_statements(text or ""):
-        spark.sql(stmt)  # commands run eagerly; a bare query has no effect to wait for
+        df = spark.sql(stmt)  # commands run eagerly; a bare query has no effect to wait for
         n += 1
-    return n
+        if affected:
+            rows += _written_rows(df)
+    return rows if affected else n
 
 
 def where(df: DataFrame, clause: str) -> DataFrame:

@@ -48,6 +48,8 @@ def test_statement_splitter(spark):
     assert S.split_statements(text) == ["select ';' as a", "-- c;\n select 2 /* x; */", 'select "a;b"']
     assert S.execute_batch(spark, "create or replace temp view v1 as select 1 as x; create or replace temp view v2 as select 2 as y") == 2
     assert spark.table("v2").first()[0] == 2
+    S.execute_batch(spark, "create table if not exists aff_t (x int) using parquet")
+    assert S.execute_batch(spark, "insert into aff_t values (1), (2); insert into aff_t select 3", affected=True) == 3
 
 
 def test_e1_e4_exports(spark, tmp_dir, people):
