@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import jump_sharding, packing, shared, token_files
+from sluice.llm import jump_sharding, packing, quality_rules, rule_ensemble, shared, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,20 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+
+
+@register("op7_robust_outliers")
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality_rules.judge(docs, keep_text=False)
+    return judged.select("doc_id", *[quality_rules.stat(n).alias(n) for n in stats], F.col("__base_failed").alias("base_failed"),
+                         F.col("__kept").alias("kept"), F.col("__distance").alias("distance"))
+
+
+@register("op10_rule_ensemble")
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    scored = rule_ensemble.score(docs, model).select("doc_id", rule_ensemble.held_out("doc_id").alias("held_out"), F.col("__score").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
