@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import jump_sharding, packing, quality_rules, rule_ensemble, shared, token_files
+from sluice.llm import exact_topk, jump_sharding, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,58 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"))
     scored = rule_ensemble.score(docs, model).select("doc_id", rule_ensemble.held_out("doc_id").alias("held_out"), F.col("__score").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@register("op2_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
+#: Fixed values of the contract: verdict, host and path prefix of each rule.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def _url_sql() -> str:
+    """The URL query in SQL: rounds of integer mass unrolled as one subquery each."""
+    unit, follow = url_trust.UNIT, url_trust.FOLLOW
+    fits = lambda r: f"((host = '{r[1]}' OR host LIKE '%.{r[1]}') AND starts_with(path, '{r[2]}'))"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    pick = lambda k: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[1] + r[2] if k else r[0]}'" for r in longest) + " END"
+    host = lambda c: f"coalesce(translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), '{url_trust._UPPER}', '{url_trust._LOWER}'), '')"
+    scheme = "[A-Za-z][A-Za-z0-9+.-]*:"
+    sql = f"""
+WITH u AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS MATERIALIZED (SELECT *, {pick(True)} AS rule, {pick(False)} AS kind FROM u),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"''<>]*)["'']', 1)) AS link FROM p),
+h AS (SELECT src, CASE WHEN starts_with(link, '//') THEN {host("('x:' || link)")}
+                       WHEN regexp_matches(link, '^{scheme}//') THEN {host('link')}
+                       WHEN NOT regexp_matches(link, '^{scheme}') THEN src END AS dst FROM l),
+e0 AS (SELECT src, dst, count(*) AS n FROM h WHERE dst <> '' GROUP BY ALL),
+s0 AS (SELECT host, (count(*) FILTER (kind = 'allow') * {unit}) // count(*) AS s, (count(*) FILTER (kind = 'block') * {unit}) // count(*) AS b FROM p GROUP BY host),
+seed AS MATERIALIZED (SELECT * FROM s0 UNION ALL SELECT DISTINCT dst, 0, 0 FROM e0 WHERE dst NOT IN (SELECT host FROM s0)),
+e AS (SELECT * FROM e0 UNION ALL SELECT host, host, 1 FROM seed WHERE host NOT IN (SELECT src FROM e0)),
+w AS MATERIALIZED (SELECT src, dst, (n * {unit}) // sum(n) OVER (PARTITION BY src) AS share FROM e),
+m0 AS (SELECT host, s AS t, b AS d FROM seed)"""
+    for k in range(url_trust.ROUNDS):
+        sql += f""",
+m{k + 1} AS MATERIALIZED (SELECT seed.host,
+  (s * {100 - follow} + coalesce((SELECT CAST(sum((t * share) // {unit}) AS BIGINT) FROM w JOIN m{k} m ON m.host = w.src WHERE w.dst = seed.host), 0) * {follow}) // 100 AS t,
+  (b * {100 - follow} + coalesce((SELECT CAST(sum((d * share) // {unit}) AS BIGINT) FROM w JOIN m{k} m ON m.host = w.dst WHERE w.src = seed.host), 0) * {follow}) // 100 AS d FROM seed)"""
+    return sql + f"""
+SELECT page_id, p.host, path, rule, coalesce(kind, CASE WHEN d - t >= {int(url_trust.THRESHOLD * unit)} THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(t AS DOUBLE) / {unit} AS trust, CAST(d AS DOUBLE) / {unit} AS distrust
+FROM p JOIN m{url_trust.ROUNDS} USING (host)"""
+
+
+@register("op4_url_trust", _url_sql())
+def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
+                         F.col("__verdict").alias("verdict"), F.col("__trust").alias("trust"), F.col("__distrust").alias("distrust"))
