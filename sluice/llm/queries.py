@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_topk, jump_sharding, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
+from sluice.llm import exact_topk, jump_sharding, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,10 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_trust.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
                          F.col("__verdict").alias("verdict"), F.col("__trust").alias("trust"), F.col("__distrust").alias("distrust"))
+
+
+@register("op3_order_minhash")
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.classes(table(spark, sf_dir, "documents"))
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("class_node"))
+    return found.select("doc_id", "class_id", kept.alias("kept"))
