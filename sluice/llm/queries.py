@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_topk, jump_sharding, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
+from sluice.llm import exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.classes(table(spark, sf_dir, "documents"))
     kept = (F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("class_node"))
     return found.select("doc_id", "class_id", kept.alias("kept"))
+
+
+@register("op8_nbest_pieces")
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4, keep_ids=False)
