@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
+from sluice.llm import chat_repair, exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_nbest_pieces")
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4, keep_ids=False)
+
+
+@register("op5_chat_repair")
+def op5_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
