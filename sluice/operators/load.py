@@ -9,20 +9,28 @@ Upsert without MERGE (plain parquet tables refuse it):
   hot key costs one row per task), target rows left-joined to it (target side
   streams; the reduced side has one row per key, so a hot target key never
   buffers), new keys found with an anti join against the target's *distinct*
-  keys; the result is staged in a new table, verified, and swapped in by rename.
+  keys.  Keys are converted to the table's types before the reduction, so text
+  ``1`` and ``01`` are one bigint key; rows are ordered by (file, row number).
+
+Publishing.  Rebuild, overwrite and update write a staging table, verify its
+count, rename the old table to a backup and the staging table into its place,
+run the caller's ``after`` hook, and only then drop the backup.  Append commits
+its files in one job.  Whatever fails on the way is undone: the old table
+stands as it was.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.operators.order import RN, visible_columns
+from sluice.operators.order import FILE, RN, visible_columns
 from sluice.operators.types import cast_columns, infer_types
 from sluice.options import LoadOptions
 
@@ -68,14 +76,19 @@ def choose_table_name(spark: SparkSession, table: str, policy: str) -> str | Non
     return table
 
 
-def evolve_schema(spark: SparkSession, table: str, df: DataFrame, types: dict[str, T.DataType], allow: bool) -> None:
-    """LOAD-5: add columns the input has and the table lacks, or refuse."""
-    existing = {f.name for f in table_columns(spark, table)}
-    missing = [c for c in df.columns if c not in existing]
+def evolved_fields(spark: SparkSession, table: str, df: DataFrame, types: dict[str, T.DataType], allow: bool) -> list[T.StructField]:
+    """LOAD-5: the table's columns, and those the input has beyond them (or a refusal)."""
+    fields = table_columns(spark, table)
+    missing = [c for c in df.columns if c not in {f.name for f in fields}]
     if missing and not allow:
         raise LoadError(f"target table lacks columns: {', '.join(missing)}")
-    if missing:
-        cols = ", ".join(f"{q(c)} {types.get(c, T.StringType()).simpleString()}" for c in missing)
+    return fields + [T.StructField(c, types.get(c, T.StringType())) for c in missing]
+
+
+def add_columns(spark: SparkSession, table: str, fields: list[T.StructField]) -> None:
+    have = {f.name for f in table_columns(spark, table)}
+    cols = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in fields if f.name not in have)
+    if cols:
         spark.sql(f"ALTER TABLE {q(table)} ADD COLUMNS ({cols})")
 
 
@@ -89,17 +102,11 @@ def convert(c, src_type: T.DataType, dst_type: T.DataType):
     return c.try_cast(dst_type)
 
 
-def align_to_table(spark: SparkSession, table: str, df: DataFrame) -> DataFrame:
-    """Input in the table's column order and types; absent columns as null."""
-    fields = table_columns(spark, table)
-    have = set(df.columns)
-    cols = []
-    for f in fields:
-        if f.name in have:
-            cols.append(convert(F.col(q(f.name)), df.schema[f.name].dataType, f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+def align(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Input in the given column order and types; absent columns as null."""
+    return df.select(*[
+        (convert(F.col(q(f.name)), df.schema[f.name].dataType, f.dataType) if f.name in df.columns
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
 
 
 def _write_new(df: DataFrame, table: str, fmt: str = "parquet", root: str = "") -> None:
@@ -109,60 +116,104 @@ def _write_new(df: DataFrame, table: str, fmt: str = "parquet", root: str = "")
     w.saveAsTable(table)
 
 
-def _count(spark: SparkSession, table: str) -> int:
-    return spark.table(q(table)).count()
+def _location(root: str, table: str) -> str:
+    return f" LOCATION '{root.rstrip('/')}/{table}'" if root else ""
+
 
+def _write_like(spark: SparkSession, df: DataFrame, staging: str, table: str, fields: list[T.StructField], root: str) -> None:
+    """Write ``df`` into a new table of ``table``'s definition, with added columns."""
+    spark.sql(f"CREATE TABLE {q(staging)} LIKE {q(table)}{_location(root, staging)}")
+    add_columns(spark, staging, fields)
+    df.write.insertInto(staging)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {q(table)}")
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    spark.sql(f"ALTER TABLE {q(old)} RENAME TO {q(new)}")
+
+
+def swap_in(spark: SparkSession, staging: str, table: str, after: Callable[[], None] | None) -> None:
+    """Put a finished staging table in the place of ``table``, with a way back until ``after`` has run."""
+    backup = f"{table}__old_{uuid.uuid4().hex[:8]}" if table_exists(spark, table) else None
+    if backup:
+        _rename(spark, table, backup)
+    try:
+        _rename(spark, staging, table)
+        if after:
+            after()
+    except BaseException:
+        if table_exists(spark, staging):
+            _drop(spark, staging)
+        else:
+            _drop(spark, table)
+        if backup:
+            _rename(spark, backup, table)
+        raise
+    if backup:
+        _drop(spark, backup)
 
-def upsert_frame(spark: SparkSession, table: str, source: DataFrame, keys: list[str], order: str | None = RN) -> tuple[DataFrame, DataFrame]:
-    """Build the post-upsert content of ``table`` and the frame of new keys."""
+
+def _files(spark: SparkSession, table: str) -> set[str]:
+    spark.catalog.refreshTable(q(table))
+    return set(spark.table(q(table)).inputFiles())
+
+
+def _remove(spark: SparkSession, table: str, files: set[str]) -> None:
+    from sluice.sources.files import _fs
+
+    for f in files:
+        fs, path = _fs(spark, f)
+        fs.delete(path, False)
+    spark.catalog.refreshTable(q(table))
+
+
+def upsert_frame(spark: SparkSession, table: str, source: DataFrame, keys: list[str], fields: list[T.StructField] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The post-upsert rows that ``table`` already has, and the rows of new keys, both with the columns ``fields``.
+
+    ``source`` may carry ``__file`` and ``__rn``: the last row of a key by these wins."""
     target = spark.table(q(table))
-    tcols = target.columns
+    fields = fields or table_columns(spark, table)
     scols = [c for c in source.columns if not c.startswith("__")]
-    missing = [k for k in keys if k not in scols or k not in tcols]
+    missing = [k for k in keys if k not in scols or k not in target.columns]
     if missing:
         raise LoadError(f"match keys not in both input and table: {missing}")
     update_cols = [c for c in scols if c not in keys]
-    if order and order in source.columns:
-        reduced = source.groupBy(*[F.col(q(k)) for k in keys]).agg(
-            F.max_by(F.struct(*[F.col(q(c)) for c in update_cols] or [F.lit(1).alias("__x")]), F.col(order)).alias("__last")
-        )
-        reduced = reduced.select(*[F.col(q(k)) for k in keys], *[F.col(f"__last.{q(c)}").alias(c) for c in update_cols])
-    else:
-        reduced = source.select(*scols).dropDuplicates(keys)
-    s = reduced.select(*[F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(keys)],
-                       *[F.col(q(c)).alias(f"__u_{c}") for c in update_cols], F.lit(True).alias("__hit"))
-    stypes0 = {f.name: f.dataType for f in source.schema.fields}
-    tfields0 = {f.name: f.dataType for f in target.schema.fields}
-    cond = None
-    for i, k in enumerate(keys):
-        e = target[q(k)].eqNullSafe(convert(s[f"__k{i}"], stypes0[k], tfields0[k]))
-        cond = e if cond is None else cond & e
-    joined = target.join(s, cond, "left")
-    tfields = {f.name: f.dataType for f in target.schema.fields}
-    stypes = {f.name: f.dataType for f in source.schema.fields}
-    updated = joined.select(
-        *[
-            (F.when(F.col("__hit"), convert(F.col(f"__u_{c}"), stypes[c], tfields[c])).otherwise(F.col(q(c)))
-             if c in update_cols else F.col(q(c))).alias(c)
-            for c in tcols
-        ]
-    )
-    tkeys = target.select(*[F.col(q(k)).alias(f"__t{i}") for i, k in enumerate(keys)]).distinct()
-    cond2 = None
-    for i, k in enumerate(keys):
-        e = convert(reduced[q(k)], stypes[k], tfields[k]).eqNullSafe(tkeys[f"__t{i}"])
-        cond2 = e if cond2 is None else cond2 & e
-    inserts = reduced.join(tkeys, cond2, "left_anti")
+    kinds = {f.name: f.dataType for f in fields}
+    order = [F.col(c) for c in (FILE, RN) if c in source.columns] or [F.monotonically_increasing_id()]
+    typed = source.select(*[convert(F.col(q(c)), source.schema[c].dataType, kinds[c]).alias(c) for c in scols], F.struct(*order).alias("__order"))
+    last = F.max_by(F.struct(F.lit(True).alias("__hit"), *[F.col(q(c)) for c in update_cols]), "__order").alias("__last")
+    reduced = typed.groupBy(*[F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(last)
+
+    def same(side: DataFrame):
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & side[q(k)].eqNullSafe(reduced[f"__k{i}"])
+        return cond
+
+    def old(c: str):
+        return F.col(q(c)) if c in target.columns else F.lit(None).cast(kinds[c])
+
+    updated = target.join(reduced, same(target), "left").select(*[
+        (F.when(F.col("__last.__hit"), F.col(f"__last.{q(f.name)}")).otherwise(old(f.name)) if f.name in update_cols else old(f.name)).alias(f.name)
+        for f in fields])
+    known = target.select(*[F.col(q(k)) for k in keys]).distinct()
+    place = {k: F.col(f"__k{i}") for i, k in enumerate(keys)} | {c: F.col(f"__last.{q(c)}") for c in update_cols}
+    inserts = reduced.join(known, same(known), "left_anti").select(
+        *[place.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
     return updated, inserts
 
 
 def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOptions(), keys: list[str] | None = None,
-         fmt: str = "parquet", count_source: bool = True) -> LoadResult:
+         fmt: str = "parquet", count_source: bool = True, after: Callable[[], None] | None = None) -> LoadResult:
     """Write ``df`` (visible columns; ``__rn`` used as order for update) into ``table``.
 
     In update mode ``rows_updated`` needs the number of input rows; with
     ``count_source=False`` the caller supplies it (it usually has it from an
-    observation) and ``rows_updated`` is left at -1.
+    observation) and ``rows_updated`` is left at -1.  ``after`` runs once the
+    rows are in the table; if it fails, the table is as it was before.
     """
     t0 = time.time()
     mode = o.mode
@@ -195,52 +246,56 @@ def load(spark: SparkSession, df: DataFrame, table: str, o: LoadOptions = LoadOp
         new = [c for c in cols if c not in have]
         types = infer_types(data, o.type_mode, new) if new else {}
     obs = Observation(f"load_{uuid.uuid4().hex[:8]}")
+    seen = F.count(F.lit(1)).alias("n")
     result = LoadResult(table, mode)
-
-    if mode == "rebuild" or not exists:
-        typed = cast_columns(data, types).observe(obs, F.count(F.lit(1)).alias("n"))
-        _write_new(typed, table, fmt, o.location_root)
-        result.rows_written = int(obs.get["n"])
-        expected = result.rows_written
-    elif mode in {"append", "overwrite"}:
-        before = _count(spark, table) if (mode == "append" and o.verify) else 0
-        evolve_schema(spark, table, data, types, o.auto_expand)
-        aligned = align_to_table(spark, table, data).observe(obs, F.count(F.lit(1)).alias("n"))
-        aligned.write.insertInto(table, overwrite=(mode == "overwrite"))
-        result.rows_written = int(obs.get["n"])
-        expected = before + result.rows_written if mode == "append" else result.rows_written
-    else:  # update
-        if not keys:
-            raise LoadError("update mode needs at least one match key")
-        evolve_schema(spark, table, data, types, o.auto_expand)
-        src = df.select(*[F.col(q(c)) for c in cols], *([F.col(RN)] if RN in df.columns else []))
-        updated, inserts = upsert_frame(spark, table, src, keys)
-        staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
-        ins_obs = Observation(f"ins_{uuid.uuid4().hex[:8]}")
-        src_obs = Observation(f"src_{uuid.uuid4().hex[:8]}")
-        inserts = inserts.observe(ins_obs, F.count(F.lit(1)).alias("n"))
-        tfields = [f.name for f in table_columns(spark, table)]
-        ins_types = {f.name: f.dataType for f in inserts.schema.fields}
-        ins_aligned = inserts.select(*[
-            (convert(F.col(q(f.name)), ins_types[f.name], f.dataType) if f.name in ins_types
-             else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in table_columns(spark, table)])
-        content = updated.unionByName(ins_aligned)
-        _write_new(content, staging, fmt, o.location_root)
-        result.rows_inserted = int(ins_obs.get["n"])
-        if count_source:
-            n_src = src.observe(src_obs, F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1))).first()[0]
-            result.rows_updated = int(n_src) - result.rows_inserted
-        else:
-            result.rows_updated = -1
-        result.rows_written = result.rows_inserted
-        spark.sql(f"DROP TABLE {q(table)}")
-        spark.sql(f"ALTER TABLE {q(staging)} RENAME TO {q(table)}")
-        expected = None
-    if o.verify and expected is not None:
-        actual = _count(spark, table)
-        result.verified_rows = actual
-        if actual != expected:
-            raise LoadError(f"row count check failed for {table}: expected {expected}, found {actual}")
+    staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
+    added: set[str] | None = None
+    try:
+        if mode == "rebuild" or not exists:
+            _write_new(cast_columns(data, types).observe(obs, seen), staging, fmt, o.location_root)
+        elif mode == "overwrite":
+            fields = evolved_fields(spark, table, data, types, o.auto_expand)
+            _write_like(spark, align(data, fields).observe(obs, seen), staging, table, fields, o.location_root)
+        elif mode == "append":
+            fields = evolved_fields(spark, table, data, types, o.auto_expand)
+            before = _files(spark, table) if o.verify or after else set()
+            add_columns(spark, table, fields)
+            align(data, fields).observe(obs, seen).write.insertInto(table)
+            added = _files(spark, table) - before if o.verify or after else set()
+        else:  # update
+            if not keys:
+                raise LoadError("update mode needs at least one match key")
+            fields = evolved_fields(spark, table, data, types, o.auto_expand)
+            src = df.select(*[F.col(q(c)) for c in cols], *[F.col(c) for c in (FILE, RN) if c in df.columns])
+            updated, inserts = upsert_frame(spark, table, src, keys, fields)
+            _write_like(spark, updated.unionByName(inserts.observe(obs, seen)), staging, table, fields, o.location_root)
+        merged = exists and mode == "update"
+        result.rows_written = observed(obs, spark, staging if added is None and not merged else None)
+        if merged:
+            result.rows_inserted = result.rows_written
+            result.rows_updated = src.count() - result.rows_inserted if count_source else -1
+        elif o.verify:
+            fresh = spark.table(q(staging)) if added is None else spark.read.parquet(*sorted(added)) if added else None
+            result.verified_rows = fresh.count() if fresh is not None else 0
+            if result.verified_rows != result.rows_written:
+                raise LoadError(f"row count check failed for {table}: expected {result.rows_written}, found {result.verified_rows}")
+        if added is None:
+            swap_in(spark, staging, table, after)
+        elif after:
+            after()
+    except BaseException:
+        _drop(spark, staging)
+        if added:
+            _remove(spark, table, added)
+        raise
     result.elapsed_ms = int((time.time() - t0) * 1000)
     return result
+
+
+def observed(obs: Observation, spark: SparkSession, staging: str | None) -> int:
+    """Rows that a write saw.  A plan that the optimizer reduced to nothing reports no metric; then the rows
+    that were written are counted."""
+    try:
+        return int(obs.get["n"])
+    except Exception:  # noqa: BLE001 - the JVM side has no row to convert
+        return spark.table(q(staging)).count() if staging else 0

@@ -108,6 +108,14 @@ def prepare(raw: DataFrame, header: list[str] | None, s: ImportSettings, sheet:
     return Prepared(final, columns, keys, pre, post)
 
 
+def metric(obs: Observation) -> int:
+    """A row count; 0 where the optimizer found the input empty and reports none."""
+    try:
+        return int(obs.get["n"])
+    except Exception:  # noqa: BLE001
+        return 0
+
+
 def resume_key(spark: SparkSession, path: str, table: str, mode: str) -> str:
     from sluice.sources.files import file_info
 
@@ -172,19 +180,17 @@ def _import_file(spark: SparkSession, f: str, s: ImportSettings) -> list[FileRes
                     # resumed: the table keeps what was loaded; only the rest is appended
                     df = df.where(F.col(RN) > done)
                     load_opts = replace(s.load, mode="append")
-            res = load(spark, df, table, load_opts, prepared.keys, count_source=False)
-            read_n = int(prepared.rows_read.get.get("n", 0))
-            kept_n = int(prepared.rows_kept.get.get("n", 0))
+            hook = (lambda: S.execute_batch(spark, s.after_each_sql)) if s.after_each_sql.strip(";\n ") else None
+            res = load(spark, df, table, load_opts, prepared.keys, count_source=False, after=hook)
+            read_n, kept_n = metric(prepared.rows_read), metric(prepared.rows_kept)
             res.rows_skipped += read_n - kept_n
             if res.rows_updated < 0:
                 res.rows_updated = kept_n - done - res.rows_inserted
-            if s.after_each_sql.strip():
-                S.execute_batch(spark, s.after_each_sql)
             if key:
                 clear_checkpoint(spark, key)
             results.append(FileResult(name, res.table, "success", "", read_n, res))
         except Exception as exc:  # noqa: BLE001 - one file's failure is reported, the rest go on
-            results.append(FileResult(name, table, "failed", str(exc)[:500]))
+            results.append(FileResult(name, table, "failed", str(exc)))
     if s.delete_source and all(r.status == "success" for r in results if r.file_name == f.rsplit("/", 1)[-1]):
         from sluice.sources.files import _fs
 
@@ -254,17 +260,30 @@ def import_together(spark: SparkSession, path: str, s: ImportSettings, per_file_
 
     if not s.table:
         raise ValueError("a shared target table is required")
-    files = list_files(spark, path)
+    refused = [n for n, on in (("afterEachSql", s.after_each_sql.strip(";\n ")), ("resumeImport", s.load.resume), ("deleteAfterSuccess", s.delete_source),
+                               ("log table", s.log_table), ("afterQuerySql", s.export_sql.strip())) if on]
+    if refused:
+        raise ValueError(f"one load of all files cannot honour {', '.join(refused)}: use import_path")
+    files = list_files(spark, path, recursive=s.read.recursive, modified_after_ms=s.read.modified_after_ms)
     if s.before_all_sql.strip():
         S.execute_batch(spark, s.before_all_sql)
-    raw, header, sheet = next(iter(dispatch.read_units(spark, files, s.read)))
-    prepared = prepare(raw, header, s, sheet=sheet)
-    counts = prepared.df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows")) if per_file_counts else None
-    res = load(spark, prepared.df, s.table, s.load, prepared.keys)
-    res.rows_skipped += int(prepared.rows_read.get.get("n", 0)) - int(prepared.rows_kept.get.get("n", 0))
+    total, counts = None, None
+    for k, (raw, header, sheet) in enumerate(dispatch.read_units(spark, files, s.read)):
+        prepared = prepare(raw, header, s, sheet=sheet)
+        # the first unit (sheet) clears the table, the others join it
+        opts = s.load if not k or s.load.mode == "update" else replace(s.load, mode="append")
+        res = load(spark, prepared.df, s.table, opts, prepared.keys)
+        res.rows_skipped += metric(prepared.rows_read) - metric(prepared.rows_kept)
+        if per_file_counts:
+            per_file = prepared.df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"))
+            counts = per_file if counts is None else counts.union(per_file)
+        if total is None:
+            total = res
+        else:
+            total = replace(total, **{n: getattr(total, n) + getattr(res, n) for n in ("rows_written", "rows_inserted", "rows_updated", "rows_skipped", "elapsed_ms")})
     if s.after_all_sql.strip():
         S.execute_batch(spark, s.after_all_sql)
-    return res, counts
+    return total, counts
 
 
 def preview_import(spark: SparkSession, path: str, s: ImportSettings, rows: int = 20) -> dict:

@@ -174,7 +174,7 @@ def replace_blank(spark, sf_dir):
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders""")
 def date_parse(spark, sf_dir):
     rows = ordered(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
-    rows = as_text_frame(rows.withColumn("o_orderdate", F.date_format("o_orderdate", "dd/MM/yyyy")))
+    rows = as_text_frame(rows.withColumn("o_orderdate", F.date_format("o_orderdate", "d/M/yyyy")))
     out = clean(rows, CleanOptions(date_formats=(("O_ORDERDATE", "%d/%m/%Y"),)))
     return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderdate")
 
@@ -503,12 +503,69 @@ def export_split(spark, sf_dir):
     return shaped.groupBy(F.url_decode(folder).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("export_cap", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
-def export_cap(spark, sf_dir):
+@register("export_split_batches", """
+SELECT o_orderkey, o_totalprice, CAST(0 AS BIGINT) AS files_too_long FROM orders""")
+def export_split_batches(spark, sf_dir):
+    """A job that asks for files of 1,000 rows writes every row, 1,000 at most to a file."""
     views(spark, sf_dir, ["orders"])
-    src = S.source_frame(spark, sql="SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey")
-    res = export_frame(src, workdir(spark), "orders_top", ExportOptions(fmt="csv", row_cap=1000))
-    return _reimport(spark, res.path)
+    src = S.source_frame(spark, sql="SELECT o_orderkey, o_totalprice FROM orders")
+    options = ExportOptions.from_fields({"extension": "csv", "splitByBatch": "1", "batchRows": "1000"})
+    res = export_frame(src, workdir(spark), "orders_split", options)
+    sizes = spark.read.text(res.path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    long = sizes.agg(F.coalesce(F.sum((F.col("n") > 1001).cast("long")), F.lit(0)).alias("files_too_long"))
+    return _reimport(spark, res.path).join(F.broadcast(long))
+
+
+@register("failed_rebuild_keeps_table", """
+SELECT n_nationkey, n_name, 'rebuild,overwrite,append,update,hook' AS failed FROM nation""")
+def failed_rebuild_keeps_table(spark, sf_dir):
+    """Loads that fail on the way, in every mode and in the hook, leave the table as it was."""
+    nation = scan(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    t, root = tname("nation_safe"), workdir(spark)
+    load(spark, nation, t, LoadOptions(mode="rebuild", location_root=root))
+    bad = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 7, F.raise_error(F.lit("bad cell")).cast("string")).otherwise("x"))
+    failed = []
+
+    def refuse():
+        raise ValueError("hook")
+
+    for name, df, mode, hook in [("rebuild", bad, "rebuild", None), ("overwrite", bad, "overwrite", None), ("append", bad, "append", None),
+                                 ("update", bad, "update", None), ("hook", nation, "append", refuse)]:
+        try:
+            load(spark, df, t, LoadOptions(mode=mode, location_root=root), ["n_nationkey"], after=hook)
+        except Exception:  # noqa: BLE001 - each of them must fail
+            failed.append(name)
+    return spark.table(t).withColumn("failed", F.lit(",".join(failed)))
+
+
+@register("upsert_text_keys", """
+SELECT c_custkey, arg_max(v, o) AS c_name FROM (
+  SELECT c_custkey, c_name AS v, 0 AS o FROM customer WHERE c_nationkey < 12
+  UNION ALL SELECT c_custkey, 'first', 1 FROM customer WHERE c_nationkey >= 8
+  UNION ALL SELECT c_custkey, 'second', 2 FROM customer WHERE c_nationkey >= 10) GROUP BY c_custkey""")
+def upsert_text_keys(spark, sf_dir):
+    """Text keys of two spellings are one key of the table; the later row wins."""
+    cust = scan(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    t, root = tname("cust_text"), workdir(spark)
+    load(spark, cust.filter("c_nationkey < 12").drop("c_nationkey"), t, LoadOptions(mode="rebuild", location_root=root))
+    key = F.col("c_custkey").cast("string")
+    one = cust.filter("c_nationkey >= 8").select(key.alias("c_custkey"), F.lit("first").alias("c_name"), F.col("c_custkey").alias(RN))
+    two = cust.filter("c_nationkey >= 10").select(F.concat(F.lit("0"), key).alias("c_custkey"), F.lit("second").alias("c_name"), (F.col("c_custkey") + 10 ** 9).alias(RN))
+    load(spark, one.union(two), t, LoadOptions(mode="update", location_root=root), ["c_custkey"])
+    return spark.table(t)
+
+
+@register("upsert_many_files", """
+SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 'from_b' ELSE 'from_a' END AS n_name FROM nation""")
+def upsert_many_files(spark, sf_dir):
+    """Two files with clashing keys: the later file wins, whatever the row numbers are."""
+    nation = scan(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    t, root = tname("nation_files"), workdir(spark)
+    load(spark, nation.limit(0), t, LoadOptions(mode="rebuild", type_mode="text", location_root=root))
+    a = nation.select(F.col("n_nationkey").cast("string").alias("n_nationkey"), F.lit("from_a").alias("n_name"), F.lit("a.csv").alias(FILE), (F.col("n_nationkey") + 100).alias(RN))
+    b = nation.filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), F.lit("from_b").alias("n_name"), F.lit("b.csv").alias(FILE), F.col("n_nationkey").alias(RN))
+    load(spark, b.union(a), t, LoadOptions(mode="update", location_root=root), ["n_nationkey"])
+    return spark.table(t).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 
 
 @register("file_safe", """
