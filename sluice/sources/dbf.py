@@ -115,7 +115,8 @@ class _Reader(DataSourceReader):
         enc = self.encoding if self.encoding != "auto" else CODE_PAGES.get(h["lang"], "ascii")
         with open_read(part.path) as fh:
             fh.seek(h["header_len"] + part.start * h["record_len"])
-            for i in range(part.start, part.stop):
+            kept = 0  # rows are numbered densely within the range
+            for _ in range(part.start, part.stop):
                 rec = fh.read(h["record_len"])
                 if len(rec) < h["record_len"] or rec[:1] == b"\x1a":
                     break
@@ -125,7 +126,8 @@ class _Reader(DataSourceReader):
                 for f in h["fields"]:
                     cells.append(_text(_value(f["type"], rec[pos:pos + f["length"]], enc)))
                     pos += f["length"]
-                yield (part.path, i, cells)
+                yield (part.path, part.start, kept, cells)
+                kept += 1
 
 
 class DbfSource(DataSource):
@@ -134,7 +136,7 @@ class DbfSource(DataSource):
         return "sluice_dbf"
 
     def schema(self):
-        return "file string, record long, cells array<string>"
+        return "file string, first long, record long, cells array<string>"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -149,7 +151,7 @@ def read_dbf(spark: SparkSession, paths: list[str], encoding: str = "auto") -> t
     rows = spark.read.format("sluice_dbf").option("paths", json.dumps(list(paths))).option("encoding", encoding).load()
     return rows.select(
         *[F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(f"c{i + 1}") for i in range(len(names))],
-        F.col("file").alias(FILE), F.lit(0).cast("long").alias(BLOCK), F.col("record").alias(POS),
+        F.col("file").alias(FILE), F.col("first").alias(BLOCK), F.col("record").alias(POS),
     ), names
 
 
