@@ -6,16 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Strptime directives and their Spark datetime pattern letters.
+# Strptime directives and their Spark datetime pattern letters (one letter
+# takes one digit or two, as strptime does).
 STRPTIME_TO_SPARK = {
-    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss",
-    "y": "yy", "I": "hh", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE",
-    "A": "EEEE", "f": "SSSSSS", "j": "DDD", "z": "Z", "%": "%",
+    "Y": "yyyy", "m": "M", "d": "d", "H": "H", "M": "m", "S": "s",
+    "y": "yy", "I": "h", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE",
+    "A": "EEEE", "f": "SSSSSS", "j": "D", "z": "Z", "%": "%",
 }
+# Digits of a one-letter field that touches another field.
+FULL_WIDTH = {"m": 2, "d": 2, "H": 2, "M": 2, "S": 2, "I": 2, "j": 3}
 # The output form of a parsed date cell.
 DATE_TEXT_PATTERN = "yyyy-MM-dd HH:mm:ss"
 # The run-log cascade, tried in this order.
-CASCADE_PATTERNS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd"]
+CASCADE_PATTERNS = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d"]
 
 
 class UnsupportedFormat(ValueError):
@@ -46,7 +49,10 @@ def strptime_to_spark(fmt: str) -> str:
                 literal.append("%")
             else:
                 flush()
-                out.append(STRPTIME_TO_SPARK[d])
+                field = STRPTIME_TO_SPARK[d]
+                # without a character between them, neighbouring numbers need their full width
+                joined = (i > 1 and fmt[i - 2] == "%" and fmt[i - 1] in "YymdHMSIj") or fmt[i + 2:i + 3] == "%"
+                out.append(field * FULL_WIDTH[d] if joined and d in FULL_WIDTH else field)
             i += 2
             continue
         literal.append(ch)

@@ -83,8 +83,9 @@ def test_pinyin(spark):
 
 
 def test_strptime_translation():
-    assert strptime_to_spark("%Y/%m/%d") == "yyyy'/'MM'/'dd"
-    assert strptime_to_spark("%Y-%m-%dT%H:%M:%S") == "yyyy'-'MM'-'dd'T'HH':'mm':'ss"
+    assert strptime_to_spark("%Y/%m/%d") == "yyyy'/'M'/'d"
+    assert strptime_to_spark("%Y%m%d %H:%M") == "yyyyMMdd' 'H':'m"
+    assert strptime_to_spark("%Y-%m-%dT%H:%M:%S") == "yyyy'-'M'-'d'T'H':'m':'s"
     with pytest.raises(UnsupportedFormat):
         strptime_to_spark("%Q")
 
