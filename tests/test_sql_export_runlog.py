@@ -72,7 +72,7 @@ def test_export_job_payload(spark, tmp_dir, people):
         {"type": "table", "table": "export_people"},
         {"type": "query", "name": "bj", "sql": "select name from export_people where city = '北京'"}],
         "beforeSql": "create or replace temp view pre_v as select 1 as x", "splitByBatch": "true", "batchRows": "2"}, tmp_dir)
-    assert out["rows"] == 4 and out["files"]
+    assert out["rows"] == 5 and len(out["files"]) >= 3  # every row, two to a file at most
 
 
 def test_e5_large_and_cap_and_names(spark, tmp_dir):
