@@ -4,6 +4,7 @@ checkpoint folder every lineage cut goes to."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -38,12 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder is named by the deployment and is read from the
     session.  Only when it is unset (local tests) a private scratch folder is
     taken, so lineage cuts still go through ``checkpoint()`` and never through
-    ``localCheckpoint``.
+    ``localCheckpoint``.  A cluster without the setting is refused: its executors
+    would not see a folder of the driver's machine.
     """
     ship_package(spark)
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not current:
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="sluice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:
