@@ -147,7 +147,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _CHUNK = "conv_id {kind}, part int, chunk int, turns array<long>, roles array<string>, texts array<string>, matrix array<long>"
 
 
-def chunks(turns: DataFrame, costs: Costs, kind: str) -> DataFrame:
+def chunks(turns: DataFrame, costs: Costs, kind: str, most: int) -> DataFrame:
     """Conversations in order, as runs of bounded size with their matrices."""
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "key", "role", "pos")]
     rows = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("part"))
@@ -165,7 +165,7 @@ def chunks(turns: DataFrame, costs: Costs, kind: str) -> DataFrame:
             schema = pa.schema([("conv_id", batch.schema.field(0).type), ("part", pa.int32()), ("chunk", pa.int32()),
                                 ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("matrix", pa.list_(pa.int64()))])
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[0] != held[0][0] or len(held) >= CHUNK_TURNS or chars >= CHUNK_CHARS):
+                if held and (row[0] != held[0][0] or len(held) >= most or chars >= CHUNK_CHARS):
                     yield close()
                     held, chars, chunk = [], 0, chunk + 1
                 held.append(row)
@@ -199,7 +199,7 @@ def chain(costs: Costs):
 
 
 def repair(conversations: DataFrame, costs: Costs = Costs(), template: Template = Template(), conv: str = "conv_id", turn: str = "turn",
-           role: str = "role", text: str = "text") -> DataFrame:
+           role: str = "role", text: str = "text", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """One row per turn of the repaired conversations, in pieces:
 
     ``conv_id, row`` (place of the source turn, from 0), ``slot`` (turns inserted before it from 0; 9 for the
@@ -210,7 +210,7 @@ def repair(conversations: DataFrame, costs: Costs = Costs(), template: Template
     turns = conversations.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"),
         F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("pos"))
-    runs = cut(chunks(turns, costs, kind), "chat-chunks")
+    runs = cut(chunks(turns, costs, kind, chunk_turns), "chat-chunks")
     # the key is a struct, so that the null conversation is one too
     steps_only = runs.select(F.struct("conv_id").alias("conv"), "part", "chunk", "matrix", F.size("turns").alias("size"))
     chained = steps_only.groupBy("conv").applyInPandas(

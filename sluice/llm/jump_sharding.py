@@ -56,16 +56,17 @@ def key_column(df: DataFrame, name: str) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, shards: int, ties: list[str] | None = None) -> DataFrame:
-    """``df`` with ``shard int, slot long, grown_shard int`` (the shard with one more shard).
+    """``df`` with ``shard int, slot long, grown_shard int`` (the shard with one more shard), in place of columns of these names.
 
     Only pass the columns that are to be kept: rows are written once to the
     shared folder, where the numbering starts from.
     """
+    df = df.drop("shard", "slot", "grown_shard")
     keep = [F.col(c) for c in df.columns]
     order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties or []], F.col("__pos")]
     keyed = cut(df.select(*keep, key_column(df, key).alias("__key"), F.monotonically_increasing_id().alias("__pos")), "shard-keys")
     parts = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    fields = [f for f in df.schema.fields]
+    fields = df.schema.fields
     schema = StructType([*fields, StructField("__part", IntegerType()), StructField("shard", IntegerType()),
                          StructField("__at", LongType()), StructField("grown_shard", IntegerType())])
 

@@ -286,6 +286,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of each list of ids (null for null)."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    rows = rows.drop("decoded")
     names, at = rows.columns, rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
