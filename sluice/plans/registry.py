@@ -516,6 +516,27 @@ def export_split_batches(spark, sf_dir):
     return _reimport(spark, res.path).join(F.broadcast(long))
 
 
+@register("export_twice", """
+SELECT c_custkey, c_name, c_mktsegment FROM customer""")
+def export_twice(spark, sf_dir):
+    """Exporting to the same place again replaces the files."""
+    rows = scan(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    folder = workdir(spark)
+    export_frame(rows.repartition(3), folder, "people", ExportOptions(fmt="json"))
+    res = export_frame(rows, folder, "people", ExportOptions(fmt="json"))
+    return spark.read.schema("c_custkey long, c_name string, c_mktsegment string").json(res.path, multiLine=True)
+
+
+@register("export_split_json", """
+SELECT c_mktsegment AS segment, count(*) AS rows FROM customer GROUP BY c_mktsegment""")
+def export_split_json(spark, sf_dir):
+    """One folder per value, however many rows a value has."""
+    rows = scan(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").repartition(3)
+    res = export_frame(rows, workdir(spark), "people", ExportOptions(fmt="json", split_field="c_mktsegment"))
+    back = spark.read.schema("c_custkey long, c_mktsegment string").option("recursiveFileLookup", "true").json(res.path, multiLine=True)
+    return back.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("failed_rebuild_keeps_table", """
 SELECT n_nationkey, n_name, 'rebuild,overwrite,append,update,hook' AS failed FROM nation""")
 def failed_rebuild_keeps_table(spark, sf_dir):

@@ -5,10 +5,9 @@ remembers them), every micro-batch is shaped, cleaned, typed and loaded with
 the batch operators inside ``foreachBatch``, and order-sensitive steps stay
 scoped to one file by the ``__file`` column.  ``available_now`` drains what is
 there and stops; ``interval`` polls (STR-3).  Upsert mode (STR-2) is the batch
-upsert per micro-batch.  Every loaded batch id is recorded in a small commit
-table next to the target, and a replayed batch (foreachBatch is at-least-once)
-is skipped; the window between a load and its commit record is the only
-place a crash can still repeat a batch, and an upsert replay is harmless.
+upsert per micro-batch, and its replay changes nothing.  ``foreachBatch`` is
+at-least-once: if the driver dies between a load and the stream's checkpoint, an
+append batch is loaded again.
 """
 
 from __future__ import annotations
