@@ -12,11 +12,15 @@ the band that the threshold allows: similarity = matched / (words of both -
 matched) >= ``SIMILAR``.  Classes are the connected components of verified pairs.
 
 Work per bucket stays linear for groups of copies: equal word sequences are
-one node; each bucket's members are first aligned with one leader, and only
+one node; each bucket's members are first aligned with leaders, and only
 members that are then still in different classes are paired with each other
-(none is left out).  Leaders come from a pre-aggregated minimum, joins may be
+(none is left out).  Leaders come from a pre-aggregated maximum, joins may be
 split by key, and pairs, links and components never leave the executors.
 
+What is found: a pair shares a sketch with a chance of
+1 - (1 - s ** PICK) ** SKETCHES, s being its k-mer similarity: above 0.998 for
+s from 0.6 on, 0.95 at 0.5.  Classes need one found path, not every pair.
+
 Null text counts as empty; texts without words are equal.  Texts of fewer than
 ``K`` words have one k-mer, the text.  Repeated rows and ids share a class if
 their texts do.  An empty table gives no rows.
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -41,6 +45,8 @@ from sluice.llm.shared import cut
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the similarity from which texts are copies.
 K, PICK, SKETCHES, SIMILAR = 5, 4, 48, 0.8
 SEED = 1
+#: Rounds in which buckets align their members with a leader.
+STARS = 3
 #: Hashes held at once while sketching a long text.
 CELLS = 1 << 21
 
@@ -136,29 +142,43 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return matched(a, b, int(total - 2 * need) + 1) >= need - 1e-9
 
 
+def node_of(words: list[str]) -> bytes:
+    """Name of a word sequence."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, node`` (name of the word sequence), ``n, words, sketch`` of every document."""
+    """``doc_id, node`` (name of the word sequence), ``n`` (words) and ``sketch`` of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                nodes, sizes, seqs, sketches = [], [], [], []
+                nodes, sizes, sketches = [], [], []
                 for t in part.column(1):
                     words = words_of(t.as_py())
-                    codes = word_codes(words)
-                    nodes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    nodes.append(node_of(words))
                     sizes.append(len(words))
-                    seqs.append(codes.astype("<u4").tobytes())
-                    sketches.append(sketch(codes).view(np.int64))
-                flat = pa.array(np.concatenate(sketches))
-                marks = pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32))
+                    sketches.append(sketch(word_codes(words)).view(np.int64))
+                marks = pa.array(np.arange(0, SKETCHES * len(sketches) + 1, SKETCHES, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(seqs, pa.binary()),
-                     pa.ListArray.from_arrays(marks, flat)], ["doc_id", "node", "n", "words", "sketch"])
+                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
+                     pa.ListArray.from_arrays(marks, pa.array(np.concatenate(sketches)))], ["doc_id", "node", "n", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n int, words binary, sketch array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n int, sketch array<long>")
+
+
+def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``node, words`` (codes of its words) of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                words = [words_of(t.as_py()) for t in batch.column(0).slice(a, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.binary()),
+                                                  pa.array([word_codes(w).astype("<u4").tobytes() for w in words], pa.binary())], ["node", "words"])
+
+    return docs.select(text).mapInArrow(run, "node binary, words binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -173,46 +193,77 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def near(a: str, b: str):
+def near(a: str, b: str) -> Column:
     """Lengths allow the similarity."""
     return F.least(a, b) >= F.greatest(a, b) * SIMILAR
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, node, class_id`` (least document id of its class), ``class_node`` (that document's node)."""
-    table = cut(sketched(docs, doc_id, text), "omh-sketches")
-    nodes = table.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    rows = cut(nodes.select("node", "n", F.explode("sketch").alias("key")), "omh-keys")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("leader")).filter("size > 1")
-    members = cut(rows.join(buckets.select("key", "leader"), "key"), "omh-members")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct(), "omh-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = table.select("node", "words").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
-        return cut(verified(pairs, cut(texts, "omh-texts")), "omh-links")
-
-    stars = members.filter((F.col("node") != F.col("leader.node")) & near("n", "leader.n")).select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-    links = confirm(stars)
-    labels = components(links)
-    # members of one bucket that are still apart, once the classes so far are known
-    marked = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs ``a, b`` of nodes that an alignment confirms.  ``texts``: ``node, words``."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "omh-pairs")
+    return cut(verified(pairs, texts), "omh-links")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their label, in buckets that hold more than one label."""
+    marked = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_rows = cut(marked.join(apart, "key"), "omh-open")
+    return marked.join(apart, "key")
+
+
+def link(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, weight``.
+
+    In a few rounds every bucket aligns its members with one leader each: the member that shares most buckets
+    (the text that copies were made from), then the foremost one that no leader's class holds yet.  Members that
+    are still in different classes are then paired with each other."""
+    labels, links = None, None
+    members = members.withColumns({"label": F.col("node"), "led": F.lit(False)})
+    for _ in range(STARS):
+        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("leader")).select("key", "leader.node", "leader.n")
+        leaders = cut(leaders.toDF("key", "leader", "leader_n"), "omh-leaders")
+        met = members.join(leaders, "key")
+        stars = met.filter((F.col("node") != F.col("leader")) & near("n", "leader_n"))
+        if labels is not None:
+            ours = labels.toDF("leader", "leader_label")
+            stars = stars.join(ours, "leader", "left").filter(F.col("label") != F.coalesce("leader_label", "leader"))
+        new = confirm(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
+        links = new if links is None else labels.toDF("a", "b").union(new)
+        labels = cut(components(links), "omh-labels")
+        still = open_members(members, labels).join(leaders, "key", "left").join(labels.toDF("leader", "leader_label"), "leader", "left")
+        led = F.col("led") | F.coalesce(F.col("label") == F.coalesce("leader_label", "leader"), F.lit(False))
+        members = cut(still.select("key", "node", "n", "weight", "label", led.alias("led")), "omh-open")
+        if members.isEmpty():
+            return labels
     # lengths within the threshold share one of two neighbouring length classes
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / SIMILAR)) + 1e-9)
-    spread = open_rows.withColumn("size", F.explode(F.array(step, step + 1)))
+    spread = members.withColumn("size", F.explode(F.array(step, step + 1)))
     x, y = spread.alias("x"), spread.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
                   & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n"))
-    more = confirm(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    more = confirm(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts)
+    return components(more.union(labels.toDF("a", "b")))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, node, class_id`` (least document id of its class), ``class_node`` (that document's node)."""
+    table = cut(sketched(docs, doc_id, text), "omh-sketches")
+    rows = table.select(F.explode("sketch").alias("key"), "node", "n")
+    # keys of several rows first, by the keys alone; copies of one text are one member
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    met = cut(rows.join(several.hint("merge"), "key").distinct(), "omh-met")
+    shared_keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut(met.join(shared_keys, "key"), "omh-members")
+    weights = cut(members.groupBy("node").agg(F.sum("size").alias("weight")), "omh-weights")
+    texts = sequences(docs, text).join(weights.select("node").hint("merge"), "node", "left_semi")
+    texts = cut(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-texts")
+    labels = link(cut(members.join(weights, "node").select("key", "node", "n", "weight"), "omh-weighed"), texts)
 
     ids = table.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min(F.struct("least", "node")).alias("head"))
-    named = named.join(heads, "label").select("node", F.col("head.least").alias("class_id"), F.col("head.node").alias("class_node"))
-    return table.select("doc_id", "node").join(cut(named, "omh-classes"), "node").select("doc_id", "node", "class_id", "class_node")
+    marked = cut(ids.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "omh-labels")
+    heads = cut(marked.groupBy("label").agg(F.min(F.struct("least", "node")).alias("head")), "omh-heads")
+    named = cut(marked.join(heads, "label").select("node", F.col("head.least").alias("class_id"), F.col("head.node").alias("class_node")), "omh-classes")
+    return table.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,7 +275,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [hashlib.blake2b(" ".join(words_of(t.as_py())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in batch.column(at)]
+            nodes = [node_of(words_of(t.as_py())) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*names, "__name"])
 
     named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("__name", BinaryType())]))
