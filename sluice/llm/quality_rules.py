@@ -47,7 +47,10 @@ P = len(NOISE)
 #: Bins to a unit of distance, and the last bin.
 BINS, LAST_BIN = 8, 400
 
-_PARAMS = "grp string, mu array<double>, w array<double>"
+#: Rows of a group are dealt to so many keys where they meet its estimate, and summed over them before they meet.
+SALTS = 32
+
+_PARAMS = "grp string, __mu array<double>, __w array<double>"
 
 
 def stat(name: str) -> Column:
@@ -97,9 +100,9 @@ def shrink() -> float:
 
 
 def distance() -> Column:
-    """Squared Mahalanobis distance to the estimate in columns ``mu`` and ``w`` (its whitening matrix, by rows)."""
-    off = [F.col(f"f{j}") - F.col("mu")[j] for j in range(P)]
-    rows = [sum((F.col("w")[i * P + j] * off[j] for j in range(1, i + 1)), F.col("w")[i * P] * off[0]) for i in range(P)]
+    """Squared Mahalanobis distance to the estimate in columns ``__mu`` and ``__w`` (its whitening matrix, by rows)."""
+    off = [F.col(f"__f{j}") - F.col("__mu")[j] for j in range(P)]
+    rows = [sum((F.col("__w")[i * P + j] * off[j] for j in range(1, i + 1)), F.col("__w")[i * P] * off[0]) for i in range(P)]
     return sum((r * r for r in rows[1:]), rows[0] * rows[0])
 
 
@@ -126,12 +129,12 @@ def _noise() -> np.ndarray:
 
 
 def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    """Medians, and scatter along the axes from median absolute deviations."""
+    """Medians, and scatter along the axes from the distance between quartiles (1.349 deviations of normal rows)."""
     out = []
-    for r in rows.itertuples():
-        spread = np.diag([(1.4826 * getattr(r, f"d{j}")) ** 2 for j in range(P)])
-        out.append((r.grp, [float(getattr(r, f"m{j}")) for j in range(P)], whitening(spread + _noise()).ravel().tolist()))
-    return pd.DataFrame(out, columns=["grp", "mu", "w"])
+    for r in rows.to_dict("records"):
+        low, mid, high = np.array([r[f"q{j}"] for j in range(P)], float).T
+        out.append((r["grp"], mid.tolist(), whitening(np.diag(((high - low) / 1.349) ** 2) + _noise()).ravel().tolist()))
+    return pd.DataFrame(out, columns=["grp", "__mu", "__w"])
 
 
 def _step(bins: pd.DataFrame) -> pd.DataFrame:
@@ -146,36 +149,34 @@ def _step(bins: pd.DataFrame) -> pd.DataFrame:
     for i in range(P):
         for j in range(i + 1):
             cov[i, j] = cov[j, i] = float(sum(map(int, near[f"p{i}_{j}"]))) / n - mu[i] * mu[j]
-    return pd.DataFrame([(bins["grp"].iloc[0], mu.tolist(), whitening(shrink() * cov + _noise()).ravel().tolist())], columns=["grp", "mu", "w"])
+    return pd.DataFrame([(bins["grp"].iloc[0], mu.tolist(), whitening(shrink() * cov + _noise()).ravel().tolist())], columns=["grp", "__mu", "__w"])
 
 
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Estimates by ``key``: ``key, mu, w``.  ``stats`` needs the statistic and the two group columns only."""
+    """Estimates by ``key``: ``key, __mu, __w``.  ``stats`` needs the statistic and the two group columns only."""
     rows = stats.filter(~base_failed()).select(
         group_key(lang, source).alias("key"), F.substring_index(group_key(lang, source), "/", 1).alias("lkey"),
-        *[c.alias(f"f{j}") for j, c in enumerate(features().values())])
+        *[c.alias(f"__f{j}") for j, c in enumerate(features().values())], (F.monotonically_increasing_id() % SALTS).alias("salt"))
     rows = cut(rows, "mcd-features")
     names = cut(groups(rows), "mcd-groups")
-    rows = rows.join(names, "key").drop("key", "lkey")
-    middle = rows.groupBy("grp").agg(*[F.percentile(f"f{j}", 0.5).alias(f"m{j}") for j in range(P)])
-    off = rows.join(middle, "grp").groupBy("grp").agg(
-        *[F.percentile(F.abs(F.col(f"f{j}") - F.col(f"m{j}")), 0.5).alias(f"d{j}") for j in range(P)],
-        *[F.first(f"m{j}").alias(f"m{j}") for j in range(P)])
-    params = cut(off.groupBy("grp").applyInPandas(_start, _PARAMS), "mcd-start")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    rows = cut(rows.join(salted(names), ["key", "salt"]).drop("key", "lkey"), "mcd-rows")
+    quartiles = rows.groupBy("grp").agg(*[F.percentile(f"__f{j}", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{j}") for j in range(P)])
+    params = cut(quartiles.groupBy("grp").applyInPandas(_start, _PARAMS), "mcd-start")
     for _ in range(STEPS):
-        near = rows.join(params, "grp").withColumn("bin", F.least(F.floor(F.sqrt(distance()) * BINS), F.lit(LAST_BIN)))
+        near = rows.join(salted(params), ["grp", "salt"]).withColumn("bin", F.least(F.floor(F.sqrt(distance()) * BINS), F.lit(LAST_BIN)))
         bins = near.groupBy("grp", "bin").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(f"f{j}").alias(f"s{j}") for j in range(P)],
-            *[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"p{i}_{j}") for i in range(P) for j in range(i + 1)])
+            F.count(F.lit(1)).alias("n"), *[F.sum(f"__f{j}").alias(f"s{j}") for j in range(P)],
+            *[F.sum(F.col(f"__f{i}") * F.col(f"__f{j}")).alias(f"p{i}_{j}") for i in range(P) for j in range(i + 1)])
         params = cut(bins.groupBy("grp").applyInPandas(_step, _PARAMS), "mcd-step")
-    return cut(names.join(params, "grp").select("key", "mu", "w"), "mcd-estimates")
+    return cut(names.join(params, "grp").select("key", "__mu", "__w"), "mcd-estimates")
 
 
 def score(stats: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``stats`` with ``__base_failed, __distance`` (squared; null for rows that fail the base) and ``__kept``."""
     limit = chi2_quantile(1 - TAIL, P)
     names = stats.columns
-    rows = stats.withColumns({f"f{j}": c for j, c in enumerate(features().values())} | {"__key": group_key(lang, source)})
+    rows = stats.withColumns({f"__f{j}": c for j, c in enumerate(features().values())} | {"__key": group_key(lang, source)})
     e = estimates.withColumnRenamed("key", "__key")
     rows = rows.join(e, "__key", "left").withColumn("__base_failed", base_failed())
     rows = rows.withColumn("__distance", F.when(~F.col("__base_failed"), distance()))
