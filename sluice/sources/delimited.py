@@ -51,9 +51,11 @@ def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadO
         # one pass: the last column holding a non-blank cell in any row (SHP-1);
         # if that is the last column read, there may be more: read wider
         used = used_width(df)
-        if used < width or width >= MAX_WIDTH:
+        if used < width:
             break
-        width *= 4
+        if width >= MAX_WIDTH:  # wider rows would lose cells
+            raise ValueError(f"rows have {width} columns or more; at most {MAX_WIDTH - 1} can be read")
+        width = min(4 * width, max(MAX_WIDTH, width + 1))
     out = with_source_order(df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(1, max(used, 1) + 1)], "_metadata"))
     out.sluice_used_width = used
     return out
