@@ -5,7 +5,8 @@ its k-mers are runs of ``K`` words, each labelled with how many equal ones came
 before it.  A sketch samples the ``PICK`` labelled k-mers that a random order
 puts first and keeps them in the order of the text, so it tells texts apart
 that hold the same k-mers in another order.  Two texts are candidates if any of
-``SKETCHES`` sketches agree.
+``SKETCHES`` sketches agree.  Texts of at most ``SHORT`` words are sketched with
+``PICK_SHORT`` k-mers; lengths that can have a copy on both sides have both kinds.
 
 A candidate pair is verified by an alignment of the two word sequences within
 the band that the threshold allows: similarity = matched / (words of both -
@@ -18,11 +19,15 @@ members that are then still in different classes are paired with each other
 split by key, and pairs, links and components never leave the executors.
 
 What is found: a pair shares a sketch with a chance of
-1 - (1 - s ** PICK) ** SKETCHES, s being its k-mer similarity: above 0.998 for
-s from 0.6 on, 0.95 at 0.5.  Classes need one found path, not every pair.
-
-Null text counts as empty; texts without words are equal.  Texts of fewer than
-``K`` words have one k-mer, the text.  Repeated rows and ids share a class if
+1 - (1 - s ** PICK) ** SKETCHES, s being the share of equal labelled words, if
+their order is the same.  s is never below the aligned similarity, so a pair at
+the threshold itself (0.8) has a chance above 0.9999; a word that is repeated
+often changes its label with each edit before it, which costs long texts some
+of it.  Pairs whose marks differ in more places than the threshold allows words
+to differ cannot pass the alignment and are left out before it.
+
+Null text counts as empty; texts without words are equal.  Of fewer than five
+words only equal texts reach the threshold.  Repeated rows and ids share a class if
 their texts do.  An empty table gives no rows.
 """
 
@@ -43,7 +48,11 @@ from sluice.llm.components import components
 from sluice.llm.shared import cut
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the similarity from which texts are copies.
-K, PICK, SKETCHES, SIMILAR = 5, 4, 48, 0.8
+K, PICK, SKETCHES, SIMILAR = 1, 7, 64, 0.8
+#: Longest text, in words, that is sketched as a short one, and the k-mers of its sketches.
+SHORT, PICK_SHORT = 16, 4
+#: 64-bit words of a text's mark.
+MARKS = 4
 SEED = 1
 #: Rounds in which buckets align their members with a leader.
 STARS = 3
@@ -89,6 +98,21 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(before))
 
 
+def mark(marked: np.ndarray) -> np.ndarray:
+    """Parities of the labelled words in 64 * MARKS places: two marks differ in at most as many places as their texts in words."""
+    return np.packbits(np.bincount((marked >> _U(40)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS).astype(np.uint8) & 1).view(np.int64)
+
+
+def sketches_of(codes: np.ndarray) -> np.ndarray:
+    """The sketches of a text, of both kinds where copies can be of either."""
+    kinds = []
+    if len(codes) <= SHORT:
+        kinds.append(mix(sketch(codes, pick=PICK_SHORT)))
+    if len(codes) >= SIMILAR * (SHORT + 1):
+        kinds.append(sketch(codes))
+    return np.concatenate(kinds)
+
+
 def sketch(codes: np.ndarray, sketches: int = SKETCHES, pick: int = PICK) -> np.ndarray:
     """One 64-bit value for every sketch."""
     plain = kmers(codes)
@@ -148,25 +172,29 @@ def node_of(words: list[str]) -> bytes:
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, node`` (name of the word sequence), ``n`` (words) and ``sketch`` of every document."""
+    """``doc_id, node`` (name of the word sequence), ``n`` (words), ``mark`` and ``sketch`` of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                nodes, sizes, sketches = [], [], []
+                nodes, sizes, marks, sketches = [], [], [], []
                 for t in part.column(1):
                     words = words_of(t.as_py())
                     nodes.append(node_of(words))
                     sizes.append(len(words))
-                    sketches.append(sketch(word_codes(words)).view(np.int64))
-                marks = pa.array(np.arange(0, SKETCHES * len(sketches) + 1, SKETCHES, dtype=np.int32))
+                    codes = word_codes(words)
+                    marks.append(mark(labelled(kmers(codes, 1))))
+                    sketches.append(sketches_of(codes).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
-                     pa.ListArray.from_arrays(marks, pa.array(np.concatenate(sketches)))], ["doc_id", "node", "n", "sketch"])
+                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists(marks), lists(sketches)],
+                    ["doc_id", "node", "n", "mark", "sketch"])
+
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n int, sketch array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, n int, mark array<long>, sketch array<long>")
 
 
 def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -193,9 +221,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def near(a: str, b: str) -> Column:
-    """Lengths allow the similarity."""
-    return F.least(a, b) >= F.greatest(a, b) * SIMILAR
+def near(a: str, b: str, mark_a: str, mark_b: str) -> Column:
+    """Lengths and marks allow the similarity."""
+    places = sum((F.bit_count(F.col(mark_a)[i].bitwiseXOR(F.col(mark_b)[i])) for i in range(MARKS)), F.lit(0))
+    apart = (F.col(a) + F.col(b)) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+    return (F.least(a, b) >= F.greatest(a, b) * SIMILAR) & (places <= apart)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,7 +242,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, weight``.
+    """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, mark, weight``.
 
     In a few rounds every bucket aligns its members with one leader each: the member that shares most buckets
     (the text that copies were made from), then the foremost one that no leader's class holds yet.  Members that
@@ -220,10 +250,10 @@ def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     labels, links = None, None
     members = members.withColumns({"label": F.col("node"), "led": F.lit(False)})
     for _ in range(STARS):
-        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("leader")).select("key", "leader.node", "leader.n")
-        leaders = cut(leaders.toDF("key", "leader", "leader_n"), "omh-leaders")
+        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader")).select("key", "leader.node", "leader.n", "leader.mark")
+        leaders = cut(leaders.toDF("key", "leader", "leader_n", "leader_mark"), "omh-leaders")
         met = members.join(leaders, "key")
-        stars = met.filter((F.col("node") != F.col("leader")) & near("n", "leader_n"))
+        stars = met.filter((F.col("node") != F.col("leader")) & near("n", "leader_n", "mark", "leader_mark"))
         if labels is not None:
             ours = labels.toDF("leader", "leader_label")
             stars = stars.join(ours, "leader", "left").filter(F.col("label") != F.coalesce("leader_label", "leader"))
@@ -232,7 +262,7 @@ def link(members: DataFrame, texts: DataFrame) -> DataFrame:
         labels = cut(components(links), "omh-labels")
         still = open_members(members, labels).join(leaders, "key", "left").join(labels.toDF("leader", "leader_label"), "leader", "left")
         led = F.col("led") | F.coalesce(F.col("label") == F.coalesce("leader_label", "leader"), F.lit(False))
-        members = cut(still.select("key", "node", "n", "weight", "label", led.alias("led")), "omh-open")
+        members = cut(still.select("key", "node", "n", "mark", "weight", "label", led.alias("led")), "omh-open")
         if members.isEmpty():
             return labels
     # lengths within the threshold share one of two neighbouring length classes
@@ -240,7 +270,7 @@ def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     spread = members.withColumn("size", F.explode(F.array(step, step + 1)))
     x, y = spread.alias("x"), spread.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
-                  & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n"))
+                  & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n", "x.mark", "y.mark"))
     more = confirm(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts)
     return components(more.union(labels.toDF("a", "b")))
 
@@ -257,7 +287,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     weights = cut(members.groupBy("node").agg(F.sum("size").alias("weight")), "omh-weights")
     texts = sequences(docs, text).join(weights.select("node").hint("merge"), "node", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-texts")
-    labels = link(cut(members.join(weights, "node").select("key", "node", "n", "weight"), "omh-weighed"), texts)
+    known = weights.join(table.groupBy("node").agg(F.first("mark").alias("mark")), "node")
+    labels = link(cut(members.join(known, "node").select("key", "node", "n", "mark", "weight"), "omh-weighed"), texts)
 
     ids = table.groupBy("node").agg(F.min("doc_id").alias("least"))
     marked = cut(ids.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "omh-labels")

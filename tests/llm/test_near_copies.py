@@ -134,6 +134,40 @@ def test_planted_copies(spark):
     assert all(root[t] == root[node[head[t]]] for t in texts), "no class joins what is not linked"
 
 
+def edited(words, every, kind, rng):
+    """``words`` with one in ``every`` replaced (evenly or at random) or left out."""
+    at = set(range(every // 2, len(words), every)) if kind == "even" else set(rng.sample(range(len(words)), len(words) // every))
+    return [f"new{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words) if kind != "less" or i not in at]
+
+
+def test_pairs_at_the_threshold(spark):
+    """Pairs without a third copy, of an aligned similarity of 0.80 to 0.85, from five words on."""
+    rng, rows, pairs = random.Random(3), [], []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n, every, kind in [(5, 5, "less"), (6, 6, "less"), (9, 9, "even"), (10, 10, "random"), (13, 11, "random"), (16, 13, "even"), (17, 9, "random"),
+                           *((n, every, kind) for n in (20, 21, 60, 300, 1500) for every, kind in ((9, "even"), (9, "random"), (10, "random"), (5, "less")))]:
+        for _ in range(8):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            copy = edited(base, every, kind, rng)
+            if omh.similar(omh.word_codes(base), omh.word_codes(copy)):
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    assert len(pairs) >= 200
+    kind = {r.doc_id: r.class_id for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    lost = [(a, len(rows[a][1].split())) for a, b in pairs if kind[a] != kind[b]]
+    assert not lost
+
+
+def test_marks_leave_no_copy_out():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.randint(0, 40) for _ in range(rng.randint(1, 200))]
+        b = edited(a, rng.choice([5, 9, 12, 40]), rng.choice(["random", "less"]), rng)
+        x, y = omh.word_codes(list(map(str, a))), omh.word_codes(list(map(str, b)))
+        places = sum(int(v).bit_count() for v in (omh.mark(omh.labelled(omh.kmers(x, 1))) ^ omh.mark(omh.labelled(omh.kmers(y, 1)))).view(np.uint64))
+        assert places <= len(x) + len(y) - 2 * plain_matched(x.tolist(), y.tolist())
+
+
 def test_documents(spark):
     frame = spark.read.parquet(f"{SF001}/documents.parquet")
     assert found(frame) == brute([(r.doc_id, r.text) for r in frame.collect()])
