@@ -7,9 +7,9 @@ are flattened one level (``parent_child``), lists become JSON text, scalars
 become contract text (``True``, ``3``, ``1.5``, ``1e+20``), null becomes "".
 Columns are the union of keys in first-seen order.
 
-Root resolution is JVM-side (``from_json`` as ``array<string>`` keeps each
-element's raw text); each object is then flattened by Python's json parser in
-Arrow batches.  A JSON document is one file, so scale comes from many files.
+Root resolution and flattening use Python's json parser in Arrow batches, so a
+document is judged as a whole and a malformed one raises.  A JSON document (also
+one of JSON lines) is read by one task, so scale comes from many files.
 """
 
 from __future__ import annotations
@@ -69,10 +69,7 @@ def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
         for pdf in batches:
             names_col, values_col = [], []
             for text in pdf.iloc[:, pos]:
-                try:
-                    obj = json.loads(text) if text is not None else None
-                except ValueError:
-                    obj = None
+                obj = json.loads(text) if text is not None else None
                 if isinstance(obj, dict):
                     n, v = _flatten_object(obj)
                 else:
@@ -84,27 +81,53 @@ def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def root_elements(content: Column, row_tag: str = "") -> Column:
-    """array<string> of the row candidates of one document."""
-    text = F.regexp_replace(content, "^\\x{FEFF}", "")
-    text = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    keys = F.json_object_keys(text)
-    raw = F.from_json(text, "map<string,string>")
-    first_list = F.try_element_at(
-        F.filter(F.transform(keys, lambda k: F.try_element_at(raw, k)), lambda v: F.ltrim(v).startswith("[")), F.lit(1)
-    )
-    tagged = F.try_element_at(raw, F.lit(row_tag)) if row_tag else F.lit(None).cast("string")
-    chosen = F.coalesce(
-        F.when(F.lit(bool(row_tag)) & F.array_contains(keys, F.lit(row_tag or "")), tagged),
-        first_list,
-    )
-    lines = F.filter(F.split(text, "\\r?\\n"), lambda ln: F.trim(ln) != "")
-    return (
-        F.when(text.startswith("["), F.from_json(text, "array<string>"))
-        .when(text.startswith("{") & raw.isNull(), lines)   # JSON lines
-        .when(chosen.isNotNull(), F.from_json(chosen, "array<string>"))
-        .otherwise(F.array(text))
-    )
+def root_elements(text: str, row_tag: str = "") -> list[str]:
+    """The row candidates of one document, each as JSON text.
+
+    A document that does not parse as a whole is JSON lines if every non-blank
+    line parses; otherwise the error is raised."""
+    text = text.removeprefix("\ufeff").strip()
+    if not text:
+        return []
+    try:
+        root = json.loads(text)
+    except ValueError:
+        lines = [line for line in text.split("\n") if line.strip()]
+        if len(lines) < 2:
+            raise
+        rows = [json.loads(line) for line in lines]
+    else:
+        rows = root if isinstance(root, list) else [root]
+        if isinstance(root, dict):
+            lists = [v for v in root.values() if isinstance(v, list)]
+            if row_tag and row_tag in root:
+                rows = root[row_tag]
+            elif lists:
+                rows = lists[0]
+        elif not isinstance(root, list):
+            raise ValueError("neither an object nor an array")
+        if not isinstance(rows, list):
+            raise ValueError(f"{row_tag} holds no array")
+    return [json.dumps(row) for row in rows]
+
+
+def with_elements(docs: DataFrame, row_tag: str = "") -> DataFrame:
+    """``__elements`` in place of ``value``: the row candidates of each document.  A malformed document raises."""
+    from sluice.session import ship_package
+
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            elements = []
+            for text, file in zip(pdf["value"], pdf[FILE]):
+                try:
+                    elements.append(root_elements(text, row_tag))
+                except ValueError as exc:
+                    raise ValueError(f"malformed JSON in {file}: {exc}") from exc
+            yield pdf.drop(columns="value").assign(__elements=elements)
+
+    return docs.mapInPandas(run, f"{FILE} string, {BLOCK} long, __elements array<string>")
 
 
 def cells_from_pairs(withe: DataFrame, order_cols: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
@@ -142,7 +165,7 @@ def read_json(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple
     docs = spark.read.text(paths, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)
     )
-    elems = docs.select(FILE, BLOCK, F.posexplode(root_elements(F.col("value"), row_tag)).alias("__i", "__obj"))
+    elems = with_elements(docs, row_tag).select(FILE, BLOCK, F.posexplode("__elements").alias("__i", "__obj"))
     elems = elems.withColumn(POS, F.monotonically_increasing_id())
     out, keys = flatten_rows(elems, "__obj", [FILE, "__i"])
     if not keys:

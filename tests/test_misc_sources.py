@@ -55,6 +55,28 @@ def test_pretty_printed_documents(spark, tmp_dir):
     assert sorted(tuple(r)[:2] for r in df.collect()) == [("1", "a"), ("2", "b")]
 
 
+def test_malformed_json_raises_beside_good_files(spark, tmp_dir):
+    import pytest
+
+    from sluice.sources.json_source import read_json
+
+    def put(name, text):
+        p = os.path.join(tmp_dir, name)
+        with open(p, "w", encoding="utf-8") as fh:
+            fh.write(text)
+        return p
+    good = put("good.json", '[{"a": 1}, {"a": 2}]')
+    lines = put("lines.json", '{"a": 3}\n\n{"a": 4}\r\n{"a": 5}\n')
+    df, keys = read_json(spark, [good, lines])
+    assert keys == ["a"] and sorted(r[0] for r in df.collect()) == ["1", "2", "3", "4", "5"]
+    for name, text in [("cut1.json", '[{"a": 1}, {"a": 2'), ("cut2.json", '{"a": 1, "b": {'), ("cut3.json", '{"a": 3}\n{"a": 4\n'),
+                       ("cut4.json", '{"rows": [{"a": 1}, {"a"')]:
+        with pytest.raises(Exception, match="malformed JSON"):
+            read_json(spark, [good, put(name, text)])
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_json(spark, [put("tag.json", '{"rows": {"a": 1}}')], row_tag="rows")
+
+
 def test_source_errors(spark, tmp_dir):
     import pytest
 
