@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat_repair, exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
+from sluice.llm import chat_repair, decontamination, exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,29 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_chat_repair")
 def op5_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+#: Fixed values of the contracts: A-Z to lower case, and the words of the decontamination query.
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEST_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@register("op13_decontamination", rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWERED}, '{_TEST_WORDS}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{_TEST_WORDS}') AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, CAST(least(len(w), 10) AS BIGINT) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+                     FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+p AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS words FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+h AS MATERIALIZED (SELECT r, k, i, item FROM p JOIN win USING (k, words)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, k, i FROM h)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""")
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), decontamination.n_hit().alias("n_hit"),
+                        F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+                        (F.size("__runs") > 0).alias("contaminated"))
