@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat_repair, decontamination, exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
+from sluice.llm import chat_repair, collocations, decontamination, divergence, exact_topk, jump_sharding, nbest, order_minhash, packing, quality_rules, rule_ensemble, shared, token_files, url_trust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,54 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_words").alias("n_words"), decontamination.n_hit().alias("n_hit"),
                         F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
                         (F.size("__runs") > 0).alias("contaminated"))
+
+
+#: Fixed values of the audit's contract: terms, documents of a kept term, and shares.
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@register("op12_divergence_audit", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '{_TERMS}') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lc FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+lv AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM kept GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(c) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g LEFT JOIN lv USING (lang)),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1)) // CAST(n + v AS HUGEINT) AS p
+      FROM gn JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (lc + 1)) // CAST(ln + v AS HUGEINT) AS q FROM kept JOIN lv USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                 coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 200""")
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: Fixed values of the collocation query's contract: where pieces end, and words.
+_PIECES, _PIECE_WORDS = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+
+
+@register("op11_collocations", rf"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '{_PIECES}')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWERED} AS t FROM documents)),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '{_PIECE_WORDS}') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM (
+       SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) sizes(m) WHERE len(w) >= m))
+     GROUP BY ALL HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a FROM f WHERE m > 1),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = c.lang AND x.m > c.m AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM kept),
+s AS (SELECT c.lang, phrase, a, k, (SELECT f FROM f WHERE f.lang = c.lang AND f.phrase = array_to_string(ws[1:k], ' ')) AS l,
+             (SELECT f FROM f WHERE f.lang = c.lang AND f.phrase = array_to_string(ws[k + 1:], ' ')) AS r, n FROM cuts c JOIN total USING (lang)),
+scored AS (SELECT *, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM s),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
