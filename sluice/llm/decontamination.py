@@ -18,7 +18,8 @@ use them.  Null, empty and wordless texts have no words and no hits; long texts
 are scanned whole.  Rows repeat as they come.  Test items of null or empty text
 have no windows; rows of one item id are one item (a null id is the item ``''``).
 An empty test table hits nothing, an empty document table gives no rows.  Columns
-``__n_words``, ``__runs`` and ``__items`` of the input are replaced; all others stay.
+``__n_words``, ``__runs`` and ``__items`` of the input are replaced (the removals leave
+them out); all others stay.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def n_hit() -> Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0, **options) -> DataFrame:
     """``docs`` without those of which some words, and at least this share, are hit."""
     found = find(docs, benchmark, **options)
-    return found.filter(~((n_hit() > 0) & (n_hit() >= F.col("__n_words") * least_share))).select(*docs.columns)
+    dirty = (n_hit() > 0) & (n_hit() >= F.col("__n_words") * least_share)
+    return found.filter(~dirty).drop(*[f.name for f in _STATE])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -86,6 +88,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
     found = find(docs, benchmark, text=text, **options)
     names = found.columns
     at, runs_at = names.index(text), names.index("__runs")
+    own = {f.name for f in _STATE}
+    kept = [c for c in range(len(names)) if names[c] not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +102,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
                     keep.append(raw[last:cutting.start[a]])
                     last = int(cutting.end[z])
                 texts[i] = b"".join([*keep, raw[last:]]).decode()
-            kept = [c for c in range(len(names)) if not names[c].startswith("__") or names[c] in docs.columns]
             columns = [pa.array(texts, batch.column(at).type) if c == at else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(columns, [names[c] for c in kept])
 
-    schema = StructType([f for f in found.schema.fields if not f.name.startswith("__") or f.name in docs.columns])
-    return found.mapInArrow(run, schema).select(*docs.columns)
+    return found.mapInArrow(run, StructType([found.schema[names[c]] for c in kept]))
 
 
 def _segments(benchmark: DataFrame, item_id: str, item_text: str, n: int) -> DataFrame:
