@@ -38,9 +38,9 @@ HIDDEN = (FILE, BLOCK, POS, RN, LB)
 MIN_BLOCK_ROWS = 10_000
 MAX_BLOCK_ROWS = 10_000_000
 
-# Broadcast bound for driver-built side tables (rows).  A per-block row is a
-# path plus a few longs, so 200,000 rows stay well under 64 MB.
+# Broadcast bounds for side tables, both measured before a broadcast.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def visible_columns(df: DataFrame) -> list[str]:
@@ -73,23 +73,26 @@ def renumber_in_scan_order(df: DataFrame) -> DataFrame:
 def bounded_side(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
     """Materialize a small side table and decide whether it may be broadcast.
 
-    Returns the (checkpointed) table, hinted for broadcast only when its row
-    count is proven to be at most ``max_rows``, and that count.
+    Returns the (checkpointed) table, hinted for broadcast only when its rows
+    and bytes are measured to be within the bounds, and its row count.
     """
+    side, n, _ = _measured(side, max_rows, F.lit(0))
+    return side, n
+
+
+def _measured(side: DataFrame, max_rows: int, total: Column) -> tuple[DataFrame, int, int]:
     ensure_checkpoint_dir(side.sparkSession)
     side = side.checkpoint(eager=True)
-    n = side.count()
-    return (F.broadcast(side) if n <= max_rows else side), n
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in side.columns])))
+    row = side.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.sum(total).alias("t")).first()
+    small = row["n"] <= max_rows and (row["b"] or 0) <= BROADCAST_MAX_BYTES
+    return (F.broadcast(side) if small else side), int(row["n"]), int(row["t"] or 0)
 
 
 def bounded_side_with_total(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int, int]:
     """``bounded_side`` for the per-block table, also returning its row total
     (one small job for both numbers)."""
-    ensure_checkpoint_dir(side.sparkSession)
-    side = side.checkpoint(eager=True)
-    row = side.agg(F.count(F.lit(1)).alias("n"), F.sum("__n").alias("t")).first()
-    n, total = int(row["n"]), int(row["t"] or 0)
-    return (F.broadcast(side) if n <= max_rows else side), n, total
+    return _measured(side, max_rows, F.col("__n"))
 
 
 def block_stats(df: DataFrame, extra_aggs: list[Column] | None = None) -> DataFrame:  # noqa: D401

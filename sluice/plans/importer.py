@@ -10,6 +10,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -21,7 +23,8 @@ from sluice.operators.clean import clean
 from sluice.operators.generate import generate
 from sluice.operators.load import LoadResult, load, q, table_exists
 from sluice.operators.mapping import apply_mapping
-from sluice.operators.order import FILE, RN
+from sluice.operators.commit import delete
+from sluice.operators.order import FILE, RN, renumber_survivors
 from sluice.operators.shape import shape
 from sluice.options import (
     CleanOptions, GenerateOptions, LoadOptions, NamingOptions, ReadOptions, ShapeOptions, parse_bool, parse_mapping,
@@ -29,6 +32,8 @@ from sluice.options import (
 from sluice.sources import dispatch
 
 CHECKPOINT_TABLE = "_import_checkpoints"
+#: Most blocks that a resumable load is cut into, so that progress never costs more jobs than this.
+RESUME_BLOCKS = 64
 
 
 @dataclass
@@ -65,6 +70,7 @@ class ImportSettings:
     export_folder: str = ""
     log_table: str = ""           # LOG-1: append one row per file here
     parallel_files: int = 1       # >1: independent files (distinct tables) load concurrently
+    on_progress: Callable[[int], None] | None = None  # told the rows done after each block of a resumable load
 
     @classmethod
     def from_fields(cls, f: dict) -> "ImportSettings":
@@ -125,24 +131,62 @@ def resume_key(spark: SparkSession, path: str, table: str, mode: str) -> str:
 
 
 def checkpoint_rows(spark: SparkSession, key: str, table: str = CHECKPOINT_TABLE) -> int:
-    """Rows of a file already loaded by an interrupted run (LOAD-9)."""
+    """Rows of a file already loaded by an interrupted run (LOAD-9): what was recorded last."""
     if not table_exists(spark, table):
         return 0
-    row = spark.table(table).where(F.col("key") == key).agg(F.max("rows_done")).first()
+    row = spark.table(table).where(F.col("key") == key).agg(F.max_by("rows_done", "updated_at")).first()
     return int(row[0] or 0)
 
 
 def set_checkpoint(spark: SparkSession, key: str, rows_done: int, table: str = CHECKPOINT_TABLE, root: str = "") -> None:
-    """Record rows already loaded for a file (LOAD-9): an upsert on ``key``."""
-    df = spark.createDataFrame([(key, dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), int(rows_done))],
-                               "key string, updated_at string, rows_done long")
-    load(spark, df, table, LoadOptions(mode="update", verify=False, location_root=root), ["key"])
+    """Record rows already loaded for a file (LOAD-9): one more row of the checkpoint log, the latest counts."""
+    df = spark.createDataFrame([(key, dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S.%f"), int(rows_done))],
+                               "key string, updated_at string, rows_done long").coalesce(1)
+    writer = df.write.format("parquet").mode("append")
+    if root and not table_exists(spark, table):
+        writer = writer.option("path", f"{root.rstrip('/')}/{table}")
+    writer.saveAsTable(table)
 
 
 def clear_checkpoint(spark: SparkSession, key: str, table: str = CHECKPOINT_TABLE, root: str = "") -> None:
     set_checkpoint(spark, key, 0, table, root)
 
 
+def load_resumable(spark: SparkSession, df: DataFrame, table: str, s: ImportSettings, keys: list[str], key: str,
+                   hook: Callable[[], None] | None) -> LoadResult:
+    """LOAD-9: load the rows of one file block by block and record the rows done after each.
+
+    The prepared rows are written once into the shared folder, in row order, and every block (``batch_rows`` rows; at
+    most ``RESUME_BLOCKS`` blocks) is read from there by its row numbers.  An interrupted load starts behind its last
+    full block.  A block is a named load: if it was committed but not recorded, it is not loaded again."""
+    from sluice.session import ensure_checkpoint_dir
+
+    rows = renumber_survivors(df) if s.clean.dedupe else df
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sluice-resume/{uuid.uuid4().hex}"
+    try:
+        rows.sortWithinPartitions(RN).write.parquet(place)
+        rows = spark.read.schema(rows.schema).parquet(place)
+        total = int(rows.agg(F.max(RN)).first()[0] or 0)
+        step = max(s.load.batch_rows or total, -(-total // RESUME_BLOCKS), 1)
+        done, result = checkpoint_rows(spark, key), None
+        while done < total or result is None:
+            end = min(done + step, total)
+            options = replace(s.load, mode="append" if done else s.load.mode, load_id=f"{key}-{done}")
+            block = rows.where((F.col(RN) > done) & (F.col(RN) <= end))
+            res = load(spark, block, table, options, keys, count_source=False, after=hook if end == total else None)
+            table = res.table  # a suffix is chosen once
+            done = end
+            set_checkpoint(spark, key, done, root=s.load.location_root)
+            if s.on_progress:
+                s.on_progress(done)
+            result = res if result is None else replace(res, rows_written=result.rows_written + res.rows_written, elapsed_ms=result.elapsed_ms + res.elapsed_ms,
+                                                        verified_rows=(result.verified_rows or 0) + (res.verified_rows or 0))
+        clear_checkpoint(spark, key, root=s.load.location_root)
+        return result
+    finally:
+        delete(spark, place)
+
+
 @dataclass
 class FileResult:
     file_name: str
@@ -156,8 +200,16 @@ class FileResult:
 def _import_file(spark: SparkSession, f: str, s: ImportSettings) -> list[FileResult]:
     """One file (each sheet a unit): prepare, load, hooks; failures are reported."""
     results: list[FileResult] = []
-    for raw, header, sheet in dispatch.read_units(spark, [f], s.read):
-        name = f.rsplit("/", 1)[-1]
+    name = f.rsplit("/", 1)[-1]
+    units = dispatch.read_units(spark, [f], s.read)
+    while True:
+        try:
+            raw, header, sheet = next(units)
+        except StopIteration:
+            break
+        except Exception as exc:  # noqa: BLE001 - a file that cannot be read fails alone, too
+            results.append(FileResult(name, s.table, "failed", str(exc)))
+            break
         table_name, rule = s.table, s.table_rule
         if sheet and s.read.sheet_mode == "all":
             # SRC-6: one table per sheet, "{table}_{sheet}" or the sheet itself
@@ -170,28 +222,19 @@ def _import_file(spark: SparkSession, f: str, s: ImportSettings) -> list[FileRes
         try:
             prepared = prepare(raw, header, s, sheet=sheet)
             df = prepared.df
-            key = None
-            done = 0
-            load_opts = s.load
-            if s.load.resume and s.load.mode != "update":
-                key = resume_key(spark, f, table, s.load.mode)
-                done = checkpoint_rows(spark, key)
-                if done:
-                    # resumed: the table keeps what was loaded; only the rest is appended
-                    df = df.where(F.col(RN) > done)
-                    load_opts = replace(s.load, mode="append")
             hook = (lambda: S.execute_batch(spark, s.after_each_sql)) if s.after_each_sql.strip(";\n ") else None
-            res = load(spark, df, table, load_opts, prepared.keys, count_source=False, after=hook)
+            if s.load.resume and s.load.mode != "update":
+                res = load_resumable(spark, df, table, s, prepared.keys, resume_key(spark, f, table, s.load.mode), hook)
+            else:
+                res = load(spark, df, table, s.load, prepared.keys, count_source=False, after=hook)
             read_n, kept_n = metric(prepared.rows_read), metric(prepared.rows_kept)
             res.rows_skipped += read_n - kept_n
             if res.rows_updated < 0:
-                res.rows_updated = kept_n - done - res.rows_inserted
-            if key:
-                clear_checkpoint(spark, key)
+                res.rows_updated = kept_n - res.rows_inserted
             results.append(FileResult(name, res.table, "success", "", read_n, res))
         except Exception as exc:  # noqa: BLE001 - one file's failure is reported, the rest go on
             results.append(FileResult(name, table, "failed", str(exc)))
-    if s.delete_source and all(r.status == "success" for r in results if r.file_name == f.rsplit("/", 1)[-1]):
+    if s.delete_source and all(r.status == "success" for r in results):
         from sluice.sources.files import _fs
 
         fs, p = _fs(spark, f)

@@ -26,6 +26,7 @@ from sluice.functions.names import safe_file_stem_col
 from sluice.functions.totext import as_text_frame
 from sluice.operators import sql as S
 from sluice.operators.clean import clean, keep_first
+from sluice.operators.commit import data_files, delete, describe
 from sluice.operators.export import export_frame
 from sluice.operators.generate import generate
 from sluice.operators.load import load
@@ -39,6 +40,7 @@ from sluice.options import (
 )
 from sluice.plans import oracle_sql as O
 from sluice.session import ensure_checkpoint_dir
+from sluice.sources.files import _fs
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -244,18 +246,21 @@ def map_defaults(spark, sf_dir):
 
 
 @register("drop_empty_rows", """
-SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer WHERE c_acctbal >= 0""")
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, row_number() OVER (ORDER BY c_custkey) AS row FROM customer WHERE c_acctbal >= 0""")
 def drop_empty_rows(spark, sf_dir):
-    base = text_rows(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"])
+    """Rows of blank cells go before rows are numbered; blank columns at the end are cut."""
+    base = scan(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "_metadata")
+    base = as_text_frame(with_source_order(base))
     blank = F.col("c_acctbal").cast("double") < 0
     raw = base.select(
         *[F.when(blank, F.lit(" ")).otherwise(F.col(c)).alias(c) for c in ["c_custkey", "c_name", "c_nationkey"]],
-        F.lit(" ").alias("tail1"), F.lit("").alias("tail2"), FILE, "__blk", F.col(RN).alias("__pos"),
+        F.lit(" ").alias("tail1"), F.lit("").alias("tail2"), FILE, "__blk", "__pos",
     )
     shaped, names = shape(raw_cells(raw), ShapeOptions(has_header=False))
     mapping = [MappingItem(i, n) for i, n in enumerate(["c_custkey", "c_name", "c_nationkey"])]
     mapped, _, _ = apply_mapping(shaped, names, mapping)
-    return typed(mapped)
+    cells = mapped.withColumn("row", F.col(RN))
+    return typed(cells)
 
 
 def _infer_oracle() -> str:
@@ -358,24 +363,86 @@ def overwrite_rebuild(spark, sf_dir):
     return spark.table(t)
 
 
-@register("resume_load", "SELECT o_orderkey, o_totalprice FROM orders")
+class Interrupted(RuntimeError):
+    """What a query raises to break a load off."""
+
+
+@register("append_beside_writer", """
+SELECT o_orderkey, o_totalprice, CAST(2 AS BIGINT) AS n_columns FROM orders WHERE o_orderstatus <> 'P'""")
+def append_beside_writer(spark, sf_dir):
+    """Two appends interleave and one fails: the other's rows and the old columns stay."""
+    src = scan(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    t, o = tname("orders_two"), LoadOptions(mode="append", location_root=workdir(spark))
+    load(spark, src.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), t, o)
+
+    def other():
+        load(spark, src.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice"), t, o)
+        raise Interrupted
+
+    try:
+        load(spark, src.where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice", "o_custkey"), t, o, after=other)
+    except Interrupted:
+        pass
+    table = spark.table(t)
+    return table.withColumn("n_columns", F.lit(len(table.columns)).cast("long"))
+
+
+@register("rebuild_leaves_no_folder", """
+SELECT s_suppkey, s_name, CAST(1 AS BIGINT) AS folders FROM supplier WHERE s_nationkey < 10""")
+def rebuild_leaves_no_folder(spark, sf_dir):
+    """Rebuilds and overwrites leave one data folder, whatever they replace."""
+    sup = scan(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    t, root = tname("sup_once"), workdir(spark)
+    for mode in ("rebuild", "rebuild", "overwrite"):
+        load(spark, sup.where("s_nationkey < 10").drop("s_nationkey"), t, LoadOptions(mode=mode, location_root=root))
+    fs, p = _fs(spark, root)
+    return spark.table(t).withColumn("folders", F.lit(len(list(fs.listStatus(p)))).cast("long"))
+
+
+@register("upsert_few_files", """
+SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 0.0 ELSE o_totalprice END AS o_totalprice,
+       CAST(1 AS BIGINT) AS rewritten FROM orders
+UNION ALL SELECT -1, 1.0, 1""")
+def upsert_few_files(spark, sf_dir):
+    """An update of one known and one new key writes one of the table's files again."""
+    src = scan(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    t, root = tname("orders_files"), workdir(spark)
+    load(spark, src.repartitionByRange(8, "o_orderkey"), t, LoadOptions(mode="rebuild", location_root=root))
+    folder = describe(spark, t).location
+    before = set(data_files(spark, folder))
+    change = src.agg(F.max("o_orderkey").alias("o_orderkey")).select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    new = change.unionByName(change.select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit(1.0).alias("o_totalprice")))
+    load(spark, new, t, LoadOptions(mode="update", location_root=root), ["o_orderkey"])
+    return spark.table(t).withColumn("rewritten", F.lit(len(before - set(data_files(spark, folder)))).cast("long"))
+
+
+@register("resume_load", """
+SELECT o_orderkey, o_totalprice, CAST(3 AS BIGINT) AS blocks_first, CAST((SELECT ceil((count(*) - 3 * (count(*) // 5)) / (count(*) // 5)) FROM orders) AS BIGINT) AS blocks_then
+FROM orders""")
 def resume_load(spark, sf_dir):
-    from sluice.plans.importer import checkpoint_rows, clear_checkpoint, set_checkpoint
-
-    rows = ordered(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus"])
-    t, root, ck = tname("orders_res"), workdir(spark), tname("_ckpt")
-    key = f"{sf_dir}/orders.parquet|{t}|rebuild"
-    # an interrupted first run: as many rows as there are finished orders
-    done = rows.where(F.col("o_orderstatus") == "F").count()
-    load(spark, rows.where(F.col(RN) <= done).select("o_orderkey", "o_totalprice"), t,
-         LoadOptions(mode="rebuild", location_root=root))
-    set_checkpoint(spark, key, done, ck, root)
-    # the resumed run skips what the checkpoint records
-    skip = checkpoint_rows(spark, key, ck)
-    load(spark, rows.where(F.col(RN) > skip).select("o_orderkey", "o_totalprice"), t,
-         LoadOptions(mode="append", location_root=root))
-    clear_checkpoint(spark, key, ck, root)
-    return spark.table(t)
+    """An import that breaks off after three blocks goes on behind them when it runs again."""
+    from sluice.plans.importer import ImportSettings, import_path
+    from sluice.sources.files import list_files
+
+    root, t = workdir(spark), tname("orders_res")
+    src = scan(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    res = export_frame(src.coalesce(1), root, "orders", ExportOptions(fmt="csv"))
+    file = list_files(spark, res.path)[0]
+    settings = ImportSettings.from_fields({"importMode": "rebuild", "tableName": t, "resumeImport": "1", "batchRows": str(src.count() // 5)})
+    settings.load = replace(settings.load, location_root=root)
+    first, then = [], []
+
+    def break_off(done: int) -> None:
+        first.append(done)
+        if len(first) == 3:
+            raise Interrupted("broken off")
+
+    try:
+        import_path(spark, file, replace(settings, on_progress=break_off))
+    except ValueError:  # the one file has failed
+        pass
+    import_path(spark, file, replace(settings, on_progress=then.append))
+    return spark.table(t).withColumns({"blocks_first": F.lit(len(first)).cast("long"), "blocks_then": F.lit(len(then)).cast("long")})
 
 
 # ------------------------------------------------------------------ catalog and SQL
@@ -490,6 +557,66 @@ def import_folder(spark, sf_dir):
     return spark.table(table)
 
 
+_DIGITS, _HAN = "0123456789", "零一二三四五六七八九"
+
+
+@register("import_mixed_charsets", f"""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN '㐀' ELSE '' END || CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 0 THEN c_name
+       ELSE translate(c_name, '{_DIGITS}', '{_HAN}') END AS name FROM customer""")
+def import_mixed_charsets(spark, sf_dir):
+    """Files of three charsets in one scan; one begins with plain ASCII rows and is only then another charset."""
+    from sluice.plans.importer import ImportSettings, import_together
+
+    cust, root, table = scan(spark, sf_dir, "customer"), workdir(spark), tname("cust_charsets")
+    han = F.translate("c_name", _DIGITS, _HAN)
+    for segment, encoding in (("BUILDING", "gbk"), ("MACHINERY", "gb18030"), (None, "utf-8")):
+        mine = F.col("c_mktsegment") == segment if segment else ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+        plain = (F.lit(segment) == "BUILDING") & (F.col("c_acctbal") < 0) if segment else F.lit(False)
+        name = F.concat(F.lit("㐀" if segment == "MACHINERY" else ""), F.when(plain, F.col("c_name")).otherwise(han))
+        rows = cust.where(mine).select("c_custkey", name.alias("name"), plain.alias("plain")).coalesce(1)
+        export_frame(rows.sortWithinPartitions(F.desc("plain")).drop("plain"), f"{root}/in", encoding, ExportOptions(fmt="csv", encoding=encoding))
+    settings = ImportSettings.from_fields({"importMode": "rebuild", "tableName": table, "includeSubfolders": "1"})
+    settings.load = replace(settings.load, location_root=root)
+    import_together(spark, f"{root}/in", settings)
+    return spark.table(table)
+
+
+@register("import_quoted_newlines", f"""
+SELECT doc_id, {O.strip('text')} AS text FROM documents""")
+def import_quoted_newlines(spark, sf_dir):
+    """Texts of several lines, written as quoted cells, come back as one record each."""
+    from sluice.plans.importer import ImportSettings, import_together
+
+    root, table = workdir(spark), tname("doc_lines")
+    res = export_frame(scan(spark, sf_dir, "documents").select("doc_id", "text"), root, "documents", ExportOptions(fmt="csv"))
+    settings = ImportSettings.from_fields({"importMode": "rebuild", "tableName": table})
+    settings.load = replace(settings.load, location_root=root)
+    import_together(spark, res.path, settings)
+    return spark.table(table)
+
+
+@register("json_lines_scan", """
+SELECT event_id, event_type, value, props FROM events""")
+def json_lines_scan(spark, sf_dir):
+    """Objects a line, with braces inside their strings, read in splits."""
+    folder = f"{workdir(spark)}/lines"
+    scan(spark, sf_dir, "events").select("event_id", "event_type", "value", "props").write.json(folder)
+    return _reimport(spark, folder)
+
+
+@register("json_array_scan", """
+SELECT doc_id, lang, text FROM documents""")
+def json_array_scan(spark, sf_dir):
+    """Arrays of objects, read in splits between their closing braces."""
+    res = export_frame(scan(spark, sf_dir, "documents").select("doc_id", "lang", "text"), workdir(spark), "documents", ExportOptions(fmt="json"))
+    from sluice.sources.files import list_files
+    from sluice.sources.json_source import read_json
+
+    df, keys = read_json(spark, list_files(spark, res.path))
+    named = df.select(*[F.col(f"c{i + 1}").alias(k) for i, k in enumerate(keys)])
+    return typed(named)
+
+
 @register("export_split", "SELECT c_mktsegment AS part, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def export_split(spark, sf_dir):
     from sluice.sources.delimited import read_delimited
@@ -810,6 +937,25 @@ def job_cycles(spark, sf_dir):
 
 # ------------------------------------------------------------------ streaming
 
+@register("stream_replay", """
+SELECT event_id, event_type, value FROM events""")
+def stream_replay(spark, sf_dir):
+    """A batch that is run again after a crash (its commit mark is lost) adds no row."""
+    from sluice.streaming.ingest import ingest_folder
+
+    root, cols = workdir(spark), ["event_id", "event_type", "value"]
+    inbox, t, ck = f"{root}/inbox", tname("ev_replay"), f"{root}/ck"
+    ev = scan(spark, sf_dir, "events").select(*cols)
+    opts = LoadOptions(mode="append", location_root=root)
+    for k, part in enumerate((F.col("value") < 30, F.col("value") >= 30)):
+        export_frame(ev.where(part), inbox, f"batch{k}", ExportOptions(fmt="csv"))
+        ingest_folder(spark, f"{inbox}/*", cols, t, ck, load_options=opts).awaitTermination()
+        delete(spark, f"{ck}/commits/{k}")
+        ingest_folder(spark, f"{inbox}/*", cols, t, ck, load_options=opts).awaitTermination()
+    spark.catalog.refreshTable(t)
+    return spark.table(t)
+
+
 @register("stream_ingest", "SELECT event_id, event_type, value FROM events")
 def stream_ingest(spark, sf_dir):
     from sluice.streaming.ingest import ingest_folder

@@ -73,32 +73,20 @@ def read_head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
         stream.close()
 
 
-def detect_encoding(sample: bytes, option: str = "auto") -> str:
-    """SRC-2 on a byte sample: utf-8-sig, utf-8, gbk, gb18030 in order.
+def guess_encoding(sample: bytes, option: str = "auto") -> str:
+    """Charset for a look at the first bytes (delimiter, preview): the first candidate that decodes them, a character
+    cut off at the end left aside.  The charset that a file is read in comes from all its bytes (``text_probe``)."""
+    for enc in AUTO_ENCODINGS if (option or "auto") == "auto" else (option,):
+        for cut in range(4):
+            try:
+                sample[:len(sample) - cut].decode(enc)
+                return enc
+            except UnicodeDecodeError:
+                continue
+    return "latin-1"
 
-    A sample may end inside a character; a failure in the last three bytes is
-    not counted.  Returns a Java charset name for Spark's ``encoding`` option.
-    """
-    if option and option != "auto":
-        candidates = [option]
-    else:
-        candidates = list(AUTO_ENCODINGS)
-    for enc in candidates:
-        try:
-            sample.decode(enc)
-            return _java_charset(enc)
-        except UnicodeDecodeError as exc:
-            if exc.start >= len(sample) - 3 and len(sample) > 3:
-                try:
-                    sample[: exc.start].decode(enc)
-                    return _java_charset(enc)
-                except UnicodeDecodeError:
-                    pass
-            continue
-    raise SourceError("could not recognize the text encoding")
-
-
-def _java_charset(enc: str) -> str:
+
+def java_charset(enc: str) -> str:
     return {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030"}.get(enc.lower(), enc)
 
 
@@ -110,11 +98,10 @@ def sniff_delimiter(text: str) -> str:
         return ","
 
 
-def sample_text(spark: SparkSession, path: str, encoding_option: str = "auto", n: int = 65536) -> tuple[str, str]:
-    head = read_head(spark, path, n)
-    enc = detect_encoding(head, encoding_option)
-    pyenc = {"UTF-8": "utf-8-sig"}.get(enc, enc)
-    return head.decode(pyenc, errors="ignore"), enc
+def sniff_file(spark: SparkSession, path: str, encoding_option: str = "auto") -> str:
+    """SRC-3 for one file."""
+    head = read_head(spark, path, 4 * SNIFF_CHARS)
+    return sniff_delimiter(head.decode(guess_encoding(head, encoding_option), errors="ignore").removeprefix("\ufeff"))
 
 
 def suffix_of(path: str) -> str:

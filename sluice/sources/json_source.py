@@ -7,46 +7,40 @@ are flattened one level (``parent_child``), lists become JSON text, scalars
 become contract text (``True``, ``3``, ``1.5``, ``1e+20``), null becomes "".
 Columns are the union of keys in first-seen order.
 
-Root resolution and flattening use Python's json parser in Arrow batches, so a
-document is judged as a whole and a malformed one raises.  A JSON document (also
-one of JSON lines) is read by one task, so scale comes from many files.
+Arrays and JSON lines are read in splits (``json_split``), a root object by one
+task.  Flattening uses Python's json parser in Arrow batches; a malformed
+document raises.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.order import BLOCK, FILE, POS
+from sluice.session import ship_package
+from sluice.sources.json_split import array_rows, layout, line_rows
 
 
-
-def _cell_text(value) -> str:
-    """The contract's value-to-text for parsed JSON values."""
+def _text(value, in_child: bool) -> str:
+    """The contract's text of a parsed value; lists are JSON at the first level and Python text inside a child."""
     if value is None:
         return ""
-    return str(value)
-
-
-def _flatten_object(obj: dict) -> tuple[list[str], list[str]]:
-    """One-level flatten: child dicts -> ``parent_child``, lists -> JSON text."""
-    names, values = [], []
-    for key, value in obj.items():
-        name = str(key)
-        if isinstance(value, dict):
-            for ck, cv in value.items():
-                names.append(f"{name}_{ck}")
-                values.append(_cell_text(cv))
-        elif isinstance(value, list):
-            names.append(name)
-            values.append(json.dumps(value, ensure_ascii=False))
-        else:
-            names.append(name)
-            values.append(_cell_text(value))
-    return names, values
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, list) and not in_child else str(value)
+
+
+def flat_fields(obj: dict) -> tuple[list[str], list[str]]:
+    """Names and texts of an object's fields; fields of a child carry its name in front."""
+    flat = [(path, _text(leaf, len(path) > 1)) for name, value in obj.items()
+            for path, leaf in ([((name, inner), leaf) for inner, leaf in value.items()] if isinstance(value, dict) else [((name,), value)])]
+    return ["_".join(path) for path, _ in flat], [text for _, text in flat]
 
 
 def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
@@ -54,11 +48,9 @@ def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
     in ``obj_col``, in document order.
 
     Python's own parser gives the exact text forms (``True``, ``1e+20``, nested
-    values as Python text) that no built-in expression reproduces; it runs as
-    an Arrow-batched ``mapInPandas`` on the partitions Spark already has.
+    values as Python text) that no built-in expression reproduces; it runs
+    Arrow-batched on the partitions Spark already has.
     """
-    from sluice.session import ship_package
-
     ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [
         T.StructField("__names", T.ArrayType(T.StringType())), T.StructField("__values", T.ArrayType(T.StringType())),
@@ -67,16 +59,9 @@ def with_entries(df: DataFrame, obj_col: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            names_col, values_col = [], []
-            for text in pdf.iloc[:, pos]:
-                obj = json.loads(text) if text is not None else None
-                if isinstance(obj, dict):
-                    n, v = _flatten_object(obj)
-                else:
-                    n, v = [], []
-                names_col.append(n)
-                values_col.append(v)
-            yield pdf.assign(__names=names_col, __values=values_col)
+            objects = [json.loads(text) if text is not None else None for text in pdf.iloc[:, pos]]
+            fields = [flat_fields(o) if isinstance(o, dict) else ([], []) for o in objects]
+            yield pdf.assign(__names=[f[0] for f in fields], __values=[f[1] for f in fields])
 
     return df.mapInPandas(run, schema)
 
@@ -113,8 +98,6 @@ def root_elements(text: str, row_tag: str = "") -> list[str]:
 
 def with_elements(docs: DataFrame, row_tag: str = "") -> DataFrame:
     """``__elements`` in place of ``value``: the row candidates of each document.  A malformed document raises."""
-    from sluice.session import ship_package
-
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -133,7 +116,8 @@ def with_elements(docs: DataFrame, row_tag: str = "") -> DataFrame:
 def cells_from_pairs(withe: DataFrame, order_cols: list[str], keep: list[str]) -> tuple[DataFrame, list[str]]:
     """Rows carrying ``__names``/``__values`` arrays -> text columns ``c1..cN``
     named by the union of names in first-seen order (only the distinct names
-    reach the driver).  A later duplicate name in a row wins."""
+    reach the driver).  A later duplicate name in a row wins.  A batch's cells
+    are put into their columns in one pass, whatever the number of names."""
     names = (
         withe.select(*order_cols, F.posexplode("__names").alias("__kp", "name"))
         .groupBy("name")
@@ -143,12 +127,19 @@ def cells_from_pairs(withe: DataFrame, order_cols: list[str], keep: list[str]) -
     )
     keys = [r["name"] for r in names]
 
-    def cell(k: str) -> Column:
-        from_end = F.array_position(F.reverse(F.col("__names")), F.lit(k))
-        return F.when(from_end > 0, F.try_element_at(F.col("__values"), -from_end.cast("int"))).otherwise(F.lit(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {k: i for i, k in enumerate(keys)}
+        for batch in batches:
+            at = batch.schema.names.index("__names")
+            lists = batch.column(at)
+            cells = np.full((len(keys), batch.num_rows), "", object)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            cells[[place[n] for n in lists.flatten().to_pylist()], row] = batch.column(at + 1).flatten().to_pylist()
+            kept = [batch.column(batch.schema.names.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cells], *kept], [*[f"c{i + 1}" for i in range(len(keys))], *keep])
 
-    cells = [cell(k).alias(f"c{i + 1}") for i, k in enumerate(keys)]
-    return withe.select(*cells, *keep), keys
+    schema = T.StructType([T.StructField(f"c{i + 1}", T.StringType()) for i in range(len(keys))] + [withe.schema[c] for c in keep])
+    return withe.select(*keep, "__names", "__values").mapInArrow(run, schema), keys
 
 
 def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[DataFrame, list[str]]:
@@ -161,13 +152,35 @@ def flatten_rows(df: DataFrame, json_col: str, order_cols: list[str]) -> tuple[D
     return cells_from_pairs(withe, order_cols, [c for c in df.columns if c != json_col])
 
 
-def read_json(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
+def document_rows(spark: SparkSession, paths: list[str], row_tag: str) -> DataFrame:
+    """``__file, __blk, __pos, __names, __values`` of documents that are read whole."""
     docs = spark.read.text(paths, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK)
     )
-    elems = with_elements(docs, row_tag).select(FILE, BLOCK, F.posexplode("__elements").alias("__i", "__obj"))
-    elems = elems.withColumn(POS, F.monotonically_increasing_id())
-    out, keys = flatten_rows(elems, "__obj", [FILE, "__i"])
+    elems = with_elements(docs, row_tag).select(FILE, BLOCK, F.posexplode("__elements").alias(POS, "__obj"))
+    elems = elems.where(F.ltrim("__obj").startswith("{")).withColumn(POS, F.monotonically_increasing_id())
+    return with_entries(elems, "__obj").select(FILE, BLOCK, POS, "__names", "__values")
+
+
+def read_json(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
+    ship_package(spark)
+    parts, kinds = layout(spark, paths)
+    groups: dict[str, list[str]] = {}
+    for uri, kind in kinds.items():
+        groups.setdefault(kind, []).append(unescaped(uri))
+    read = {"array": lambda some: array_rows(spark, some, parts.where(F.col(FILE).isin([u for u, k in kinds.items() if k == "array"])), flat_fields),
+            "lines": lambda some: line_rows(spark, some, flat_fields), "document": lambda some: document_rows(spark, some, row_tag)}
+    found = [read[kind](some) for kind, some in groups.items()]
+    if not found:
+        raise ValueError("the JSON holds no object rows to import")
+    out, keys = cells_from_pairs(reduce(DataFrame.union, found), [FILE, BLOCK, POS], [FILE, BLOCK, POS])
     if not keys:
         raise ValueError("the JSON holds no object rows to import")
-    return out.drop("__i"), keys
+    return out, keys
+
+
+def unescaped(uri: str) -> str:
+    """The path that a file's URI stands for."""
+    from urllib.parse import unquote
+
+    return unquote(uri)

@@ -2,14 +2,14 @@
 import os
 
 from sluice.plans.importer import ImportSettings, import_path, preview_import
-from sluice.sources.files import detect_encoding, sniff_delimiter
+from sluice.sources.files import guess_encoding, sniff_delimiter
 
 
 def test_detect_and_read_gbk(spark, tmp_dir):
     p = os.path.join(tmp_dir, "gbk.csv")
     with open(p, "wb") as fh:
         fh.write("名称;数量\n苹果;3\n香蕉;5\n".encode("gbk"))
-    assert detect_encoding(open(p, "rb").read()) == "GBK"
+    assert guess_encoding(open(p, "rb").read()) == "gbk"
     assert sniff_delimiter("a;b\n1;2\n") == ";"
     r = import_path(spark, p, ImportSettings.from_fields({"importMode": "rebuild", "tableName": "t_gbk"}))[0]
     assert r.status == "success", r.message
@@ -81,15 +81,17 @@ def test_source_errors(spark, tmp_dir):
     import pytest
 
     from sluice.sources.dispatch import read_units
-    from sluice.sources.files import SourceError, detect_encoding
+    from sluice.sources.files import SourceError
     from sluice.options import ReadOptions
 
     bad = os.path.join(tmp_dir, "x.parquetish")
     open(bad, "w").write("x")
     with pytest.raises(SourceError):
         next(iter(read_units(spark, [bad], ReadOptions())))
-    with pytest.raises(SourceError):
-        detect_encoding(b"\xff\xfe\xfa\xfb\xfc" * 10, "auto")
+    broken = os.path.join(tmp_dir, "broken.csv")
+    open(broken, "wb").write(b"\xff\xfe\xfa\xfb\xfc" * 10)
+    with pytest.raises(SourceError, match="broken.csv"):
+        next(iter(read_units(spark, [broken], ReadOptions())))
 
 
 def test_xml_root_children_any_tag(spark, tmp_dir):
