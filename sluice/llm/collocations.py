@@ -7,8 +7,11 @@ its occurrences count, overlapping ones too, per language.
 1. Words are counted per language; only words of full support can be in a phrase.
 2. A shard is a block of texts in a task.  It is mined completely, level by level
    (a run of words is counted if both its shorter runs are frequent), at a local
-   support lowered in proportion to the shard's words of the language.  A phrase of
-   full support reaches it in one shard at least.
+   support lowered in proportion to the shard's words of the language, and to
+   ``LOCAL`` at most.  A phrase of full support reaches it in one shard at least.  Pairs are mined and counted
+   (steps 3 and 4) before longer phrases, which then grow from the pairs of full
+   support only: where shards are so many that the lowered support is 1, a shard
+   reports its pairs and little more.
 3. The union of the shards' phrases is taken.  What a shard did not report occurs
    there fewer times than its local support, so a phrase whose reported count and
    these remainders stay below the support is no candidate.  All others are
@@ -38,6 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,12 @@ from sluice.llm.words import Cutter, Words, blocks, counted
 SUPPORT, LONGEST, COVERED = 100, 5, 100
 #: Entries in one broadcast: words of full support, and candidates.
 WORDS, CANDIDATES = 1 << 20, 1 << 20
+#: Candidates in one vector of counts, and vectors that are added up at once.
+VECTOR, ADDED = 4096, 256
+#: Local support is never above this: a low one costs a shard little and leaves few candidates that are no results.
+LOCAL = 2
+#: Bytes of text in a shard.
+SHARD_BYTES = 14 << 20
 #: Phrases reported per language.
 TOP = 2000
 
@@ -58,7 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n``.  ``docs``: ``lang, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, SHARD_BYTES):
                 found = _CUTTER.cut(part.column(1))
                 langs, words = part.column(0).dictionary_encode(), found.words.dictionary_encode()
                 wide = max(1, len(words.dictionary))
@@ -88,11 +98,15 @@ class Units:
         if not len(self.keys) or not len(words):
             return np.full(len(words), -1, np.int64)
         coded = words.dictionary_encode()
-        word = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)[coded.indices.to_numpy()]
-        lang = pc.fill_null(pc.index_in(langs, value_set=self.langs), -1).to_numpy().astype(np.int64)[row]
-        key = np.where((word >= 0) & (lang >= 0), lang * len(self.words) + word, -1)
+        word = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy()[coded.indices.to_numpy()]
+        lang = pc.fill_null(pc.index_in(langs, value_set=self.langs), -1).to_numpy()[row]
+        out = np.full(len(words), -1, np.int64)
+        some = np.flatnonzero((word >= 0) & (lang >= 0))
+        key = lang[some] * np.int64(len(self.words)) + word[some]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+        same = self.keys[at] == key
+        out[some[same]] = at[same]
+        return out
 
     def texts(self, units: np.ndarray) -> pa.Array:
         return self.words.take(pa.array(self.keys[units] % len(self.words)))
@@ -101,9 +115,10 @@ class Units:
         return self.keys[units] // max(1, len(self.words))
 
 
-def mined(docs: DataFrame, frequent, totals: dict[str, int], support: int, longest: int) -> DataFrame:
+def mined(docs: DataFrame, frequent, totals: dict[str, int], support: int, longest: int, pairs=None) -> DataFrame:
     """``lang, phrase, n, slack``: locally frequent phrases of every shard, and a row of null phrase per shard and language.
-    ``slack`` is what a phrase that the shard does not report may occur there.  ``frequent``: broadcast Units, or None."""
+    ``slack`` is what a phrase that the shard does not report may occur there.  ``frequent``: broadcast Units, or None.
+    With ``pairs`` (broadcast Tree of the pairs of full support) only phrases of three words or more are mined, from those pairs."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("slack", pa.int64())])
 
     def rows(langs, phrases, n, slack) -> pa.RecordBatch:
@@ -111,21 +126,26 @@ def mined(docs: DataFrame, frequent, totals: dict[str, int], support: int, longe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, SHARD_BYTES):
                 found = _CUTTER.cut(part.column(1))
                 if not len(found.words):
                     continue
                 langs = part.column(0)
-                units = frequent.value if frequent is not None else Units.of(langs.take(pa.array(found.row)), found.words)
+                units = pairs.value.units if pairs is not None else frequent.value if frequent is not None else Units.of(langs.take(pa.array(found.row)), found.words)
                 unit = units.find(langs, found.row, found.words)
                 own = langs.dictionary_encode()
                 words_here = np.bincount(own.indices.to_numpy()[found.row], minlength=len(own.dictionary)).tolist()
-                local = {lang: max(1, -(-support * n // totals[lang])) for lang, n in zip(own.dictionary.to_pylist(), words_here) if n}
+                local = {lang: max(1, min(LOCAL, -(-support * n // totals[lang]))) for lang, n in zip(own.dictionary.to_pylist(), words_here) if n}
                 yield rows(pa.array(list(local)), pa.nulls(len(local), pa.string()), np.zeros(len(local), np.int64), np.array(list(local.values())) - 1)
+                joined, found = found.joined, None  # of the words only their numbers are needed from here on
                 least = np.array([local.get(lang, 1) for lang in units.langs.to_pylist()], np.int64)
-                run_at, texts, first = unit, None, None
-                for size in range(2, longest + 1):
-                    at = np.flatnonzero((run_at[:-1] >= 0) & (run_at[1:] >= 0) & found.joined[size - 1:])
+                run_at, texts, first, smallest = unit, None, None, 2
+                if pairs is not None:
+                    level = pairs.value.levels[0][0]
+                    run_at, first, smallest = pairs.value.step(unit, unit, joined, 2), level // len(units.keys), 3
+                    texts = pc.binary_join_element_wise(units.texts(first), units.texts(level % len(units.keys)), " ")
+                for size in range(smallest, longest + 1):
+                    at = np.flatnonzero((run_at[:-1] >= 0) & (run_at[1:] >= 0) & joined[size - 1:])
                     keys, place, n = counted(run_at[at] * len(units.keys) + unit[at + size - 1])
                     head, last = np.divmod(keys, max(1, len(units.keys)))
                     start = head if first is None else first[head]
@@ -176,19 +196,24 @@ class Tree:
             place[grown] = at
         return Tree(units, levels, len(sizes))
 
+    def step(self, run_at: np.ndarray, unit: np.ndarray, joined: np.ndarray, size: int) -> np.ndarray:
+        """Places among the candidates' beginnings of ``size`` words of the runs that start at each word (-1: none), from those of one word less."""
+        level = self.levels[size - 2][0]
+        at = np.flatnonzero((run_at[:-1] >= 0) & (unit[size - 1:] >= 0) & joined[size - 1:])
+        keys = run_at[at] * len(self.units.keys) + unit[at + size - 1]
+        place = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+        same = level[place] == keys
+        out = np.full(len(run_at) - 1, -1, np.int64)
+        out[at[same]] = place[same]
+        return out
+
     def count(self, langs: pa.Array, found: Words) -> np.ndarray:
         unit = self.units.find(langs, found.row, found.words)
         out, run_at = np.zeros(self.size, np.int64), unit
         for size, (level, numbers) in enumerate(self.levels, 2):
-            at = np.flatnonzero((run_at[:-1] >= 0) & (unit[size - 1:] >= 0) & found.joined[size - 1:])
-            keys = run_at[at] * len(self.units.keys) + unit[at + size - 1]
-            place = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            same = level[place] == keys
-            at, place = at[same], place[same]
-            hits = np.bincount(place, minlength=len(level))
+            run_at = self.step(run_at, unit, found.joined, size)
+            hits = np.bincount(run_at[run_at >= 0], minlength=len(level))
             out[numbers[numbers >= 0]] += hits[numbers >= 0]
-            run_at = np.full(len(run_at) - 1, -1, np.int64)
-            run_at[at] = place
         return out
 
 
@@ -202,22 +227,47 @@ def exact_counts(docs: DataFrame, candidates: DataFrame, size: int, limit: int)
         some = candidates.filter(F.col("scan") == scan).select("id", "lang", "phrase").toArrow().combine_chunks()
         ids, langs, phrases = (_whole(some[c], kind) for c, kind in (("id", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())))
         tree = spark.sparkContext.broadcast((Tree.of(langs, phrases), ids.to_numpy()))
-        one = docs.mapInArrow(_counting(tree), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        one = cut(one, "phrase-counts")
+        vectors = docs.mapInArrow(_counting(tree), "part int, vector int, n array<long>")
+        # sums of bounded groups of tasks, then of these sums
+        few = vectors.withColumn("part", F.floor(F.col("part") / ADDED).cast("int")).groupBy("vector", "part").applyInArrow(_added, "part int, vector int, n array<long>")
+        one = cut(few.groupBy("vector").applyInArrow(_named(tree), "id long, n long"), "phrase-counts")
         counts = one if counts is None else counts.union(one)
     return candidates.join(counts, "id").select("lang", "phrase", "n")
 
 
 def _counting(tree):
+    """Counts of all candidates in a task's texts, as vectors of ``VECTOR`` counts each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, ids), total = tree.value, None
+        (known, _), total = tree.value, None
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, SHARD_BYTES):
                 n = known.count(part.column(0), _CUTTER.cut(part.column(1)))
                 total = n if total is None else total + n
-        if total is not None and total.any():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], ["id", "n"])
+        for at in range(0, 0 if total is None else len(total), VECTOR):
+            if total[at:at + VECTOR].any():
+                yield _vector(TaskContext.get().partitionId(), at // VECTOR, total[at:at + VECTOR])
+    return run
+
+
+_COUNTS = pa.schema([("part", pa.int32()), ("vector", pa.int32()), ("n", pa.list_(pa.int64()))])
+
+
+def _vector(part: int, vector: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"part": part, "vector": vector, "n": counts}], _COUNTS)
+
+
+def _sum(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.sum([v.values.to_numpy() for v in vectors], axis=0)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_vector(0, table["vector"][0].as_py(), _sum(table["n"]))])
+
+
+def _named(tree):
+    def run(table: pa.Table) -> pa.Table:
+        at, n = table["vector"][0].as_py() * VECTOR, _sum(table["n"])
+        return pa.table({"id": tree.value[1][at:at + len(n)], "n": n}).filter(pc.greater(pc.field("n"), 0))
     return run
 
 
@@ -239,16 +289,29 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", support: in
         table = frequent.select("lang", "word").toArrow()
         known = spark.sparkContext.broadcast(Units.of(_whole(table["lang"], pa.string()), _whole(table["word"], pa.string())))
     by_lang = {r["lang"]: r["n"] for r in totals.collect()}
-    shards = cut(mined(docs, known, by_lang, support, longest), "mined-phrases") if n_words else None
     found = frequent.select("lang", F.col("word").alias("phrase"), "n")
-    if shards is None:
+    if not n_words:
+        return found, totals
+    two = _phase(mined(docs, known, by_lang, support, 2), docs, support, candidates_limit)
+    # longer phrases grow from the pairs of full support; too many of these for a broadcast leave local support to do it
+    pairs = None
+    if (n_pairs := two.count()) and n_pairs <= candidates_limit:
+        table = two.select("lang", "phrase").toArrow()
+        pairs = spark.sparkContext.broadcast(Tree.of(_whole(table["lang"], pa.string()), _whole(table["phrase"], pa.string())))
+    if not n_pairs:
         return found, totals
+    longer = mined(docs, known, by_lang, support, longest, pairs).filter(F.col("phrase").isNull() | (F.size(F.split("phrase", " ")) > 2))
+    return found.union(two).union(_phase(longer, docs, support, candidates_limit)), totals
+
+
+def _phase(shards: DataFrame, docs: DataFrame, support: int, limit: int) -> DataFrame:
+    """Exact counts of the mined phrases that can have full support, and have it."""
+    shards = cut(shards, "mined-phrases")
     slack = shards.filter("phrase IS NULL").groupBy("lang").agg(F.sum("slack").alias("all_slack"))
     union = shards.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
     possible = union.join(F.broadcast(slack), "lang").filter(F.col("n") + F.col("all_slack") - F.col("slack") >= support)
     possible = cut(possible.select("lang", "phrase"), "possible-phrases")
-    counts = exact_counts(docs, possible, possible.count(), candidates_limit)
-    return found.union(counts.filter(F.col("n") >= support)), totals
+    return cut(exact_counts(docs, possible, possible.count(), limit).filter(F.col("n") >= support), "phrases")
 
 
 def collocations(docs: DataFrame, covered: int = COVERED, **options) -> DataFrame:

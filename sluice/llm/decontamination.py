@@ -189,7 +189,7 @@ class Windows:
                         many = offsets[which + 1] - offsets[which]
                         rows = np.repeat(found.row[some[same]], many)
                         spots = np.repeat(offsets[which] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(which) else which, many) + np.arange(many.sum())
-                        pairs.append(np.unique(rows * len(self.items) + owner[spots]))
+                        pairs.append(np.unique(rows * np.int64(len(self.items)) + owner[spots]))
                         place = place + 1
         pairs = np.unique(np.concatenate(pairs))
         return np.cumsum(hit[:-1]) > 0, pairs // max(1, len(self.items)), pairs % max(1, len(self.items))

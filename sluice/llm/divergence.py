@@ -62,7 +62,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 terms = found.words.dictionary_encode()
                 wide, codes = len(terms.dictionary), terms.indices.to_numpy().astype(np.int64)
                 keys, _, n = counted(group[found.row] * wide + codes)
-                once, _, _ = counted(found.row * wide + codes)
+                once, _, _ = counted(found.row * np.int64(wide) + codes)
                 _, place, in_docs = counted(np.concatenate([keys, group[once // wide] * wide + once % wide]))
                 group, code = keys // wide, keys % wide
                 yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,6 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-A text is its sequence of words (letters, digits and underscore, lower-cased);
+A text is its sequence of words (letters, digits and underscore, each lower-cased);
 its k-mers are runs of ``K`` words, each labelled with how many equal ones came
 before it.  A sketch samples the ``PICK`` labelled k-mers that a random order
 puts first and keeps them in the order of the text, so it tells texts apart
@@ -26,16 +26,17 @@ often changes its label with each edit before it, which costs long texts some
 of it.  Pairs whose marks differ in more places than the threshold allows words
 to differ cannot pass the alignment and are left out before it.
 
-Null text counts as empty; texts without words are equal.  Of fewer than five
-words only equal texts reach the threshold.  Repeated rows and ids share a class if
-their texts do.  An empty table gives no rows.
+Null text counts as empty; texts without words are copies only if they are equal.
+Of fewer than five words only equal texts reach the threshold.  Repeated rows and
+ids share a class if their texts do; null ids come last.  Long texts are sketched
+and aligned whole, some sketches at a time.  Other columns are not read (``keep_one``
+keeps them, whatever their names).  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sluice.llm.components import components
 from sluice.llm.shared import cut
+from sluice.llm.words import blocks, text_bytes
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the similarity from which texts are copies.
 K, PICK, SKETCHES, SIMILAR = 1, 7, 64, 0.8
@@ -56,19 +58,73 @@ MARKS = 4
 SEED = 1
 #: Rounds in which buckets align their members with a leader.
 STARS = 3
-#: Hashes held at once while sketching a long text.
-CELLS = 1 << 21
+#: Hashes held at once while sketching a long text, and bytes of text that are cut into words at once.
+CELLS, TEXT_BYTES = 1 << 21, 1 << 21
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
+#: An odd base of the running hash over characters, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return _WORD.findall("".join([c.lower() if len(c.lower()) == 1 else c for c in text or ""]))
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32)
+class Characters:
+    """What every character is: part of a word or not, and its lower case (itself where that is no single character)."""
+
+    _known = None
+
+    def __init__(self):
+        every = [chr(c) for c in range(0x110000)]
+        self.word = np.array([c.isalnum() or c == "_" for c in every])
+        self.lower = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every], np.uint32)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    @classmethod
+    def known(cls) -> "Characters":
+        cls._known = cls._known or cls()
+        return cls._known
+
+    def up_to(self, n: int) -> None:
+        """Powers of the base and of its inverse, for a running hash over ``n`` characters."""
+        if len(self.powers) < n:
+            steps = np.arange(n) > 0
+            self.powers = np.cumprod(np.where(steps, _U(_BASE), _U(1)))
+            self.inverses = np.cumprod(np.where(steps, _U(_INVERSE), _U(1)))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of an array of texts, and the number of words of each text."""
+    offsets, raw = text_bytes(texts)
+    known = Characters.known()
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    edges = before[offsets]
+    word = np.zeros(len(points) + 2, bool)
+    word[1:-1] = known.word[points]
+    first = np.zeros(len(points) + 1, bool)
+    first[edges] = True
+    start = np.flatnonzero(word[1:] & (first | ~word[:-1]))
+    end = np.flatnonzero(word[:-1] & (first | ~word[1:]))
+    known.up_to(len(points))
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((known.lower[points].astype(np.uint64) + _U(1)) * known.powers[:len(points)], out=total[1:])
+    hashes = (total[end] - total[start]) * known.inverses[start]
+    return mix(hashes + mix((end - start).astype(np.uint64))), np.diff(np.searchsorted(start, edges))
+
+
+def word_codes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(32)).astype(np.uint32)
+
+
+def coded_rows(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Name and word codes of every text."""
+    hashes, sizes = word_hashes(texts)
+    for text, mine in zip(texts, np.split(hashes, np.cumsum(sizes)[:-1])):
+        yield node_of(mine, text), word_codes(mine)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,14 +173,12 @@ def sketch(codes: np.ndarray, sketches: int = SKETCHES, pick: int = PICK) -> np.
     """One 64-bit value for every sketch."""
     plain = kmers(codes)
     marked = labelled(plain)
-    n, salts = len(marked), mix(np.arange(1, sketches + 1, dtype=np.uint64) + _U(SEED << 32))
+    n, salts = len(marked), mix(np.arange(1, sketches + 1, dtype=np.uint64) + _U(SEED << 32)) | _U(1)
     out = np.empty(sketches, np.uint64)
     step = max(1, CELLS // n)
     for a in range(0, sketches, step):
         salt = salts[a:a + step, None]
-        order = (marked[None, :] ^ salt) * _U(0x9E3779B97F4A7C15)
-        order = (order ^ (order >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        best = np.argpartition(order, pick - 1, axis=1)[:, :pick] if n > pick else np.tile(np.arange(n), (len(salt), 1))
+        best = np.tile(np.arange(n), (len(salt), 1)) if n <= pick else least(marked[None, :] * salt, pick)
         best.sort(axis=1)
         value = salt[:, 0]
         for col in best.T:
@@ -133,6 +187,24 @@ def sketch(codes: np.ndarray, sketches: int = SKETCHES, pick: int = PICK) -> np.
     return out
 
 
+def least(order: np.ndarray, pick: int) -> np.ndarray:
+    """Columns of the ``pick`` smallest values of each row.  The values are as good as random: few lie below a bound
+    that nearly always has enough of them below it; else all are looked at."""
+    rows, n = order.shape
+    below = 3 * pick + 12
+    if n > 4 * below:
+        at = np.flatnonzero(order < _U(int(below / n * 2.0 ** 64)))
+        row, column = np.divmod(at, n)
+        counts = np.bincount(row, minlength=rows)
+        if counts.min() >= pick:
+            place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            values = np.full((rows, counts.max()), ~_U(0))
+            columns = np.zeros(values.shape, np.int64)
+            values[row, place], columns[row, place] = order[row, column], column
+            return np.take_along_axis(columns, np.argpartition(values, pick - 1, axis=1)[:, :pick], axis=1)
+    return np.argpartition(order, pick - 1, axis=1)[:, :pick]
+
+
 def matched(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Words that the best alignment within the band matches.
 
@@ -166,25 +238,23 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return matched(a, b, int(total - 2 * need) + 1) >= need - 1e-9
 
 
-def node_of(words: list[str]) -> bytes:
-    """Name of a word sequence."""
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def node_of(hashes: np.ndarray, text: pa.StringScalar) -> bytes:
+    """Name of a word sequence; a text without words is named after itself."""
+    raw = hashes.tobytes() if len(hashes) else b"\0" + (text.as_py() or "").encode()
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, node`` (name of the word sequence), ``n`` (words), ``mark`` and ``sketch`` of every document."""
+    """``doc_id, node`` (name of the word sequence), ``n`` (words), ``mark`` and ``sketch`` (none without words) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in blocks(batch, 1, TEXT_BYTES):
                 nodes, sizes, marks, sketches = [], [], [], []
-                for t in part.column(1):
-                    words = words_of(t.as_py())
-                    nodes.append(node_of(words))
-                    sizes.append(len(words))
-                    codes = word_codes(words)
-                    marks.append(mark(labelled(kmers(codes, 1))))
-                    sketches.append(sketches_of(codes).view(np.int64))
+                for node, codes in coded_rows(part.column(1)):
+                    nodes.append(node)
+                    sizes.append(len(codes))
+                    marks.append(mark(labelled(kmers(codes, 1))) if len(codes) else np.zeros(MARKS, np.int64))
+                    sketches.append(sketches_of(codes).view(np.int64) if len(codes) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists(marks), lists(sketches)],
                     ["doc_id", "node", "n", "mark", "sketch"])
@@ -201,10 +271,9 @@ def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
     """``node, words`` (codes of its words) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                words = [words_of(t.as_py()) for t in batch.column(0).slice(a, 512)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, words), pa.binary()),
-                                                  pa.array([word_codes(w).astype("<u4").tobytes() for w in words], pa.binary())], ["node", "words"])
+            for part in blocks(batch, 0, TEXT_BYTES):
+                rows = list(coded_rows(part.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].astype("<u4").tobytes() for r in rows], pa.binary())], ["node", "words"])
 
     return docs.select(text).mapInArrow(run, "node binary, words binary")
 
@@ -234,35 +303,32 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(verified(pairs, texts), "omh-links")
 
 
-def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their label, in buckets that hold more than one label."""
-    marked = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    return marked.join(apart, "key")
+def labelled_rows(rows: DataFrame, node: str, labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the label of their ``node`` (itself if it has none) as ``name``."""
+    return rows.join(labels.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
 
 
 def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, mark, weight``.
 
     In a few rounds every bucket aligns its members with one leader each: the member that shares most buckets
-    (the text that copies were made from), then the foremost one that no leader's class holds yet.  Members that
-    are still in different classes are then paired with each other."""
+    (the text that copies were made from), then the foremost one that no leader's class holds yet.  Labels are joined
+    to leaders (one row a bucket) and to members; members meet leaders by bucket, and what is left is made distinct
+    before the alignment.  Members that are still in different classes are then paired with each other."""
     labels, links = None, None
     members = members.withColumns({"label": F.col("node"), "led": F.lit(False)})
     for _ in range(STARS):
-        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader")).select("key", "leader.node", "leader.n", "leader.mark")
-        leaders = cut(leaders.toDF("key", "leader", "leader_n", "leader_mark"), "omh-leaders")
-        met = members.join(leaders, "key")
-        stars = met.filter((F.col("node") != F.col("leader")) & near("n", "leader_n", "mark", "leader_mark"))
-        if labels is not None:
-            ours = labels.toDF("leader", "leader_label")
-            stars = stars.join(ours, "leader", "left").filter(F.col("label") != F.coalesce("leader_label", "leader"))
-        new = confirm(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
+        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n", "mark", "label")).alias("leader"))
+        leaders = cut(leaders.select("key", "leader.node", "leader.n", "leader.mark", "leader.label").toDF("key", "leader", "leader_n", "leader_mark", "leader_label"), "omh-leaders")
+        met = members.join(leaders, "key").filter((F.col("label") != F.col("leader_label")) & near("n", "leader_n", "mark", "leader_mark"))
+        new = confirm(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
         links = new if links is None else labels.toDF("a", "b").union(new)
         labels = cut(components(links), "omh-labels")
-        still = open_members(members, labels).join(leaders, "key", "left").join(labels.toDF("leader", "leader_label"), "leader", "left")
-        led = F.col("led") | F.coalesce(F.col("label") == F.coalesce("leader_label", "leader"), F.lit(False))
-        members = cut(still.select("key", "node", "n", "mark", "weight", "label", led.alias("led")), "omh-open")
+        led = labelled_rows(leaders.select("key", "leader"), "leader", labels, "leader_label").select("key", "leader_label")
+        marked = cut(labelled_rows(members.drop("label"), "node", labels, "label"), "omh-marked")
+        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        still = marked.join(apart, "key").join(led, "key", "left")
+        members = cut(still.select("key", "node", "n", "mark", "weight", "label", (F.col("led") | F.coalesce(F.col("label") == F.col("leader_label"), F.lit(False))).alias("led")), "omh-open")
         if members.isEmpty():
             return labels
     # lengths within the threshold share one of two neighbouring length classes
@@ -292,23 +358,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     ids = table.groupBy("node").agg(F.min("doc_id").alias("least"))
     marked = cut(ids.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "omh-labels")
-    heads = cut(marked.groupBy("label").agg(F.min(F.struct("least", "node")).alias("head")), "omh-heads")
+    # a null id is the last of all
+    heads = cut(marked.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("head")), "omh-heads")
     named = cut(marked.join(heads, "label").select("node", F.col("head.least").alias("class_id"), F.col("head.node").alias("class_node")), "omh-classes")
     return table.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of every class: the one of least id (null ids come last)."""
+    """``docs`` with one document of every class: the one of least id (null ids come last); of several rows of that id and
+    word sequence, the one of the least hash of all its columns."""
     found = classes(docs, doc_id, text)
-    heads = found.filter(F.col("node") == F.col("class_node")).select(F.col("class_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    heads = found.filter(F.col("node") == F.col("class_node")).select("class_id", F.col("node").alias("class_node")).distinct()
     names = docs.columns
-    at = names.index(text)
+    at, own = names.index(text), "__name"
+    while own in names:
+        own += "_"
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [node_of(words_of(t.as_py())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*names, "__name"])
-
-    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField("__name", BinaryType())]))
-    kept = named.join(heads, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__name") == F.col("__node")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__name"]).select(*names)
+            for part in blocks(batch, at, TEXT_BYTES):
+                nodes = [node for node, _ in coded_rows(part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes, pa.binary())], [*names, own])
+
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    kept = named.join(heads, named[doc_id].eqNullSafe(heads["class_id"]) & (named[own] == heads["class_node"]), "left_semi")
+    one = kept.groupBy(doc_id, own).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return one.select("row.*")

@@ -8,7 +8,8 @@ room in logarithmic time.  Only piece spans are shuffled, never ids; the group
 of a row depends on its place as well as its id, so one repeated id does not
 fill a group.
 
-Null text counts as empty: such a document is its end id alone.  Repeated
+Null text counts as empty: such a document is its end id alone.  Long texts are
+encoded whole and cut into pieces.  Repeated
 rows are packed each for itself.  Ties in length go by document id, row and
 start.  An empty table gives no rows.  Other columns are ignored.
 """
@@ -24,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.encoding import encoder
+from sluice.llm.words import blocks
 
 #: Documents a group holds on average.  Groups are only of this size so that one fits a task; larger ones waste less.
 GROUP_DOCS = 4096
+#: Bytes of text encoded at once (a longer text is taken alone).
+ENCODE_BYTES = 8 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("grp", pa.int64()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
@@ -77,15 +81,18 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int, gro
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        end = np.asarray([end_id], encode.dtype).tobytes()
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text, row, grp in zip(*(c.to_pylist() if i != 1 else c for i, c in enumerate(batch.columns))):
-                ids = np.frombuffer(encode.encode(text.as_py()) + end, encode.dtype).astype("<u4")
-                for a in range(0, len(ids), length):
-                    piece = ids[a:a + length]
-                    out.append((doc, row, grp, a, len(piece), zlib.crc32(piece), len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(_PIECES), _PIECES)], schema=_PIECES)
+        for batch in (part for b in batches for part in blocks(b, 1, ENCODE_BYTES)):
+            ids, counts = encode.closed(batch.column(1), end_id)
+            ids, ends = ids.astype("<u4"), np.cumsum(counts)
+            pieces = -(-counts // length)  # of each document
+            row = np.repeat(np.arange(len(counts)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+            size = np.minimum(counts[row] - start, length)
+            first = (ends - counts)[row] + start
+            crc = [zlib.crc32(ids[a:z]) for a, z in zip(first.tolist(), (first + size).tolist())]
+            take = pa.array(row)
+            doc, place, grp = (batch.column(i).take(take) for i in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([doc, place, grp, *[pa.array(c, pa.int64()) for c in (start, size, crc, counts[row])]], schema=_PIECES)
 
     return rows.mapInArrow(cut, _PIECES_SQL)
 

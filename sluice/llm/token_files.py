@@ -13,8 +13,8 @@ them; a part's base is the prefix sum of the counts before it (one row per
 part reaches the driver, never one per document).  Files appear by rename and
 a retried task writes the same bytes.  Readers map the files.
 
-Null text counts as empty: such a document has the end id alone.  Null ids
-come first.  Repeated ids keep every row, ordered by text checksum.  An empty
+Null text counts as empty: such a document has the end id alone.  Long texts are
+encoded whole.  Null ids come first.  Repeated ids keep every row, ordered by text checksum.  An empty
 table gives a manifest without parts.  Other columns are ignored.
 """
 
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from sluice.llm.encoding import encoder
 from sluice.llm.shared import filesystem, publish
+from sluice.llm.words import blocks
 
-#: Ids read at once for a checksum.
-READ_IDS = 1 << 20
+#: Ids read at once for a checksum, and bytes of text encoded at once (a longer text is taken alone).
+READ_IDS, ENCODE_BYTES = 1 << 20, 8 << 20
 
 PARTS = "part int, n_docs long, n_tokens long, dtype string"
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -55,7 +56,6 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int,
         if first is None:
             return
         encode = encoder(tokenizer)
-        end = np.asarray([end_id], encode.dtype).tobytes()
         files, path = filesystem(target)
         files.create_dir(path, recursive=True)
         part, mark = first.column(0)[0].as_py(), uuid.uuid4().hex
@@ -63,14 +63,11 @@ def write_token_files(docs: DataFrame, target: str, tokenizer: str, end_id: int,
         ends, ids, valid = [np.zeros(1, "<i8")], [], []
         at = 0
         with files.open_output_stream(tmp["ids"]) as out:
-            for batch in itertools.chain([first], batches):
-                marks = np.empty(batch.num_rows, "<i8")
-                for i, text in enumerate(batch.column(2)):
-                    raw = encode.encode(text.as_py()) + end
-                    out.write(raw)
-                    at += len(raw) // encode.dtype.itemsize
-                    marks[i] = at
-                ends.append(marks)
+            for batch in (part for b in itertools.chain([first], batches) for part in blocks(b, 2, ENCODE_BYTES)):
+                raw, counts = encode.closed(batch.column(2), end_id)
+                out.write(raw.tobytes())
+                ends.append((at + np.cumsum(counts)).astype("<i8"))
+                at += len(raw)
                 ids.append(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 valid.append(batch.column(1).is_valid().to_numpy(zero_copy_only=False).astype("u1"))
         with files.open_output_stream(tmp["offsets"]) as out:

@@ -61,7 +61,7 @@ class Cutter:
         places = np.zeros(len(start) + 1, np.int32)
         np.cumsum(end - start, out=places[1:])
         words = pa.StringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(letters))
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.searchsorted(start, offsets)))
         breaks = np.searchsorted(np.flatnonzero(kind == _BREAK), start)
         joined = np.zeros(len(start), bool)
         joined[1:] = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])

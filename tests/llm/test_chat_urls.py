@@ -70,6 +70,30 @@ def test_one_long_conversation_is_spread_and_exact(spark):
     assert costs[0] == costs[1] and len(costs[0]) == 1
 
 
+def test_chunks_and_partitions_change_nothing(spark):
+    """Of several cheapest repairs the same one is chosen, however the rows are cut."""
+    rng = random.Random(11)
+    given = {c: [rng.choice(["system", "user", "assistant", None]) for _ in range(rng.randint(1, 14))] for c in range(400)}
+    frame = spark.createDataFrame([(c, t, r, "x") for c, roles in given.items() for t, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = []
+        for chunk, parts in ((512, 1), (1, 8), (3, 3), (5, 8)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append(sorted(map(tuple, chat.repair(frame, chunk_turns=chunk).drop("part").collect()), key=str))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1] == got[2] == got[3]
+    # and that one is the path that one pass over the conversation takes
+    automaton = chat.Automaton(COSTS)
+    roles = {c: [r[4] for r in sorted((x for x in got[0] if x[0] == c and x[2] == 9), key=lambda x: x[1])] for c in given}
+    for c, source in given.items():
+        known = chat.known_roles(source)
+        last = int((automaton.after(known, chat.begun()) + automaton.ending).argmin())
+        assert roles[c] == [chat.ROLES[s - 1] for s in automaton.trace(known, chat.begun(), last)[1:]]
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string, row string, part string, cost string"
     rows = [(None, 0, "user", "a"), (None, 1, None, None), (1, None, None, ""), (1, None, "user", "b" * 3_000_000), (2, 5, "user", "c"), (2, 5, "user", "c"), (3, 0, "system", None)]

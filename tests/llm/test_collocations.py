@@ -87,6 +87,7 @@ def test_lowered_support_misses_nothing_and_remainders_bound_the_rest(spark, row
             slack[r["lang"], r["phrase"]] += r["slack"]
     found, _ = co.phrases(frame_of(spark, rows), support=12)
     exact = {(r["lang"], r["phrase"]): r["n"] for r in found.filter("phrase LIKE '% %'").collect()}
+    assert max(len(p.split(" ")) for _, p in exact) == 5
     assert exact and all(k in reported and reported[k] <= n <= reported[k] + everywhere[k[0]] - slack[k] for k, n in exact.items())
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import order_minhash as omh
@@ -33,10 +34,18 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def codes_of(words):
+    return omh.word_codes(omh.word_hashes(pa.array([" ".join(words)]))[0])
+
+
+def name_of(text):
+    return next(omh.coded_rows(pa.array([text])))[0]
+
+
 def linked(texts):
     """Pairs of texts with an aligned similarity from 0.8 on, among all pairs that share a run of five words,
     and those of them of which two thirds of the runs are shared."""
-    codes = {t: omh.word_codes(t.split()) for t in texts}
+    codes = {t: codes_of(t.split()) for t in texts if not t.startswith("\0")}
     runs = {t: Counter(omh.kmers(c).tolist()) for t, c in codes.items()}
     holders, shared = defaultdict(list), Counter()
     for t, r in runs.items():
@@ -65,7 +74,7 @@ def named(rows, links, texts):
 def by_text(rows):
     texts = defaultdict(list)
     for i, t in rows:
-        texts[" ".join(omh.words_of(t))].append(i)
+        texts[" ".join(omh.words_of(t)) or "\0" + (t or "")].append(i)
     return texts
 
 
@@ -126,7 +135,7 @@ def test_planted_copies(spark):
     texts = by_text(rows)
     every, close = linked(texts)
     classes = omh.classes(frame).collect()
-    node = {omh.node_of(t.split()): t for t in texts}
+    node = {name_of(t.removeprefix("\0")): t for t in texts}
     head = {node[r.node]: r.class_node for r in classes}
     assert Counter(r.doc_id for r in classes) == Counter(i for i, _ in rows)
     assert all(head[a] == head[b] for a, b in close), "no link of texts that share two thirds of their runs is lost"
@@ -149,7 +158,7 @@ def test_pairs_at_the_threshold(spark):
         for _ in range(8):
             base = [rng.choice(vocabulary) for _ in range(n)]
             copy = edited(base, every, kind, rng)
-            if omh.similar(omh.word_codes(base), omh.word_codes(copy)):
+            if omh.similar(codes_of(base), codes_of(copy)):
                 pairs.append((len(rows), len(rows) + 1))
                 rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
     assert len(pairs) >= 200
@@ -163,7 +172,7 @@ def test_marks_leave_no_copy_out():
     for _ in range(300):
         a = [rng.randint(0, 40) for _ in range(rng.randint(1, 200))]
         b = edited(a, rng.choice([5, 9, 12, 40]), rng.choice(["random", "less"]), rng)
-        x, y = omh.word_codes(list(map(str, a))), omh.word_codes(list(map(str, b)))
+        x, y = codes_of(map(str, a)), codes_of(map(str, b))
         places = sum(int(v).bit_count() for v in (omh.mark(omh.labelled(omh.kmers(x, 1))) ^ omh.mark(omh.labelled(omh.kmers(y, 1)))).view(np.uint64))
         assert places <= len(x) + len(y) - 2 * plain_matched(x.tolist(), y.tolist())
 
@@ -176,12 +185,39 @@ def test_documents(spark):
 def test_one_of_each_class_stays(spark, odd_docs, no_docs):
     kept = omh.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    # texts without words (rows 1, 2, 3 and one null) are one class, row 5 stands for its copies
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([None, 4, 5, 7, None]) - Counter([None]) or \
-        sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5, 7]
+    # null and empty texts are equal, a blank one is none of them; row 5 stands for its copies
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5, 7]
+    clash = odd_docs.withColumnRenamed("n_chars", "__name").withColumnRenamed("rank", "__id")
+    assert omh.keep_one(clash).columns == clash.columns and omh.keep_one(clash).count() == 6
     assert omh.keep_one(no_docs).count() == 0 and omh.classes(no_docs).count() == 0
 
 
+def test_null_ids_come_last_and_wordless_texts_stand_alone(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (5, base + " more"), (9, base), (1, "!!!"), (2, "$$$"), (3, "!!!"), (4, "\U0001f642"), (None, "alone")]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == Counter([(None, 5), (5, 5), (9, 5), (1, 1), (2, 2), (3, 1), (4, 4), (None, None)])
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aB_1 é\u0301Ωß.-\n\u2014日本\u0130\U0001f642²") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, ""]
+    hashes, sizes = omh.word_hashes(pa.array(texts, pa.string()))
+    every = [w for t in texts for w in omh.words_of(t)]
+    assert sizes.tolist() == [len(omh.words_of(t)) for t in texts]
+    name = {}
+    assert all(name.setdefault(h, w) == w for h, w in zip(hashes.tolist(), every)) and len(name) == len(set(every))
+
+
+def test_least_values():
+    rng = np.random.default_rng(0)
+    for n in (8, 50, 200, 3000):
+        order = rng.integers(0, 1 << 64, (64, n), dtype=np.uint64)
+        order[3] |= np.uint64(1 << 63)  # a row with too few small values
+        for pick in (4, 7):
+            got = np.sort(omh.least(order, pick), axis=1)
+            assert (got == np.sort(np.argsort(order, axis=1)[:, :pick], axis=1)).all()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -1,4 +1,5 @@
 """Statistics, outlier rules and the rule ensemble."""
+import itertools
 import random
 import re
 from collections import Counter
@@ -48,17 +49,42 @@ def test_outlier_query(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
 
 
-def plain_mcd(x, steps):
-    """The concentration steps on an array of fixed-point features."""
-    noise = rules._noise()
-    low, mid, high = np.percentile(x, [25, 50, 75], axis=0)
-    mu, w = mid, rules.whitening(np.diag(((high - low) / 1.349) ** 2) + noise)
-    for _ in range(steps):
-        bins = np.minimum(np.floor(np.sqrt((((x - mu) @ w.T) ** 2).sum(1)) * rules.BINS), rules.LAST_BIN)
-        counts = np.bincount(bins.astype(int))
-        near = x[bins <= np.searchsorted(np.cumsum(counts), np.ceil(rules.SHARE * len(x)))]
-        mu, w = near.mean(0), rules.whitening(rules.shrink() * np.cov(near.T, bias=True) + noise)
-    return mu, w
+def subset(x, mu, w):
+    """Rows in the lowest bins of distance that hold the share."""
+    bins = np.minimum(np.floor(np.sqrt((((x - mu) @ w.T) ** 2).sum(1)) * rules.BINS), rules.LAST_BIN)
+    return x[bins <= np.searchsorted(np.cumsum(np.bincount(bins.astype(int))), np.ceil(rules.SHARE * len(x)))]
+
+
+def log_det(rows):
+    return np.linalg.slogdet(np.cov(rows.T, bias=True) + rules._noise())[1]
+
+
+def plain_mcd(x):
+    """Mean and scatter of the least determinant that the fixed starts lead to, on an array of fixed-point features."""
+    noise, p = rules._noise(), rules.P
+    q = np.percentile(x, [100 * k for k in rules.QUANTILES], axis=0)
+    spans = q[10:] - q[:11]
+    at, every = spans.argmin(axis=0), np.arange(p)
+    half = spans[at, every]
+    starts = [(q[10], np.diag(((q[15] - q[5]) / 1.349) ** 2) + noise), (q[at, every] + half / 2, np.diag((half / 1.349) ** 2) + noise)]
+    w = rules.whitening(starts[0][1])
+    z = (x - q[10]) @ w.T
+    z = np.round(z[:, :, None] * z[:, None, :] / np.maximum((z ** 2).sum(1), 1e-9)[:, None, None] * 2 ** 20).sum(0) / 2 ** 20 / len(x) * p
+    back = np.linalg.inv(w)
+    starts.append((q[10], back @ (z + 1e-3 * np.eye(p)) @ back.T))
+    found = []
+    for mu, cov in starts:
+        w = rules.whitening(cov)
+        for _ in range(rules.STEPS):
+            near = subset(x, mu, w)
+            mu, cov = near.mean(0), np.cov(near.T, bias=True)
+            w = rules.whitening(rules.shrink() * cov + noise)
+        found.append((log_det(near), len(found), mu, cov))
+    return min(found, key=lambda f: f[:2])[2:]
+
+
+def drawn(n, own, wide):
+    return tuple((a * n + b * rules.PRIOR) / (n + rules.PRIOR) for a, b in zip(own, wide))
 
 
 def planted(spark, sizes, seed=3):
@@ -72,23 +98,48 @@ def planted(spark, sizes, seed=3):
 
 
 def test_estimates_are_the_plain_steps_by_group(spark):
-    docs = planted(spark, {("en", "big"): 900, ("en", "small"): 150, ("de", None): 120})
+    docs = planted(spark, {("en", "big"): 900, ("en", "small"): 40, ("de", None): 120})
     stats = text_stats.with_statistics(docs, "text").drop("text")
-    x = stats.select("source", *[c.alias(k) for k, c in rules.features().items()]).filter(~F.lit(False)).toPandas()
+    x = stats.select("lang", "source", *[c.alias(k) for k, c in rules.features().items()]).toPandas()
     got = {r["key"]: r for r in rules.fit(stats).collect()}
     assert set(got) == {"=en/=big", "=en/=small", "=de/-"}
-    for key, source in (("=en/=big", "big"), ("=en/=small", "small")):
-        mu, w = plain_mcd(x[x.source == source][list(rules.NOISE)].to_numpy(float), rules.STEPS)
+    of = lambda rows: rows[list(rules.NOISE)].to_numpy(float)
+    every = plain_mcd(of(x))
+    for key, lang, mine in (("=en/=big", "en", x[x.source == "big"]), ("=en/=small", "en", x[x.source == "small"]), ("=de/-", "de", x[x.lang == "de"])):
+        wide = x[x.lang == lang]
+        mu, cov = drawn(len(mine), plain_mcd(of(mine)), drawn(len(wide), plain_mcd(of(wide)), every))
+        w = rules.whitening(rules.shrink() * cov + rules._noise())
         assert np.allclose(got[key]["__mu"], mu) and np.allclose(np.reshape(got[key]["__w"], w.shape), w)
     judged = rules.judge(docs).collect()
     assert all(r["__kept"] != r.junk for r in judged)
 
 
+def test_least_determinant_over_all_subsets(spark):
+    """Small groups with a clump of far rows: no subset of the share has a clearly smaller determinant."""
+    rng = np.random.default_rng(4)
+    rows, groups = [], []
+    for g in range(6):
+        x = np.round(rng.normal(0, 400, (14, rules.P)) + rng.normal(0, 3000, rules.P))
+        x[:3] += rng.choice([-1, 1], rules.P) * 9000 + rng.normal(0, 50, (3, rules.P)).round()
+        groups.append(x)
+        rows += [(str(g), i % 3, *map(int, r)) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "grp string, salt long, " + ", ".join(f"__f{j} long" for j in range(rules.P)))
+    for r in rules.estimates(frame).collect():
+        x, size = groups[int(r["grp"])], int(np.ceil(rules.SHARE * 14))
+        least = min(log_det(x[list(some)]) for some in itertools.combinations(range(14), size))
+        mine = np.linalg.slogdet(np.reshape(r["cov"], (rules.P, rules.P)) + rules._noise())[1]
+        assert mine <= least + 1.0, (mine, least)  # a bin may hold a row or two more than the share
+        assert np.abs(np.array(r["mu"]) - x[3:].mean(0)).max() < 400
+
+
 def test_small_groups_share_and_odd_rows(spark, odd_docs, no_docs):
     docs = planted(spark, {("en", f"s{i}"): 12 for i in range(15)} | {("de", "x"): 5, (None, "x"): 4})
     assert {r["__kept"] for r in rules.judge(docs).filter("not junk").collect()} == {True}
     judged = rules.judge(odd_docs)
     assert judged.columns[:len(odd_docs.columns)] == odd_docs.columns and judged.count() == odd_docs.count()
+    clash = odd_docs.selectExpr("*", "'x' AS __f0", "'x' AS __key", "'x' AS __mu", "true AS __kept")
+    again = rules.judge(clash)
+    assert again.select("__f0", "__key", "__mu").distinct().collect() == [("x", "x", "x")] and again.columns.count("__kept") == 1
     assert {r.doc_id for r in judged.filter("__base_failed").collect()} >= {1, 2, 3, 7}
     assert rules.judge(no_docs).count() == 0 and rules.judge(no_docs, keep_text=False).count() == 0
 

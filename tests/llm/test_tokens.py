@@ -19,7 +19,6 @@ SPACES = ["a  b", "a   b", " a", "a ", "a \n b", "a\n\nb", "a\n b", " \n b", "\n
 
 def ids_of(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
