@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.clock import now_text
 from sluice.functions.names import file_stem_col, transform_field_name
 from sluice.operators.order import FILE, RN, renumber_survivors
 from sluice.options import GenerateOptions, NamingOptions
@@ -34,10 +35,6 @@ def file_name_col():
     return F.url_decode(F.try_element_at(F.split(F.col(FILE), "/"), F.lit(-1)))
 
 
-def now_text(now: dt.datetime | None = None) -> str:
-    return (now or dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
-
-
 def generate(
     df: DataFrame,
     columns: list[str],

@@ -55,6 +55,7 @@ class LoadResult:
     verified_rows: int | None = None
     elapsed_ms: int = 0
     replayed: bool = False      # a named load that had happened before
+    failed: dict[str, str] | None = None  # files that were left out, with the reason
 
 
 def q(name: str) -> str:

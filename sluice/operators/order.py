@@ -144,26 +144,25 @@ def number_rows_with_heads(df: DataFrame, keep_total: bool = False, head_cols: l
     joined = df.join(stats.select(FILE, BLOCK, *cols), [FILE, BLOCK], "inner")
     out = joined.withColumn(RN, F.col("__off") + (F.col(POS) - F.col("__first")) + F.lit(1))
     out = out.withColumn(LB, F.floor((F.col(RN) - 1) / F.lit(size)).cast("long"))
-    return spread(out.drop("__off", "__first")), heads
+    return spread(out.drop("__off", "__first"), n_blocks), heads
 
 
 def balance(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the input has fewer
-    partitions than cores (a single large row group, a few files) and the
-    next step is heavy per row.  Inputs already split finer are untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    """Round-robin the rows over all cores when the input is too small to be
+    split for them (a single row group, a few files) and the next step is heavy
+    per row.  The optimizer's size estimate decides, so nothing is run for it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size // split >= cores else df.repartition(cores)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, n_blocks: int) -> DataFrame:
     """Co-locate logical blocks (hash on file and block) when the input has
-    fewer partitions than cores; a later window over (file, block) then needs
+    fewer splits than there are cores; a later window over (file, block) then needs
     no further exchange.  Large inputs keep their scan partitioning."""
-    if LB not in df.columns:
-        return df
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+    if n_blocks >= df.sparkSession.sparkContext.defaultParallelism:
         return df
     return df.repartition(FILE, LB)
 

@@ -15,7 +15,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.clock import now as clock_now
+from sluice.functions.clock import now_col, now_text
 from sluice.functions.schedule import next_run
+from sluice.operators.cycles import find_cycles  # noqa: F401 - one of the run-log operators
 
 # Listing sizes of the log views.
 IMPORT_LOG_ROWS = 50
@@ -31,7 +34,7 @@ def import_log_rows(spark: SparkSession, results, mode: str, created_at: str | N
     """LOG-1: one log row per imported file (results of ``import_path``)."""
     import uuid
 
-    now = created_at or dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    now = created_at or now_text()
     rows = []
     for r in results:
         res = r.result
@@ -124,7 +127,7 @@ def prune_runs(runs: DataFrame, steps: DataFrame, retention_days: int, now: dt.d
 
     Steps are removed with an anti join against the *ids* of old runs only.
     """
-    cutoff = ((now or dt.datetime.now()) - dt.timedelta(days=max(int(retention_days), 1))).strftime("%Y-%m-%d %H:%M:%S")
+    cutoff = now_text((now or clock_now()) - dt.timedelta(days=max(int(retention_days), 1)))
     old = runs.where(F.col("started_at") < cutoff).select(F.col("id").alias("__old"))
     kept_runs = runs.where(~(F.col("started_at") < cutoff) | F.col("started_at").isNull())
     kept_steps = steps.join(old, steps["run_id"] == old["__old"], "left_anti")
@@ -133,10 +136,10 @@ def prune_runs(runs: DataFrame, steps: DataFrame, retention_days: int, now: dt.d
 
 def due(schedules: DataFrame, now: dt.datetime | str | None = None) -> DataFrame:
     """LOG-7: enabled, not running, next run set and not after now."""
-    now_text = now if isinstance(now, str) else (now or dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
+    at = now if isinstance(now, str) else now_text(now)
     return schedules.where(
         (F.col("enabled") == 1) & (F.col("running") == 0)
-        & (F.coalesce(F.col("next_run_at"), F.lit("")) != "") & (F.col("next_run_at") <= now_text)
+        & (F.coalesce(F.col("next_run_at"), F.lit("")) != "") & (F.col("next_run_at") <= at)
     )
 
 
@@ -149,7 +152,7 @@ def with_next_run(rules: DataFrame, base: Column | None = None, out: str = "next
 
     from sluice.operators.order import balance
 
-    b = base if base is not None else F.current_timestamp().cast("timestamp_ntz")
+    b = base if base is not None else now_col()
     return balance(rules).withColumn(out, next_run(
         c("mode"), b, amount=c("amount"), unit=c("unit"), time=c("time"), weekday=c("weekday"),
         day=c("day"), month=c("month"),
@@ -165,10 +168,11 @@ def job_kind(job_steps: DataFrame) -> DataFrame:
     through any depth; a missing target, or a chain that loops, gives ``job``.
     Otherwise: one distinct step type -> that type, several -> ``job``.
 
-    Chains are followed by pointer jumping: every round each unresolved job
-    looks up the job it points at in the *current* state, so the distance
-    covered doubles per round.  A chain without a loop is at most n jobs long,
-    so after ceil(log2 n) + 1 rounds anything still unresolved is a loop.
+    Chains are followed by pointer jumping over the open jobs and the jobs that
+    open ones point at; all others are settled before the first round.  Every
+    round an open job takes over what its target knows by then, so the distance
+    covered doubles; a chain without a loop is at most n open jobs long, so after
+    ceil(log2 n) + 1 rounds anything still open is a loop.
     """
     import math
 
@@ -182,45 +186,25 @@ def job_kind(job_steps: DataFrame) -> DataFrame:
     state = per_job.select(
         "job_id",
         F.when(single, F.col("__target")).alias("cur"),
-        F.when(single, F.lit(None).cast("string"))
+        F.when(single & F.col("__target").isNull(), F.lit("job")).when(single, F.lit(None).cast("string"))
         .when(F.col("__types") == 1, F.col("__type")).otherwise(F.lit("job")).alias("kind"),
     ).checkpoint()
-    n = state.count()
+    settled = state.filter("kind IS NOT NULL").select("job_id", "kind")
+    open_jobs = state.filter("kind IS NULL").select("job_id", "cur").checkpoint()
+    asked = open_jobs.select(F.col("cur").alias("job_id")).distinct()
+    known = settled.join(asked, "job_id", "left_semi").checkpoint()
+    n, found = open_jobs.count(), []
     for _ in range(int(math.ceil(math.log2(max(n, 2)))) + 1):
-        if state.where(F.col("kind").isNull() & F.col("cur").isNotNull()).isEmpty():
+        if open_jobs.isEmpty():
             break
-        t = state.select(F.col("job_id").alias("t_id"), F.col("cur").alias("t_cur"), F.col("kind").alias("t_kind"))
-        open_ = F.col("kind").isNull() & F.col("cur").isNotNull()
-        state = state.join(t, state["cur"] == t["t_id"], "left").select(
-            "job_id",
-            F.when(~open_, F.col("cur")).when(F.col("t_id").isNull() | F.col("t_kind").isNotNull(), F.lit(None))
-            .otherwise(F.col("t_cur")).alias("cur"),
-            F.when(~open_, F.col("kind")).when(F.col("t_id").isNull(), F.lit("job"))
-            .otherwise(F.col("t_kind")).alias("kind"),
-        ).checkpoint()
-    return state.select("job_id", F.coalesce(F.col("kind"), F.lit("job")).alias("kind"))
-
-
-def find_cycles(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """LOG-11: jobs that reach themselves through nested-job edges (job_id -> child_id).
-
-    Iterative frontier expansion: each round joins the frontier of paths to
-    the edge table and keeps only (start, reached) pairs not seen before, so
-    work is bounded by the transitive closure, not by the number of paths.
-    It runs to a fixpoint (no round cap).  Lineage is cut every round with
-    ``checkpoint()``.
-    """
-    e = edges.select(F.col("job_id").alias("src"), F.col("child_id").alias("dst")).distinct()
-    reach = e.checkpoint()
-    frontier = reach
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        step = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select(
-            F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
-        new = step.distinct().join(reach, ["src", "dst"], "left_anti").checkpoint()
-        if new.isEmpty():
-            break
-        reach = reach.unionByName(new).checkpoint()
-        frontier = new
-    return reach.where(F.col("src") == F.col("dst")).select(F.col("src").alias("job_id")).distinct()
+        answers = known.select(F.col("job_id").alias("t_id"), F.lit(None).cast(open_jobs.schema["cur"].dataType).alias("t_cur"), F.col("kind").alias("t_kind"))
+        answers = answers.union(open_jobs.select("job_id", "cur", F.lit(None).cast("string")))
+        met = open_jobs.join(answers, F.col("cur") == F.col("t_id"), "left").select(
+            "job_id", F.col("t_cur").alias("cur"), F.when(F.col("t_id").isNull(), F.lit("job")).otherwise(F.col("t_kind")).alias("kind")).checkpoint()
+        found.append(met.filter("kind IS NOT NULL").select("job_id", "kind"))
+        known = known.union(found[-1])
+        open_jobs = met.filter("kind IS NULL").select("job_id", "cur")
+    out = settled.union(open_jobs.select("job_id", F.lit("job").alias("kind")))
+    for more in found:
+        out = out.union(more)
+    return out

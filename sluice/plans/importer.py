@@ -292,12 +292,23 @@ def import_path(spark: SparkSession, path: str, s: ImportSettings) -> list[FileR
     return results
 
 
+def _same_header(raw: DataFrame, header: list[str] | None, s: ImportSettings) -> list[DataFrame]:
+    """The rows of one scan by the header of their files; one group in the common case."""
+    from sluice.operators.shape import header_groups
+
+    if header is not None or not s.shape.has_header or s.shape.header_row != 1:
+        return [raw]
+    groups = header_groups(raw, s.shape)
+    return [raw] if len(groups) < 2 else [raw.where(F.col(FILE).isin(files)) for _, files in groups]
+
+
 def import_together(spark: SparkSession, path: str, s: ImportSettings, per_file_counts: bool = False):
-    """LOAD-11 at scale: all files of a folder that share options and header in
-    ONE scan and ONE load into ``s.table``.  Order-sensitive steps stay scoped
-    per file (``__file``); overwrite/rebuild clear the table once (the
-    ``combine`` reading of a many-file overwrite).  Returns the load result and,
-    when asked, a DataFrame of rows per file.
+    """LOAD-11 at scale: all files of a folder that share options in ONE scan and
+    one load for each distinct header into ``s.table``.  Order-sensitive steps stay
+    scoped per file (``__file``); overwrite/rebuild clear the table once (the
+    ``combine`` reading of a many-file overwrite).  Files that cannot be decoded are
+    left out and named in the result's ``failed``; the others load.  Returns the
+    load result and, when asked, a DataFrame of rows per file.
     """
     from sluice.sources.files import list_files
 
@@ -310,20 +321,23 @@ def import_together(spark: SparkSession, path: str, s: ImportSettings, per_file_
     files = list_files(spark, path, recursive=s.read.recursive, modified_after_ms=s.read.modified_after_ms)
     if s.before_all_sql.strip():
         S.execute_batch(spark, s.before_all_sql)
-    total, counts = None, None
-    for k, (raw, header, sheet) in enumerate(dispatch.read_units(spark, files, s.read)):
-        prepared = prepare(raw, header, s, sheet=sheet)
-        # the first unit (sheet) clears the table, the others join it
-        opts = s.load if not k or s.load.mode == "update" else replace(s.load, mode="append")
-        res = load(spark, prepared.df, s.table, opts, prepared.keys)
-        res.rows_skipped += metric(prepared.rows_read) - metric(prepared.rows_kept)
-        if per_file_counts:
-            per_file = prepared.df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"))
-            counts = per_file if counts is None else counts.union(per_file)
-        if total is None:
-            total = res
-        else:
-            total = replace(total, **{n: getattr(total, n) + getattr(res, n) for n in ("rows_written", "rows_inserted", "rows_updated", "rows_skipped", "elapsed_ms")})
+    total, counts, k, failed = None, None, 0, {}
+    for raw, header, sheet in dispatch.read_units(spark, files, s.read, failed):
+        for part in _same_header(raw, header, s):
+            prepared = prepare(part, header, s, sheet=sheet)
+            # the first unit (sheet or header) clears the table, the others join it
+            opts = s.load if not k or s.load.mode == "update" else replace(s.load, mode="append")
+            res = load(spark, prepared.df, s.table, opts, prepared.keys)
+            k += 1
+            res.rows_skipped += metric(prepared.rows_read) - metric(prepared.rows_kept)
+            if per_file_counts:
+                per_file = prepared.df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"))
+                counts = per_file if counts is None else counts.union(per_file)
+            if total is None:
+                total = res
+            else:
+                total = replace(total, **{n: getattr(total, n) + getattr(res, n) for n in ("rows_written", "rows_inserted", "rows_updated", "rows_skipped", "elapsed_ms")})
+    total.failed = failed
     if s.after_all_sql.strip():
         S.execute_batch(spark, s.after_all_sql)
     return total, counts

@@ -75,6 +75,11 @@ def text_rows(spark: SparkSession, sf_dir: str, table: str, cols: list[str]) ->
     return as_text_frame(ordered(spark, sf_dir, table, cols))
 
 
+def text_cells(spark: SparkSession, sf_dir: str, table: str, cols: list[str]) -> DataFrame:
+    """The same cells for steps that do not depend on the rows' order: no row is numbered."""
+    return as_text_frame(balance(scan(spark, sf_dir, table).select(*cols)))
+
+
 def raw_cells(df: DataFrame) -> DataFrame:
     """Visible columns renamed to raw cells ``c1..cN`` (headerless file rows)."""
     vis = visible_columns(df)
@@ -129,7 +134,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     -> inferred types -> rebuild load -> guarded read-only SQL."""
     cols = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus", "l_shipdate"]
-    rows = text_rows(spark, sf_dir, "lineitem", cols)
+    rows = text_cells(spark, sf_dir, "lineitem", cols)
     cleaned = clean(rows, CleanOptions(blank_values=("N/A", "-"), zero_for_blank=True, empty_as_null=True))
     table = tname("li_text")
     load(spark, cleaned, table, LoadOptions(mode="rebuild", location_root=workdir(spark)))
@@ -148,7 +153,7 @@ SELECT doc_id,
   nullif({O.stage_one('source', **_CT)}, '') AS source
 FROM documents""")
 def clean_text(spark, sf_dir):
-    rows = text_rows(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    rows = text_cells(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     o = CleanOptions(blank_values=("de",), remove_text=".", replace_from="é", replace_to="e", empty_as_null=True)
     out = clean(rows, o)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
@@ -157,7 +162,7 @@ def clean_text(spark, sf_dir):
 @register("clean_numbers", """
 SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value FROM events""")
 def clean_numbers(spark, sf_dir):
-    rows = text_rows(spark, sf_dir, "events", ["event_id", "event_type", "value"])
+    rows = text_cells(spark, sf_dir, "events", ["event_id", "event_type", "value"])
     rows = rows.withColumn("value", F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("value")))
     return typed(clean(rows, CleanOptions(zero_for_blank=True)))
 
@@ -166,7 +171,7 @@ def clean_numbers(spark, sf_dir):
 SELECT event_id, CASE WHEN event_type = 'view' OR {O.strip('props')} = '' THEN '{{}}' ELSE {O.strip('props')} END AS props
 FROM events""")
 def replace_blank(spark, sf_dir):
-    rows = text_rows(spark, sf_dir, "events", ["event_id", "event_type", "props"])
+    rows = text_cells(spark, sf_dir, "events", ["event_id", "event_type", "props"])
     rows = rows.withColumn("props", F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("props")))
     out = clean(rows, CleanOptions(replace_blank_with="{}"))
     return out.select(F.col("event_id").cast("long").alias("event_id"), "props")
@@ -175,7 +180,7 @@ def replace_blank(spark, sf_dir):
 @register("date_parse", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders""")
 def date_parse(spark, sf_dir):
-    rows = ordered(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    rows = balance(scan(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     rows = as_text_frame(rows.withColumn("o_orderdate", F.date_format("o_orderdate", "d/M/yyyy")))
     out = clean(rows, CleanOptions(date_formats=(("O_ORDERDATE", "%d/%m/%Y"),)))
     return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderdate")
@@ -237,7 +242,7 @@ def pipeline_order(spark, sf_dir):
 SELECT c_name AS customer_name, CASE WHEN c_acctbal < 0 THEN 'UNKNOWN' ELSE c_mktsegment END AS segment,
        c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation_key FROM customer""")
 def map_defaults(spark, sf_dir):
-    rows = text_rows(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    rows = text_cells(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     rows = rows.withColumn("c_mktsegment", F.when(F.col("c_acctbal").cast("double") < 0, F.lit("")).otherwise(F.col("c_mktsegment")))
     mapping = [MappingItem(1, "Customer Name", match_key=True), MappingItem(4, "Segment", default_value="UNKNOWN"),
                MappingItem(3, "Balance"), MappingItem(2, "Nation Key"), MappingItem(0, "", enabled=False)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +51,21 @@ def search(listing: DataFrame, keyword: str) -> DataFrame:
     return listing.where(F.lower("name").contains(k) | F.lower(F.coalesce("comment", F.lit(""))).contains(k))
 
 
+def _described(spark: SparkSession, table: str) -> dict:
+    """What the catalog says of a table; nothing for temporary views."""
+    try:
+        return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {q(table)} AS JSON").first()[0])
+    except Exception:  # noqa: BLE001 - temporary views are not in the catalog
+        return {}
+
+
 def table_detail(spark: SparkSession, table: str) -> dict:
-    """SRC-17: columns, DDL and a 100-row preview."""
+    """SRC-17: the table's type and comment, its columns (with default and whether rows are dealt by them), DDL and a 100-row preview."""
+    known = _described(spark, table)
+    dealt = set(known.get("partition_columns") or []) | set(known.get("bucket_columns") or [])
     cols = [
         {"position": i + 1, "name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable,
-         "comment": f.metadata.get("comment", "")}
+         "default": f.metadata.get("CURRENT_DEFAULT", ""), "key": f.name in dealt, "comment": f.metadata.get("comment", "")}
         for i, f in enumerate(spark.table(q(table)).schema.fields)
     ]
     try:
@@ -61,7 +73,7 @@ def table_detail(spark: SparkSession, table: str) -> dict:
     except Exception:  # noqa: BLE001 - temporary views have no DDL
         ddl = ""
     names, rows = preview(spark.table(q(table)), DETAIL_PREVIEW_ROWS)
-    return {"name": table, "columns": cols, "ddl": ddl, "preview": {"columns": names, "rows": rows}}
+    return {"name": table, "type": known.get("type", "VIEW"), "comment": known.get("comment", ""), "columns": cols, "ddl": ddl, "preview": {"columns": names, "rows": rows}}
 
 
 def table_preview(spark: SparkSession, table: str) -> dict:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from sluice.operators.order import BLOCK, FILE, POS, with_source_order
 from sluice.operators.shape import used_width
 from sluice.options import ReadOptions
-from sluice.sources.files import java_charset, sniff_file
+from sluice.sources.files import SourceError, java_charset, sniff_file
 from sluice.sources.text_probe import is_wide, plain_records, probe, records
 
 START_WIDTH = 32
@@ -77,13 +77,14 @@ def _delimiters(spark: SparkSession, paths: list[str], o: ReadOptions) -> dict[s
         return dict(zip(paths, pool.map(lambda p: sniff_file(spark, p, o.encoding), paths)))
 
 
-def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadOptions()) -> DataFrame:
-    """All cells of the files, with ``__file, __blk, __pos``; ``sluice_used_width`` is the number of used columns."""
+def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadOptions(), failed: dict[str, str] | None = None) -> DataFrame:
+    """All cells of the files, with ``__file, __blk, __pos``; ``sluice_used_width`` is the number of used columns.
+    Files that cannot be decoded raise, or are left out and named in ``failed``."""
     separator = o.line_delimiter or "\n"
     delimiters = _delimiters(spark, paths, o)
-    facts = probe(spark, delimiters, o.encoding, separator)
+    facts = probe(spark, delimiters, o.encoding, separator, failed)
     groups: dict[tuple, list[str]] = defaultdict(list)
-    for p in paths:
+    for p in (p for p in paths if p in facts):
         groups[delimiters[p], facts[p].encoding, facts[p].quoted_breaks].append(p)
     found = []
     for (delimiter, encoding, breaks), some in groups.items():
@@ -94,6 +95,8 @@ def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadO
         else:
             read = _csv_scan(spark, some, delimiter, encoding, o)
         found.append(_widened(read, START_WIDTH))
+    if not found:
+        raise SourceError("; ".join((failed or {}).values()) or "no files to read")
     width = max(max(used for _, used in found), 1)
 
     def cells(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from sluice.options import ReadOptions
 from sluice.sources.files import SUPPORTED_SUFFIXES, SourceError, suffix_of
 
 
-def read_units(spark: SparkSession, paths: list[str], o: ReadOptions) -> Iterator[tuple[DataFrame, list[str] | None, str]]:
+def read_units(spark: SparkSession, paths: list[str], o: ReadOptions, failed: dict[str, str] | None = None) -> Iterator[tuple[DataFrame, list[str] | None, str]]:
     suffixes = {suffix_of(p) for p in paths}
     if len(suffixes) != 1:
         raise SourceError("one scan takes files of one format")
@@ -19,7 +19,7 @@ def read_units(spark: SparkSession, paths: list[str], o: ReadOptions) -> Iterato
     if suffix in {".csv", ".txt"}:
         from sluice.sources.delimited import read_delimited
 
-        yield read_delimited(spark, paths, o), None, ""
+        yield read_delimited(spark, paths, o, failed), None, ""
     elif suffix == ".json":
         from sluice.sources.json_source import read_json
 

@@ -78,8 +78,10 @@ def raw_lines(spark: SparkSession, paths: list[str], separator: str = "\n") -> D
         F.monotonically_increasing_id().alias(POS), F.col("value").alias("line"), F.col("_metadata.file_size").alias("size"))
 
 
-def probe(spark: SparkSession, delimiters: dict[str, str], encoding: str = "auto", separator: str = "\n") -> dict[str, TextFacts]:
-    """Facts of every file; ``delimiters`` names the files.  A file that no candidate decodes raises."""
+def probe(spark: SparkSession, delimiters: dict[str, str], encoding: str = "auto", separator: str = "\n",
+          failed: dict[str, str] | None = None) -> dict[str, TextFacts]:
+    """Facts of every file; ``delimiters`` names the files.  A file that no candidate decodes raises, or is left out with
+    its message in ``failed``."""
     if is_wide(encoding or "auto"):
         return {p: TextFacts(encoding, False) for p in delimiters}
     # only files that are no UTF-8 are read for the others
@@ -92,8 +94,11 @@ def probe(spark: SparkSession, delimiters: dict[str, str], encoding: str = "auto
                 groups.setdefault(delimiter, []).append(path)
         for delimiter, paths in groups.items():
             found |= _facts(spark, paths, delimiter, candidates, separator)
-    if lost := [p for p in delimiters if p not in found]:
-        raise SourceError(f"{lost[0]}: could not recognize the text encoding (tried {', '.join(sum(tries, []))})")
+    for lost in (p for p in delimiters if p not in found):
+        message = f"{lost}: could not recognize the text encoding (tried {', '.join(sum(tries, []))})"
+        if failed is None:
+            raise SourceError(message)
+        failed[lost] = message
     return found
 
 

@@ -17,7 +17,6 @@ import datetime as dt
 import json
 import os
 import re
-import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -352,13 +351,12 @@ def write_workbooks(df: DataFrame, path: str, o, partition: bool) -> list[str]:
     sheet = o.sheet_name or stem
     header = bool(o.header)
     cap = min(int(o.max_records_per_file or MAX_SHEET_ROWS), MAX_SHEET_ROWS)
-    if partition:
-        df = df.repartition(PART_COLUMN)
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
-        task = uuid.uuid4().hex[:12]
+        task = f"{TaskContext.get().partitionId():05d}"  # a repeated task writes the same names
         groups: dict[str, list] = {}
         for pdf in batches:
             keys = pdf[PART_COLUMN] if partition else None

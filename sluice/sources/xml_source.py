@@ -1,9 +1,10 @@
 """SRC-9: XML rows into text cells with Spark's built-in XML reader.
 
 With a ``row_tag`` (at any depth) Spark's splittable XML reader is used; Spark
-orders inferred fields by name, so the first-seen order is restored from a
-byte sample of the first file.  Without one, every child of the root is a row
-whatever its tag, read in document order by a small Python data source (one
+orders inferred fields by name, so the first-seen order comes from the data: a
+scan of the text between closing row tags, in splits, keeps the least (file,
+split, row, place) of every field path.  Without one, every child of the root is
+a row whatever its tag, read in document order by a small Python data source (one
 task per file).  Child text per field, one nested level as ``parent_child``,
 attributes ignored, a repeated tag keeps its last value, missing -> "".
 """
@@ -12,28 +13,60 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sluice.operators.order import BLOCK, FILE, POS, with_source_order
-from sluice.sources.files import read_head
+from sluice.sources.text_probe import raw_lines
 
-_TAG = re.compile(r"<([A-Za-z_][\w.\-:]*)[\s/>]")
+#: Comments and character data (skipped), and tags with their attributes.
+_MARKUP = re.compile(r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(/?)([^\s<>/!?]+)(?:"[^"]*"|'[^']*'|[^<>"'])*?(/?)>""", re.DOTALL)
 
 
-def _first_child_tag(sample: str) -> str:
-    tags = []
-    for m in _TAG.finditer(sample):
-        start = m.start()
-        if sample.startswith(("<?", "<!"), start):
+def field_paths(text: str, row_tag: str) -> list[str]:
+    """Fields of the row that begins in a text, in order; grandchildren with their parent's name in front."""
+    found, stack, inside = [], [], False
+    for m in _MARKUP.finditer(text):
+        closing, name, empty = m.groups()
+        if name is None:
             continue
-        tags.append(m.group(1))
-        if len(tags) == 2:
-            return tags[1]
-    raise ValueError("the XML holds no row elements")
+        if not inside:
+            inside = name == row_tag and not closing and not empty
+            continue
+        if closing:
+            if stack:
+                stack.pop()
+            continue
+        if len(stack) < 2:
+            found.append("_".join([*stack, name]))
+        if not empty:
+            stack.append(name)
+    return found
+
+
+def first_seen(spark: SparkSession, paths: list[str], row_tag: str) -> dict[str, int]:
+    """Rank of every field path by where it is seen first: file, split, row, place."""
+    schema = f"{FILE} string, {BLOCK} long, {POS} long, place int, path string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, out = set(), []
+        for batch in batches:
+            for file, block, pos, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                for place, path in enumerate(field_paths(raw.decode("utf-8", "replace"), row_tag)):
+                    if (file, path) not in known:  # a task reads a file's rows in order
+                        known.add((file, path))
+                        out.append((file, block, pos, place, path))
+        cols = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], [FILE, BLOCK, POS, "place", "path"])
+
+    rows = raw_lines(spark, paths, f"</{row_tag}>").select(FILE, BLOCK, POS, F.col("line").cast("binary")).mapInArrow(run, schema)
+    first = rows.groupBy("path").agg(F.min(F.struct(FILE, BLOCK, POS, "place")).alias("first")).orderBy("first").collect()
+    return {r["path"]: i for i, r in enumerate(first)}
 
 
 def _leaf(c: Column, dtype: T.DataType) -> Column:
@@ -130,8 +163,7 @@ def read_xml_children(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
 def read_xml(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[DataFrame, list[str]]:
     if not row_tag:
         return read_xml_children(spark, paths)
-    sample = read_head(spark, paths[0], 1 << 20).decode("utf-8", errors="ignore")
-    tag = row_tag
+    tag, rank = row_tag, first_seen(spark, paths, row_tag)
     df = (
         spark.read.format("xml")
         .option("rowTag", tag)
@@ -140,26 +172,21 @@ def read_xml(spark: SparkSession, paths: list[str], row_tag: str = "") -> tuple[
         .option("ignoreSurroundingSpaces", "false")
         .load(paths)
     )
-    cols: list[tuple[str, Column, int]] = []
+    cols: list[tuple[str, Column]] = []
     for f in df.schema.fields:
-        if f.name.startswith("_") and f.name in ("_corrupt_record",):
+        if f.name == "_corrupt_record":
             continue
         ftype = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
         base = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.ArrayType):
             base = F.try_element_at(base, F.lit(-1))
-        pos = sample.find(f"<{f.name}")
-        pos = pos if pos >= 0 else len(sample) + len(cols)
         if isinstance(ftype, T.StructType) and "_VALUE" not in ftype.names:
-            for child in ftype.fields:
-                cpos = sample.find(f"<{child.name}", max(pos, 0))
-                cpos = cpos if cpos >= 0 else pos
-                cols.append((f"{f.name}_{child.name}", _leaf(base.getField(child.name), child.dataType), cpos))
+            cols += [(f"{f.name}_{child.name}", _leaf(base.getField(child.name), child.dataType)) for child in ftype.fields]
         else:
-            cols.append((f.name, _leaf(base, ftype), pos))
-    cols.sort(key=lambda x: x[2])
+            cols.append((f.name, _leaf(base, ftype)))
+    cols.sort(key=lambda c: rank.get(c[0], len(rank)))
     if not cols:
         raise ValueError("the XML rows hold no fields")
-    names = [n for n, _, _ in cols]
-    out = df.select(*[c.alias(f"c{i + 1}") for i, (_, c, _) in enumerate(cols)], "_metadata")
+    names = [n for n, _ in cols]
+    out = df.select(*[c.alias(f"c{i + 1}") for i, (_, c) in enumerate(cols)], "_metadata")
     return with_source_order(out), names

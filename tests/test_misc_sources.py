@@ -103,3 +103,31 @@ def test_xml_root_children_any_tag(spark, tmp_dir):
     df, keys = read_xml(spark, [x])
     assert keys == ["k", "n_x", "v"]
     assert [tuple(r)[:3] for r in df.orderBy("__pos").collect()] == [("1", "9", ""), ("3", "", "z")]
+
+
+def test_xml_fields_in_the_order_of_the_data(spark, tmp_dir):
+    from sluice.sources.xml_source import field_paths, read_xml
+
+    assert field_paths("<?xml?><rows><!-- <row><no/> --><row a='>'><z>1</z><y><b/><a x=\"</y>\">2</a></y><![CDATA[<q>]]><e/>", "row") == ["z", "y", "y_b", "y_a", "e"]
+    filler = "<row><zeta>1</zeta><beta><two>2</two><one>1</one></beta></row>" * 3
+    for name, rows in (("a.xml", filler), ("b.xml", filler + "<row><beta><three>3</three></beta><alpha>last</alpha></row>")):
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8") as fh:
+            fh.write(f"<rows>{rows}</rows>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        df, keys = read_xml(spark, [os.path.join(tmp_dir, n) for n in ("a.xml", "b.xml")], "row")
+        assert keys == ["zeta", "beta_two", "beta_one", "beta_three", "alpha"]
+        assert ("", "", "", "3", "last") in {tuple(r)[:5] for r in df.collect()} and df.count() == 7
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_own_clock(monkeypatch):
+    import datetime as dt
+
+    from sluice.functions import clock
+
+    utc = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    for zone, hours in (("UTC", 0), ("", 8), ("No/Such", 8), ("Asia/Tokyo", 9)):
+        monkeypatch.setenv("APP_TIMEZONE", zone)
+        assert abs((clock.now() - utc).total_seconds() - hours * 3600) < 5, zone

@@ -120,3 +120,14 @@ def test_import_with_breaks_and_empty_rows(spark, tmp_dir, tiny_splits):
     assert res.rows_written == 60
     got = {r["id"]: r["text"] for r in spark.table("t_breaks").collect()}
     assert got[1] == "a\nb 1" and got[203] == "plain" and len(got) == 60
+
+
+def test_headers_load_in_groups_and_one_bad_file_is_reported(spark, tmp_dir):
+    put(tmp_dir, "a.csv", b"id,name\n1,x\n")
+    put(tmp_dir, "b.csv", b"name,id,extra\ny,2,e\n")
+    put(tmp_dir, "c.csv", b"\n\nid,name\n3,z\n")
+    put(tmp_dir, "bad.csv", b"\xff\xff\xff\n")
+    res, counts = import_together(spark, tmp_dir, ImportSettings.from_fields({"importMode": "rebuild", "tableName": "t_headers"}), per_file_counts=True)
+    assert res.rows_written == 3 and [os.path.basename(f) for f in res.failed] == ["bad.csv"]
+    assert sorted((r["id"], r["name"], r["extra"]) for r in spark.table("t_headers").collect()) == [(1, "x", None), (2, "y", "e"), (3, "z", None)]
+    assert {os.path.basename(r[0]): r[1] for r in counts.collect()} == {"a.csv": 1, "b.csv": 1, "c.csv": 1}
