@@ -13,9 +13,9 @@ the band that the threshold allows: similarity = matched / (words of both -
 matched) >= ``SIMILAR``.  Classes are the connected components of verified pairs.
 
 Work per bucket stays linear for groups of copies: equal word sequences are
-one node; each bucket's members are first aligned with leaders, and only
-members that are then still in different classes are paired with each other
-(none is left out).  Leaders come from a pre-aggregated maximum, joins may be
+one node; each bucket's members are first aligned with leaders (21 at most), and
+only members that are then still in different classes are paired with each other
+(none is left out).  Leaders come from pre-aggregated maxima, joins may be
 split by key, and pairs, links and components never leave the executors.
 
 What is found: a pair shares a sketch with a chance of
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -56,8 +56,8 @@ SHORT, PICK_SHORT = 16, 4
 #: 64-bit words of a text's mark.
 MARKS = 4
 SEED = 1
-#: Rounds in which buckets align their members with a leader.
-STARS = 3
+#: Leaders that the members of a bucket are aligned with in each round: of so many of its classes one each.
+LEADERS = (1, 4, 16)
 #: Hashes held at once while sketching a long text, and bytes of text that are cut into words at once.
 CELLS, TEXT_BYTES = 1 << 21, 1 << 21
 
@@ -311,24 +311,27 @@ def labelled_rows(rows: DataFrame, node: str, labels: DataFrame, name: str) -> D
 def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, mark, weight``.
 
-    In a few rounds every bucket aligns its members with one leader each: the member that shares most buckets
-    (the text that copies were made from), then the foremost one that no leader's class holds yet.  Labels are joined
-    to leaders (one row a bucket) and to members; members meet leaders by bucket, and what is left is made distinct
-    before the alignment.  Members that are still in different classes are then paired with each other."""
+    In a few rounds every bucket aligns its members with leaders: the member that shares most buckets (the text that
+    copies were made from), then such members of classes that have not led yet, more of them in each round, so that what
+    belongs together soon is one class.  Labels are joined to leaders (a few rows a bucket) and to members; members meet
+    leaders by bucket, and what is left is made distinct before the alignment.  Members that are still in different
+    classes are then paired with each other."""
     labels, links = None, None
     members = members.withColumns({"label": F.col("node"), "led": F.lit(False)})
-    for _ in range(STARS):
-        leaders = members.filter(~F.col("led")).groupBy("key").agg(F.max(F.struct("weight", "node", "n", "mark", "label")).alias("leader"))
-        leaders = cut(leaders.select("key", "leader.node", "leader.n", "leader.mark", "leader.label").toDF("key", "leader", "leader_n", "leader_mark", "leader_label"), "omh-leaders")
+    foremost = Window.partitionBy("key").orderBy(F.desc("leader.weight"), F.desc("leader.node"))
+    for most in LEADERS:
+        leaders = members.filter(~F.col("led")).groupBy("key", "label").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader"))
+        leaders = leaders.withColumn("place", F.row_number().over(foremost)).filter(F.col("place") <= most)
+        leaders = cut(leaders.select("key", "leader.node", "leader.n", "leader.mark", "label").toDF("key", "leader", "leader_n", "leader_mark", "leader_label"), "omh-leaders")
         met = members.join(leaders, "key").filter((F.col("label") != F.col("leader_label")) & near("n", "leader_n", "mark", "leader_mark"))
         new = confirm(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
         links = new if links is None else labels.toDF("a", "b").union(new)
         labels = cut(components(links), "omh-labels")
-        led = labelled_rows(leaders.select("key", "leader"), "leader", labels, "leader_label").select("key", "leader_label")
+        led = labelled_rows(leaders.select("key", "leader"), "leader", labels, "label").select("key", "label", F.lit(True).alias("leads")).distinct()
         marked = cut(labelled_rows(members.drop("label"), "node", labels, "label"), "omh-marked")
         apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        still = marked.join(apart, "key").join(led, "key", "left")
-        members = cut(still.select("key", "node", "n", "mark", "weight", "label", (F.col("led") | F.coalesce(F.col("label") == F.col("leader_label"), F.lit(False))).alias("led")), "omh-open")
+        still = marked.join(apart, "key").join(led, ["key", "label"], "left")
+        members = cut(still.select("key", "node", "n", "mark", "weight", "label", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led")), "omh-open")
         if members.isEmpty():
             return labels
     # lengths within the threshold share one of two neighbouring length classes
