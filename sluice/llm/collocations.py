@@ -5,7 +5,7 @@ into words at space and tab.  A phrase is two to ``LONGEST`` words of one piece;
 its occurrences count, overlapping ones too, per language.
 
 1. Words are counted per language; only words of full support can be in a phrase.
-2. A shard is a block of texts in a task.  It is mined completely, level by level
+2. A shard is a run of texts in a task.  It is mined completely, level by level
    (a run of words is counted if both its shorter runs are frequent), at a local
    support lowered in proportion to the shard's words of the language, and to
    ``LOCAL`` at most.  A phrase of full support reaches it in one shard at least.  Pairs are mined and counted
@@ -35,6 +35,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,8 +57,8 @@ WORDS, CANDIDATES = 1 << 20, 1 << 20
 VECTOR, ADDED = 4096, 256
 #: Local support is never above this: a low one costs a shard little and leaves few candidates that are no results.
 LOCAL = 2
-#: Bytes of text in a shard.
-SHARD_BYTES = 14 << 20
+#: Bytes of text in a shard, and of text that is cut into words at once.
+SHARD_BYTES, CUT_BYTES = 16 << 20, 6 << 20
 #: Phrases reported per language.
 TOP = 2000
 
@@ -68,7 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n``.  ``docs``: ``lang, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1, SHARD_BYTES):
+            for part in blocks(batch, 1, CUT_BYTES):
                 found = _CUTTER.cut(part.column(1))
                 langs, words = part.column(0).dictionary_encode(), found.words.dictionary_encode()
                 wide = max(1, len(words.dictionary))
@@ -124,43 +125,55 @@ def mined(docs: DataFrame, frequent, totals: dict[str, int], support: int, longe
     def rows(langs, phrases, n, slack) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([langs, phrases, pa.array(n, pa.int64()), pa.array(slack, pa.int64())], schema=schema)
 
+    def mine(units: Units, unit: np.ndarray, joined: np.ndarray, words_here: Counter) -> Iterator[pa.RecordBatch]:
+        local = {lang: max(1, min(LOCAL, -(-support * n // totals[lang]))) for lang, n in words_here.items()}
+        yield rows(pa.array(list(local)), pa.nulls(len(local), pa.string()), np.zeros(len(local), np.int64), np.array(list(local.values())) - 1)
+        least = np.array([local.get(lang, 1) for lang in units.langs.to_pylist()], np.int64)
+        run_at, texts, first, smallest = unit, None, None, 2
+        if pairs is not None:
+            level = pairs.value.levels[0][0]
+            run_at, first, smallest = pairs.value.step(unit, unit, joined, 2), level // len(units.keys), 3
+            texts = pc.binary_join_element_wise(units.texts(first), units.texts(level % len(units.keys)), " ")
+        for size in range(smallest, longest + 1):
+            at = np.flatnonzero((run_at[:-1] >= 0) & (run_at[1:] >= 0) & joined[size - 1:])
+            keys, place, n = counted(run_at[at] * np.int64(len(units.keys)) + unit[at + size - 1])
+            head, last = np.divmod(keys, max(1, len(units.keys)))
+            start = head if first is None else first[head]
+            lang = units.langs_of(start)
+            keep = np.flatnonzero(n >= least[lang])
+            if not len(keep):
+                break
+            head, last, start, lang, n = head[keep], last[keep], start[keep], lang[keep], n[keep]
+            left = units.texts(head) if texts is None else texts.take(pa.array(head))
+            texts, first = pc.binary_join_element_wise(left, units.texts(last), " "), start
+            yield rows(units.langs.take(pa.array(lang)), texts, n, least[lang] - 1)
+            number = np.full(len(keys), -1, np.int32)
+            number[keep] = np.arange(len(keep))
+            run_at = np.full(len(run_at) - 1, -1, np.int32)
+            run_at[at] = number[place]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a shard is kept as the numbers of its words alone; its texts go block by block
+        unit, joined, words_here, size = [], [], Counter(), 0
         for batch in batches:
-            for part in blocks(batch, 1, SHARD_BYTES):
-                found = _CUTTER.cut(part.column(1))
+            for part in blocks(batch, 1, CUT_BYTES):
+                found, langs = _CUTTER.cut(part.column(1)), part.column(0)
                 if not len(found.words):
                     continue
-                langs = part.column(0)
-                units = pairs.value.units if pairs is not None else frequent.value if frequent is not None else Units.of(langs.take(pa.array(found.row)), found.words)
-                unit = units.find(langs, found.row, found.words)
+                alone = pairs is None and frequent is None
+                units = Units.of(langs.take(pa.array(found.row)), found.words) if alone else pairs.value.units if pairs is not None else frequent.value
+                unit.append(units.find(langs, found.row, found.words).astype(np.int32))
+                joined.append(found.joined)
                 own = langs.dictionary_encode()
-                words_here = np.bincount(own.indices.to_numpy()[found.row], minlength=len(own.dictionary)).tolist()
-                local = {lang: max(1, min(LOCAL, -(-support * n // totals[lang]))) for lang, n in zip(own.dictionary.to_pylist(), words_here) if n}
-                yield rows(pa.array(list(local)), pa.nulls(len(local), pa.string()), np.zeros(len(local), np.int64), np.array(list(local.values())) - 1)
-                joined, found = found.joined, None  # of the words only their numbers are needed from here on
-                least = np.array([local.get(lang, 1) for lang in units.langs.to_pylist()], np.int64)
-                run_at, texts, first, smallest = unit, None, None, 2
-                if pairs is not None:
-                    level = pairs.value.levels[0][0]
-                    run_at, first, smallest = pairs.value.step(unit, unit, joined, 2), level // len(units.keys), 3
-                    texts = pc.binary_join_element_wise(units.texts(first), units.texts(level % len(units.keys)), " ")
-                for size in range(smallest, longest + 1):
-                    at = np.flatnonzero((run_at[:-1] >= 0) & (run_at[1:] >= 0) & joined[size - 1:])
-                    keys, place, n = counted(run_at[at] * len(units.keys) + unit[at + size - 1])
-                    head, last = np.divmod(keys, max(1, len(units.keys)))
-                    start = head if first is None else first[head]
-                    lang = units.langs_of(start)
-                    keep = np.flatnonzero(n >= least[lang])
-                    if not len(keep):
-                        break
-                    head, last, start, lang, n = head[keep], last[keep], start[keep], lang[keep], n[keep]
-                    left = units.texts(head) if texts is None else texts.take(pa.array(head))
-                    texts, first = pc.binary_join_element_wise(left, units.texts(last), " "), start
-                    yield rows(units.langs.take(pa.array(lang)), texts, n, least[lang] - 1)
-                    number = np.full(len(keys), -1, np.int64)
-                    number[keep] = np.arange(len(keep))
-                    run_at = np.full(len(run_at) - 1, -1, np.int64)
-                    run_at[at] = number[place]
+                here = np.bincount(own.indices.to_numpy()[found.row], minlength=len(own.dictionary)).tolist()
+                words_here.update({lang: n for lang, n in zip(own.dictionary.to_pylist(), here) if n})
+                size += int(found.offsets[-1])
+                if alone or size >= SHARD_BYTES:
+                    yield from mine(units, np.concatenate(unit), np.concatenate(joined), words_here)
+                    unit, joined, words_here, size = [], [], Counter(), 0
+                    pa.default_memory_pool().release_unused()
+        if unit:
+            yield from mine(units, np.concatenate(unit), np.concatenate(joined), words_here)
 
     return docs.mapInArrow(run, "lang string, phrase string, n long, slack long")
 
@@ -200,10 +213,10 @@ class Tree:
         """Places among the candidates' beginnings of ``size`` words of the runs that start at each word (-1: none), from those of one word less."""
         level = self.levels[size - 2][0]
         at = np.flatnonzero((run_at[:-1] >= 0) & (unit[size - 1:] >= 0) & joined[size - 1:])
-        keys = run_at[at] * len(self.units.keys) + unit[at + size - 1]
+        keys = run_at[at] * np.int64(len(self.units.keys)) + unit[at + size - 1]
         place = np.minimum(np.searchsorted(level, keys), len(level) - 1)
         same = level[place] == keys
-        out = np.full(len(run_at) - 1, -1, np.int64)
+        out = np.full(len(run_at) - 1, -1, np.int32)
         out[at[same]] = place[same]
         return out
 
@@ -240,7 +253,7 @@ def _counting(tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, _), total = tree.value, None
         for batch in batches:
-            for part in blocks(batch, 1, SHARD_BYTES):
+            for part in blocks(batch, 1, CUT_BYTES):
                 n = known.count(part.column(0), _CUTTER.cut(part.column(1)))
                 total = n if total is None else total + n
         for at in range(0, 0 if total is None else len(total), VECTOR):
