@@ -19,6 +19,7 @@ from sluice.functions.clock import now as clock_now
 from sluice.functions.clock import now_col, now_text
 from sluice.functions.schedule import next_run
 from sluice.operators.cycles import find_cycles  # noqa: F401 - one of the run-log operators
+from sluice.session import cut
 
 # Listing sizes of the log views.
 IMPORT_LOG_ROWS = 50
@@ -188,19 +189,20 @@ def job_kind(job_steps: DataFrame) -> DataFrame:
         F.when(single, F.col("__target")).alias("cur"),
         F.when(single & F.col("__target").isNull(), F.lit("job")).when(single, F.lit(None).cast("string"))
         .when(F.col("__types") == 1, F.col("__type")).otherwise(F.lit("job")).alias("kind"),
-    ).checkpoint()
+    )
+    state = cut(state)
     settled = state.filter("kind IS NOT NULL").select("job_id", "kind")
-    open_jobs = state.filter("kind IS NULL").select("job_id", "cur").checkpoint()
+    open_jobs = cut(state.filter("kind IS NULL").select("job_id", "cur"))
     asked = open_jobs.select(F.col("cur").alias("job_id")).distinct()
-    known = settled.join(asked, "job_id", "left_semi").checkpoint()
+    known = cut(settled.join(asked, "job_id", "left_semi"))
     n, found = open_jobs.count(), []
     for _ in range(int(math.ceil(math.log2(max(n, 2)))) + 1):
         if open_jobs.isEmpty():
             break
         answers = known.select(F.col("job_id").alias("t_id"), F.lit(None).cast(open_jobs.schema["cur"].dataType).alias("t_cur"), F.col("kind").alias("t_kind"))
         answers = answers.union(open_jobs.select("job_id", "cur", F.lit(None).cast("string")))
-        met = open_jobs.join(answers, F.col("cur") == F.col("t_id"), "left").select(
-            "job_id", F.col("t_cur").alias("cur"), F.when(F.col("t_id").isNull(), F.lit("job")).otherwise(F.col("t_kind")).alias("kind")).checkpoint()
+        met = cut(open_jobs.join(answers, F.col("cur") == F.col("t_id"), "left").select(
+            "job_id", F.col("t_cur").alias("cur"), F.when(F.col("t_id").isNull(), F.lit("job")).otherwise(F.col("t_kind")).alias("kind")))
         found.append(met.filter("kind IS NOT NULL").select("job_id", "kind"))
         known = known.union(found[-1])
         open_jobs = met.filter("kind IS NULL").select("job_id", "cur")

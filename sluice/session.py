@@ -6,9 +6,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sluice") -> SparkSession:
@@ -55,6 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: the lineage ends there, and so do the optimizer's size
+    estimates, which iterated joins would multiply without end."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sluice-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
