@@ -154,15 +154,10 @@ def execute_batch(spark: SparkSession, text: str, affected: bool = False) -> int
         df = spark.sql(stmt)  # commands run eagerly; a bare query has no effect to wait for
         n += 1
         if affected:
-            rows += df.count() if _is_query(df) else _written_rows(df)
+            rows += df.count() if df.columns else _written_rows(df)
     return rows if affected else n
 
 
-def _is_query(df: DataFrame) -> bool:
-    """Whether a statement has rows to read: anything but a command that has run."""
-    return not df._jdf.queryExecution().analyzed().getClass().getSimpleName().startswith(("CommandResult", "LocalRelation"))
-
-
 def where(df: DataFrame, clause: str) -> DataFrame:
     """SQL-3: a free predicate, optional leading ``where`` removed."""
     clause = re.sub(r"^\s*where\s+", "", clause or "", flags=re.I).strip()
