@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from sluice.operators.export import export_frame
-from sluice.options import ExportOptions
+from sluice.options import ExportOptions, ReadOptions
 from sluice.plans.importer import ImportSettings, import_path
 from sluice.sources.workbook import read_sheet, sheet_names, write_xlsx_sheets
 
@@ -58,3 +58,19 @@ def test_workbook_sink(spark, tmp_dir):
     split = export_frame(df.where("id <= 10").withColumn("city", F.when(F.col("id") < 5, "北京").otherwise("上海")),
                          tmp_dir, "people", ExportOptions(fmt="xlsx", split_field="city"))
     assert sorted({os.path.basename(os.path.dirname(f)) for f in split.files}) == ["people_上海", "people_北京"]
+
+
+def test_partitions_without_rows_and_parts_of_many(spark, tmp_dir, monkeypatch):
+    """A partition without rows writes nothing; more rows than a part holds go to several, in order, and come back whole."""
+    from sluice.sources import workbook
+    from sluice.sources.workbook import read_workbook_units
+
+    one = export_frame(spark.range(40, numPartitions=4).where("id >= 30"), tmp_dir, "thin", ExportOptions(fmt="xlsx"))
+    assert one.rows == 10 and len(one.files) == 1
+    monkeypatch.setattr(workbook, "BOOK_ROWS", 300)
+    many = export_frame(spark.range(1000, numPartitions=1), tmp_dir, "wide", ExportOptions(fmt="xlsx"))
+    assert len(many.files) >= 3
+    ids = [int(r[1][0]) for f in many.files for r in list(read_sheet(f.removeprefix("file:"), "xl/worksheets/sheet1.xml"))[1:]]
+    assert ids == list(range(1000))
+    raw, _, _ = next(read_workbook_units(spark, many.files, ReadOptions()))
+    assert raw.count() == 1000 + len(many.files)
