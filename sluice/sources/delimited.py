@@ -15,7 +15,6 @@ unused, so ragged rows lose no cells.
 from __future__ import annotations
 
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 from sluice.operators.order import BLOCK, FILE, POS, with_source_order
 from sluice.operators.shape import used_width
 from sluice.options import ReadOptions
-from sluice.sources.files import SourceError, java_charset, sniff_file
+from sluice.sources.files import SourceError, few_listing_tasks, java_charset, sniff_files
 from sluice.sources.text_probe import is_wide, plain_records, probe, records
 
 START_WIDTH = 32
@@ -73,13 +72,17 @@ def _record_scan(rows: DataFrame, delimiter: str):
 def _delimiters(spark: SparkSession, paths: list[str], o: ReadOptions) -> dict[str, str]:
     if o.delimiter:
         return dict.fromkeys(paths, o.delimiter)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        return dict(zip(paths, pool.map(lambda p: sniff_file(spark, p, o.encoding), paths)))
+    return sniff_files(spark, paths, o.encoding)
 
 
 def read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions = ReadOptions(), failed: dict[str, str] | None = None) -> DataFrame:
     """All cells of the files, with ``__file, __blk, __pos``; ``sluice_used_width`` is the number of used columns.
     Files that cannot be decoded raise, or are left out and named in ``failed``."""
+    with few_listing_tasks(spark, paths):
+        return _read_delimited(spark, paths, o, failed)
+
+
+def _read_delimited(spark: SparkSession, paths: list[str], o: ReadOptions, failed: dict[str, str] | None) -> DataFrame:
     separator = o.line_delimiter or "\n"
     delimiters = _delimiters(spark, paths, o)
     facts = probe(spark, delimiters, o.encoding, separator, failed)

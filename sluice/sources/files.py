@@ -8,19 +8,42 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Supported suffixes and the encodings tried by "auto", in order.
 SUPPORTED_SUFFIXES = (".csv", ".txt", ".json", ".xml", ".xlsx", ".xlsm", ".dbf")
 AUTO_ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb18030")
 SNIFF_CHARS = 4096
+#: Files that the driver looks at itself, and bytes of a file that a task reads whole for its first ones.
+DRIVER_FILES, TASK_BYTES = 64, 4 << 20
 
 
 class SourceError(ValueError):
     pass
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession, paths: list[str]) -> Iterator[None]:
+    """Scans of many files list them in a few tasks for each core, not in one task a file."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    if len(paths) > DRIVER_FILES:
+        spark.conf.set(key, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,14 +67,15 @@ def list_files(spark: SparkSession, path: str, suffixes=SUPPORTED_SUFFIXES, *, r
     stack = [p]
     while stack:
         for st in fs.listStatus(stack.pop()):
-            name = st.getPath().getName()
+            found = st.getPath().toString()  # every call to the JVM counts where a folder holds many files
+            name = found.rsplit("/", 1)[-1]
             if name.startswith((".", "_")):
                 continue
             if st.isDirectory():
                 if recursive:
                     stack.append(st.getPath())
-            elif name.lower().endswith(tuple(suffixes)) and st.getModificationTime() > modified_after_ms:
-                out.append(st.getPath().toString())
+            elif name.lower().endswith(tuple(suffixes)) and (not modified_after_ms or st.getModificationTime() > modified_after_ms):
+                out.append(found)
     return sorted(out, key=lambda s: (s.rsplit("/", 1)[-1], s))
 
 
@@ -100,10 +124,35 @@ def sniff_delimiter(text: str) -> str:
 
 def sniff_file(spark: SparkSession, path: str, encoding_option: str = "auto") -> str:
     """SRC-3 for one file."""
-    head = read_head(spark, path, 4 * SNIFF_CHARS)
+    return sniff_head(read_head(spark, path, 4 * SNIFF_CHARS), encoding_option)
+
+
+def sniff_head(head: bytes, encoding_option: str = "auto") -> str:
     return sniff_delimiter(head.decode(guess_encoding(head, encoding_option), errors="ignore").removeprefix("\ufeff"))
 
 
+def sniff_files(spark: SparkSession, paths: list[str], encoding_option: str = "auto") -> dict[str, str]:
+    """SRC-3 for each file: many small ones by tasks, few or large ones by the driver."""
+    found: dict[str, str] = {}
+    if len(paths) > DRIVER_FILES:
+        from sluice.session import ship_package
+
+        ship_package(spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                heads = [sniff_head(head, encoding_option) for head in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string())], ["path", "delimiter"])
+
+        small = spark.read.format("binaryFile").load(paths).where(F.col("length") <= TASK_BYTES)
+        heads = small.select("path", F.substring("content", 1, 4 * SNIFF_CHARS).alias("head"))
+        found = {r["path"]: r["delimiter"] for r in heads.mapInArrow(run, "path string, delimiter string").collect()}
+    rest = [p for p in paths if p not in found]
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        found |= dict(zip(rest, pool.map(lambda p: sniff_file(spark, p, encoding_option), rest)))
+    return {p: found[p] for p in paths}
+
+
 def suffix_of(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     return ("." + name.rsplit(".", 1)[-1].lower()) if "." in name else ""

@@ -28,6 +28,8 @@ from sluice.sources.files import AUTO_ENCODINGS, SourceError, java_charset
 QUOTE = '"'
 #: Charsets of which a line feed byte may be part of another character: their lines cannot be judged alone.
 _WIDE = ("utf-16", "utf16", "utf-32", "utf32", "ucs")
+#: Whole paths that are written the same as URIs.
+_PLAIN_URI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:(//[A-Za-z0-9.:-]+)?(/[A-Za-z0-9_=~-][A-Za-z0-9._=~-]*)+")
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,8 @@ def _facts(spark: SparkSession, paths: list[str], delimiter: str, candidates: li
 
 def _uri(spark: SparkSession, path: str) -> str:
     """A path as ``_metadata.file_path`` writes it (no empty authority)."""
+    if _PLAIN_URI.fullmatch(path):  # most paths are: no call to the JVM for each of many files
+        return path
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     uri = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(fs_path).toUri().toString()
     return re.sub(r"^([A-Za-z][\w+.-]*):///", r"\1:/", uri)

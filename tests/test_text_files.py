@@ -131,3 +131,16 @@ def test_headers_load_in_groups_and_one_bad_file_is_reported(spark, tmp_dir):
     assert res.rows_written == 3 and [os.path.basename(f) for f in res.failed] == ["bad.csv"]
     assert sorted((r["id"], r["name"], r["extra"]) for r in spark.table("t_headers").collect()) == [(1, "x", None), (2, "y", "e"), (3, "z", None)]
     assert {os.path.basename(r[0]): r[1] for r in counts.collect()} == {"a.csv": 1, "b.csv": 1, "c.csv": 1}
+
+
+def test_many_files_are_sniffed_by_tasks(spark, tmp_dir, monkeypatch):
+    """Each of many files keeps its own delimiter and charset, without a look by the driver."""
+    from sluice.sources import files
+
+    for i in range(files.DRIVER_FILES + 6):
+        sep, name = (",", "plain") if i % 2 else (";", "名 字")
+        with open(f"{tmp_dir}/{name} {i}.csv", "w", encoding="utf-8" if i % 3 else "gbk") as fh:
+            fh.write(f"a{sep}b\n{i}{sep}零{i}\n")
+    monkeypatch.setattr(files, "sniff_file", lambda *_: pytest.fail("the driver sniffed a small file"))
+    rows = read_delimited(spark, files.list_files(spark, tmp_dir)).where("c1 <> 'a'").select("c1", "c2").collect()
+    assert sorted((int(r[0]), r[1]) for r in rows) == [(i, f"零{i}") for i in range(files.DRIVER_FILES + 6)]
