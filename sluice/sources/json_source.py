@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from sluice.operators.order import BLOCK, FILE, POS
 from sluice.session import ship_package
 from sluice.sources.json_split import array_rows, layout, line_rows
+from sluice.sources.text_probe import slices
 
 
 def _text(value, in_child: bool) -> str:
@@ -129,7 +130,7 @@ def cells_from_pairs(withe: DataFrame, order_cols: list[str], keep: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(keys)}
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.names.index("__names")
             lists = batch.column(at)
             cells = np.full((len(keys), batch.num_rows), "", object)

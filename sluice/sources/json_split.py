@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.order import BLOCK, FILE, POS, bounded_side
-from sluice.sources.text_probe import is_broadcast, raw_lines, states_before
+from sluice.sources.text_probe import is_broadcast, raw_lines, slices, states_before
 
 _TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+"|["\[\]{]', re.DOTALL)
 _CLOSE = re.compile(rb'(?:[^"\\]++|\\.)*+"', re.DOTALL)
@@ -62,7 +62,7 @@ def walk(piece: bytes, inside: bool) -> tuple[bool, int]:
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(whether a new split begins, then the row) for rows whose first two columns are file and split."""
     place = None
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             yield row[:2] != place, row
             place = row[:2]
@@ -157,13 +157,13 @@ def array_rows(spark: SparkSession, paths: list[str], parts: DataFrame, flatten:
                 else:
                     out.append((file, block, 0, "head", text, None, None))
                 held, met_one = [], True
-            if len(out) >= 1024:
+            if len(out) >= 256:
                 yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, r)) for r in out], _FOUND)
                 out = []
         rest()
         yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, r)) for r in out], _FOUND)
 
-    found = pieces.select(FILE, BLOCK, F.col("line").cast("binary"), "before", "depth").mapInArrow(cut, _FOUND_SQL)
+    found = pieces.select(FILE, BLOCK, F.col("line").cast("binary"), "before", "depth").mapInArrow(cut, _FOUND_SQL).checkpoint()  # parsed once, whatever looks at the rows later
     rows = found.where("kind = 'row'").select(FILE, (F.col(BLOCK) * 2 + 1).alias(BLOCK), POS, "__names", "__values")
 
     # texts that cross splits: a tail opens one, the next split's head ends it
@@ -174,7 +174,7 @@ def array_rows(spark: SparkSession, paths: list[str], parts: DataFrame, flatten:
     joined = texts.groupBy(FILE, "number").agg(F.array_join(F.transform(parts_of, lambda p: p["text"]), "").alias("text"), F.max(BLOCK).alias(BLOCK), F.bool_or(F.col("kind") == "head").alias("ended"))
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for file, number, text, block, ended in zip(*(c.to_pylist() for c in batch.columns)):
                 opening = "[0" if number else ""
@@ -191,7 +191,7 @@ def array_rows(spark: SparkSession, paths: list[str], parts: DataFrame, flatten:
 def line_rows(spark: SparkSession, paths: list[str], flatten: Callable[[dict], tuple[list[str], list[str]]]) -> DataFrame:
     """The same for files of JSON lines; lines that hold no object are left out, malformed ones raise."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for file, block, pos, line in zip(*(c.to_pylist() for c in batch.columns)):
                 try:

@@ -73,6 +73,13 @@ def is_wide(encoding: str) -> bool:
     return encoding.lower().startswith(_WIDE)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts: Python objects are made of few rows at a time, however long their texts are."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def raw_lines(spark: SparkSession, paths: list[str], separator: str = "\n") -> DataFrame:
     """``__file, __blk, __pos, line`` (undecoded bytes as they stand in a string) and ``size`` (of the file) of all physical lines."""
     return spark.read.option("lineSep", separator).text(paths).select(
@@ -142,7 +149,7 @@ def _judged(lines: DataFrame, delimiter: str, candidates: list[str], quotes: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, bad, breaks, inside = None, [False] * k, [False] * k, [False] * k
-        for batch in batches:
+        for batch in slices(batches):
             for file, block, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if (file, block) != place:
                     if place is not None:
@@ -174,7 +181,7 @@ def plain_records(spark: SparkSession, paths: list[str], encoding: str, separato
     lines = raw_lines(spark, paths, separator)
     if java_charset(encoding) != "UTF-8":
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 texts = pa.array([line.decode(encoding) for line in batch.column(3).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], batch.schema.names)
 
@@ -193,7 +200,7 @@ def split_functions(lines: DataFrame, delimiter: str, encoding: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, state = None, [False, True]
-        for batch in batches:
+        for batch in slices(batches):
             for file, block, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (file, block) != place:
                     if place is not None:
@@ -235,7 +242,7 @@ def records(spark: SparkSession, paths: list[str], delimiter: str, encoding: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, head, state, number = None, [], False, False, 0
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for file, block, line, inside in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (file, block) != place:
@@ -254,6 +261,7 @@ def records(spark: SparkSession, paths: list[str], delimiter: str, encoding: str
 
     found = met.select(FILE, BLOCK, F.col("line").cast("binary").alias("line"), "before")
     found = found.mapInArrow(run, f"{FILE} string, {BLOCK} long, {POS} long, head boolean, open boolean, record string")
+    found = found.checkpoint()  # lines are joined once, in their splits, whatever looks at the records later
     whole = found.where(~F.col("head") & ~F.col("open")).select(FILE, (F.col(BLOCK) * 2).alias(BLOCK), POS, "record")
     # pieces: an open record, then what the next splits begin with, up to one that is closed
     pieces = found.where("head OR open").withColumn("first", (~F.col("head")).cast("int"))

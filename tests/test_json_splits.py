@@ -87,3 +87,23 @@ def test_many_kinds_in_one_scan(spark, tmp_dir):
     df, keys = read_json(spark, [os.path.join(tmp_dir, f) for f in sorted(os.listdir(tmp_dir))])
     rows = [tuple(r) for r in number_rows(df).orderBy("__file", "__rn").select(*[f"c{i + 1}" for i in range(len(keys))]).collect()]
     assert keys == ["a", "b", "c"] and sorted(rows) == sorted([("1", "", ""), ("", "2", ""), ("3", "", ""), ("", "", "4"), ("5", "", "")])
+
+
+def test_arrays_are_parsed_once_and_in_small_parts(spark, tmp_dir):
+    """What reads the rows later does not parse the files again; no more than a few rows become Python objects at a time."""
+    import pyarrow as pa
+
+    from sluice.operators.export import export_frame
+    from sluice.options import ExportOptions
+    from sluice.sources.files import list_files
+    from sluice.sources.json_source import flat_fields
+    from sluice.sources.json_split import array_rows, layout
+    from sluice.sources.text_probe import slices
+
+    res = export_frame(spark.range(700).selectExpr("id", "concat('é\"}', id) AS t"), tmp_dir, "a", ExportOptions(fmt="json"))
+    files = list_files(spark, res.path)
+    rows = array_rows(spark, files, layout(spark, files)[0], flat_fields)
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1  # only texts that cross splits
+    df, keys = read_json(spark, files)
+    assert keys == ["id", "t"] and sorted((int(r.c1), r.c2) for r in df.collect()) == [(i, f'é"}}{i}') for i in range(700)]
+    assert [b.num_rows for b in slices([pa.RecordBatch.from_pydict({"x": list(range(600))})])] == [256, 256, 88]

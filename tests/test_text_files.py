@@ -144,3 +144,14 @@ def test_many_files_are_sniffed_by_tasks(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(files, "sniff_file", lambda *_: pytest.fail("the driver sniffed a small file"))
     rows = read_delimited(spark, files.list_files(spark, tmp_dir)).where("c1 <> 'a'").select("c1", "c2").collect()
     assert sorted((int(r[0]), r[1]) for r in rows) == [(i, f"零{i}") for i in range(files.DRIVER_FILES + 6)]
+
+
+def test_quoted_breaks_are_joined_once(spark, tmp_dir):
+    """Lines become records in one pass, whatever looks at the records later."""
+    from sluice.sources.text_probe import records
+
+    with open(f"{tmp_dir}/a.csv", "w") as fh:
+        fh.write('a,b\n1,"x\ny"\n2,z\n')
+    rows = records(spark, [f"{tmp_dir}/a.csv"], ",", "utf-8", "\n")
+    assert "MapInArrow" not in str(rows._jdf.queryExecution().optimizedPlan())
+    assert sorted(r.record for r in rows.collect()) == ['1,"x\ny"', "2,z", "a,b"]
