@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sluice.llm.words import blocks
+
 #: Units of a score, what an uncovered character costs beyond the lowest score, and words kept per worker.
 UNIT, PENALTY, KEPT = 1 << 20, 10, 200_000
 SPACE = "▁"
@@ -38,7 +41,9 @@ SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _PARTS = re.compile(f"{SPACE}*\\w+(?=[.,{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+?(?=(?<=\\w)[.,]|{SPACE}|\n|$)|{SPACE}+|\n")
 #: Stands for no score.
-_NONE = -(1 << 100)
+_NONE = -(1 << 60)
+#: Longest word of a pass over many words, and bytes of text encoded at once.
+LONGEST, TEXT_BYTES = 32, 4 << 20
 _MODELS: dict[str, "Model"] = {}
 
 
@@ -86,7 +91,84 @@ class Model:
         self.split = (_WORDS if any(re.search(r"\w[.,]", p) for p in pieces) else _PARTS).findall
         self.words: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
         self.once: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
+        self.fresh: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
         self.searched: dict[tuple[str, int], list[tuple]] = {}
+        self.keys: np.ndarray | None = None
+
+    def tabulate(self) -> None:
+        """The beginnings of pieces as arrays: the state after a state and a character (0: no piece begins so), by sorted
+        keys.  States that go on come first."""
+        inner = {p[:-1] for p in self.begins}
+        order = sorted(self.begins, key=lambda p: p not in inner)
+        state = {"": 1} | {p: i for i, p in enumerate(order, 2)}
+        chars = sorted({p[-1] for p in self.begins})
+        self.codes = np.array([ord(c) for c in chars], np.uint32)
+        kind, self.kinds = {c: i for i, c in enumerate(chars)}, len(chars)
+        self.going = len(inner - {""}) + 2
+        keys = np.array([state[p[:-1]] * self.kinds + kind[p[-1]] for p in order], np.int64)
+        by_key = np.argsort(keys)
+        self.keys, self.nexts = keys[by_key], by_key + 2
+        found = [(0, -1)] * 2 + [self.begins[p] or (0, -1) for p in order]
+        self.state_score, self.state_id = (np.array(x, np.int64) for x in zip(*found))
+
+    def after(self, state: np.ndarray | int, kind: np.ndarray) -> np.ndarray:
+        key = state * self.kinds + kind
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], 0)
+
+    def learn(self, words: set[str]) -> None:
+        """One forward pass over all new words of a length at a time; words with characters that no piece covers are left out."""
+        if self.keys is None:
+            self.tabulate()
+        by_length: dict[int, list[str]] = {}
+        for w in words.difference(self.words).difference(self.once):
+            if len(w) <= LONGEST:
+                by_length.setdefault(len(w), []).append(w)
+        self.fresh = {}
+        for length, some in by_length.items() if len(self.keys) else ():
+            points = np.array(some, f"<U{length}").view(np.uint32).reshape(len(some), length)
+            kinds = np.searchsorted(self.codes, points)
+            kinds = np.minimum(kinds, len(self.codes) - 1)
+            covered = ((self.codes[kinds] == points) & (self.state_id[self.after(1, kinds)] >= 0)).all(axis=1)
+            some = [w for w, c in zip(some, covered.tolist()) if c]
+            if some:
+                self.fresh.update(zip(some, self.forward_many(np.ascontiguousarray(kinds[covered].T))))
+
+    def forward_many(self, kinds: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], int | None]]:
+        """``forward`` for words of one length (a column of characters each): best score, ids and lead of each word."""
+        length, n = kinds.shape
+        best, second = np.full((2, length + 1, n), _NONE, np.int64)
+        start_of, id_of = np.zeros((2, length + 1, n), np.int64)
+        best[0] = 0
+        for start in range(length):
+            at, state = np.arange(n), np.ones(n, np.int64)
+            for end in range(start + 1, length + 1):
+                state = self.after(state, kinds[end - 1, at])
+                on = np.flatnonzero(state)
+                at, state = at[on], state[on]
+                piece = self.state_id[state]
+                full = np.flatnonzero(piece >= 0)
+                rows, piece, score = at[full], piece[full], self.state_score[state[full]]
+                total, old = best[start, rows] + score, best[end, rows]
+                better = total > old
+                second[end, rows] = np.maximum(np.maximum(second[end, rows], np.where(better, old, total)), second[start, rows] + score)
+                better |= (total == old) & (piece < id_of[end, rows])
+                won = rows[better]
+                best[end, won], start_of[end, won], id_of[end, won] = total[better], start, piece[better]
+                on = np.flatnonzero(state < self.going)
+                if not len(on):
+                    break
+                at, state = at[on], state[on]
+        steps, place, each = [], np.full(n, length), np.arange(n)
+        while place.any():
+            steps.append(np.where(place > 0, id_of[place, each], -1))
+            place = start_of[place, each]
+        ids = np.array(steps[::-1]).T
+        some = ids >= 0
+        flat, ends = ids[some].tolist(), np.cumsum(some.sum(axis=1)).tolist()
+        lead = np.where(second[-1] > _NONE // 2, best[-1] - second[-1], -1).tolist()
+        for a, b, total, ahead in zip([0, *ends], ends, best[-1].tolist(), lead):
+            yield total, tuple(flat[a:b]), ahead if ahead >= 0 else None
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -148,12 +230,14 @@ class Model:
                 self.words.clear()
             self.words[word] = known
             return known
-        best, last, lead = self.forward(word)
-        steps, at = [], len(word)
-        while at:
-            at, ids = last[at]
-            steps.append(ids)
-        known = best[-1], tuple([i for s in reversed(steps) for i in s]), lead
+        known = self.fresh.pop(word, None)
+        if known is None:
+            best, last, lead = self.forward(word)
+            steps, at = [], len(word)
+            while at:
+                at, ids = last[at]
+                steps.append(ids)
+            known = best[-1], tuple([i for s in reversed(steps) for i in s]), lead
         if len(word) <= 32:
             if len(self.once) >= KEPT:
                 self.once.clear()
@@ -178,12 +262,15 @@ class Model:
         best, _, _ = self.forward(word)
         ends: list[tuple] = [(0, len(word), None)]  # cost, place, ids of the piece there and what comes after it
         found: list[Segmentation] = []
+        steps: dict[int, list[tuple]] = {}  # what can end at a place, in the order of its pieces from the end
         while ends and len(found) < n:
             at = min(range(len(ends)), key=lambda i: ends[i][0])
             cost, place, tail = ends[at]
             if place:
-                nexts = sorted((ids[::-1], cost + best[place] - best[start] - score, start, ids) for start, score, ids in self.edges(word, place))
-                replace(ends, at, [(c, start, (ids, tail)) for _, c, start, ids in nexts], n - len(found))
+                nexts = steps.get(place)
+                if nexts is None:
+                    nexts = steps[place] = sorted((ids[::-1], best[place] - best[start] - score, start, ids) for start, score, ids in self.edges(word, place))
+                replace(ends, at, [(cost + c, start, (ids, tail)) for _, c, start, ids in nexts], n - len(found))
                 continue
             del ends[at]
             ids = []
@@ -195,14 +282,19 @@ class Model:
 
     def nbest(self, text: str | None, n: int) -> list[tuple[int, list[tuple[int, ...]]]]:
         """The best segmentations of a text, as (score, ids by word)."""
+        return self.nbest_words(self.words_of(text), n)
+
+    def words_of(self, text: str | None) -> list[str]:
         normal = self.normalize(text or "")
-        words = ([normal] if normal else []) if self.whole else self.split(normal)
+        return ([normal] if normal else []) if self.whole else self.split(normal)
+
+    def nbest_words(self, words: list[str], n: int) -> list[tuple[int, list[tuple[int, ...]]]]:
         known = [self.words.get(w) or self.word(w) for w in words]
         total, ids = sum(k[0] for k in known), [k[1] for k in known]
         out = [(total, ids)]
         if n == 1 or not words:
             return out
-        for changes, loss in self.chain(words, known, n):
+        for changes, loss in self.along(words, known, n):
             if changes:
                 other = ids.copy()
                 for at, segmentation in changes:
@@ -212,7 +304,7 @@ class Model:
                 out[0] = (total, ids)
         return out
 
-    def chain(self, words: list[str], known: list, n: int) -> Iterator[tuple[list[tuple[int, tuple[int, ...]]], int]]:
+    def along(self, words: list[str], known: list, n: int) -> Iterator[tuple[list[tuple[int, tuple[int, ...]]], int]]:
         """The n best choices of segmentations along the chain: (changes against the best, loss).
 
         Only words with the smallest leads matter, and of equal words only the first and last ones."""
@@ -253,7 +345,10 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of a segmentation; the space that normalisation puts in front goes again."""
-        raw = b"".join([self.surface.get(i, b"") for i in ids])
+        try:
+            raw = b"".join(map(self.surface.__getitem__, ids))
+        except KeyError:  # ids that stand for no text
+            raw = b"".join([self.surface.get(i, b"") for i in ids])
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
@@ -266,11 +361,12 @@ def encode_nbest(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part, out = batch.slice(a, 256), []
-                for i, text in enumerate(part.column(1)):
-                    for rank, (score, parts) in enumerate(m.nbest(text.as_py(), n), 1):
-                        ids = [x for p in parts for x in p]
+            for part in blocks(batch, 1, TEXT_BYTES):
+                out, texts = [], [m.words_of(text.as_py()) for text in part.column(1)]
+                m.learn(set().union(*texts))
+                for i, words in enumerate(texts):
+                    for rank, (score, parts) in enumerate(m.nbest_words(words, n), 1):
+                        ids = list(chain.from_iterable(parts))
                         raw = np.array(ids, "<u4")
                         decoded = m.decode(ids).encode("utf-8", "surrogatepass")
                         out.append((i, rank, score / UNIT, len(ids), zlib.crc32(raw), zlib.crc32(decoded), *([raw.view("<i4")] if keep_ids else [])))

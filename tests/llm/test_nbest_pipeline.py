@@ -115,3 +115,19 @@ def test_stages_on_odd_tables(spark, odd_docs, no_docs):
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF001)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_one_pass_over_many_words_is_the_pass_over_each(seed):
+    """Scores, ids and leads with ties, pieces of every length, and characters that no piece covers."""
+    rng = random.Random(seed)
+    vocabulary = list(dict.fromkeys(list("abc") + ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))]))
+    rng.shuffle(vocabulary)
+    pieces = [(v, -rng.randint(0, 4)) for v in vocabulary]
+    words = {"".join(rng.choice("abcabcabcé雨") for _ in range(rng.randint(1, 40))) for _ in range(60)}
+    many, each = Small(pieces), Small(pieces)
+    many.learn(words)
+    learnt = dict(many.fresh)
+    assert set(learnt) == {w for w in words if len(w) <= nbest.LONGEST and all(c in each.pieces for c in w)}
+    assert all(learnt[w] == each.word(w) for w in learnt)
+    assert [many.word(w) for w in sorted(words)] == [each.word(w) for w in sorted(words)]
