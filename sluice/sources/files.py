@@ -115,11 +115,15 @@ def java_charset(enc: str) -> str:
 
 
 def sniff_delimiter(text: str) -> str:
-    """SRC-3: csv.Sniffer on the first 4,096 characters, comma when unsure."""
+    """SRC-3: csv.Sniffer on the first 4,096 characters, comma when unsure.
+
+    Prose in quoted cells can make the sniffer take a letter, or a space that the first line does not hold: that is unsure."""
     try:
-        return csv.Sniffer().sniff(text[:SNIFF_CHARS]).delimiter
+        found = csv.Sniffer().sniff(text[:SNIFF_CHARS]).delimiter
     except csv.Error:
         return ","
+    first = text.split("\n", 1)[0]
+    return "," if found.isalnum() or (found == " " and " " not in first and "," in first) else found
 
 
 def sniff_file(spark: SparkSession, path: str, encoding_option: str = "auto") -> str:

@@ -131,3 +131,22 @@ def test_own_clock(monkeypatch):
     for zone, hours in (("UTC", 0), ("", 8), ("No/Such", 8), ("Asia/Tokyo", 9)):
         monkeypatch.setenv("APP_TIMEZONE", zone)
         assert abs((clock.now() - utc).total_seconds() - hours * 3600) < 5, zone
+
+
+def test_prose_does_not_name_the_delimiter(spark, tmp_dir):
+    """Quoted prose in which the sniffer sees spaces or letters leaves the comma; a space that the header holds is one."""
+    from sluice.sources.delimited import read_delimited
+
+    text = 'doc_id,text\n' + "".join(f'{i},"Et tre "" a"" b"" c treleai p , ""x"" y "\n' for i in range(20))
+    import csv as plain
+    for d in (" ", "e"):
+        found = type("Found", (), {"delimiter": d})
+        kept, plain.Sniffer.sniff = plain.Sniffer.sniff, lambda *_, found=found: found
+        try:
+            assert sniff_delimiter(text) == "," and sniff_delimiter("a b\n1 2\n") == ("," if d == "e" else " ")
+        finally:
+            plain.Sniffer.sniff = kept
+    p = os.path.join(tmp_dir, "prose.csv")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write(text)
+    assert read_delimited(spark, [p]).sluice_used_width == 2
