@@ -43,32 +43,61 @@ LEAST_DOCS, SCALE = 3, 1_000_000_000
 TOP = 200
 #: Non-zero counts in a block of the reordered vocabulary.
 CELLS = 1 << 17
+#: Bytes of text that are counted at once, and counts that a worker adds up before it hands them on.
+COUNT_BYTES, HELD = 1 << 20, 1 << 18
 
 #: ASCII that is no part of a term (fixed by the contract): all but letters.
 NO_TERM = bytes(b for b in range(128) if not chr(b).isalpha())
 _CUTTER = Cutter(NO_TERM)
 
 
+def count_block(block: pa.RecordBatch) -> pa.Table | None:
+    """``lang, source, term, n, docs`` of a few texts (None without words)."""
+    found = _CUTTER.cut(block.column(2))
+    if not len(found.words):
+        return None
+    langs, sources = (block.column(c).dictionary_encode() for c in (0, 1))
+    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    terms = found.words.dictionary_encode()
+    wide, codes = len(terms.dictionary), terms.indices.to_numpy().astype(np.int64)
+    keys, _, n = counted(group[found.row] * wide + codes)
+    once, _, _ = counted(found.row * np.int64(wide) + codes)
+    _, place, in_docs = counted(np.concatenate([keys, group[once // wide] * wide + once % wide]))
+    group, code = keys // wide, keys % wide
+    return pa.Table.from_arrays(
+        [langs.dictionary.take(pa.array(group // len(sources.dictionary))), sources.dictionary.take(pa.array(group % len(sources.dictionary))),
+         terms.dictionary.take(pa.array(code)), pa.array(n, pa.int64()), pa.array(in_docs[place[:len(keys)]] - 1, pa.int64())],
+        ["lang", "source", "term", "n", "docs"])
+
+
+def count_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The counts of a batch, taken by block and added up before they leave the worker."""
+    held, rows = [], 0
+
+    def added() -> list[pa.RecordBatch]:
+        whole = pa.concat_tables(held)
+        if len(held) > 1:
+            whole = whole.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+            whole = whole.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+        return whole.to_batches(max_chunksize=HELD)
+
+    for part in blocks(batch, 2, COUNT_BYTES):
+        counts = count_block(part)
+        if counts is not None:
+            held.append(counts)
+            rows += counts.num_rows
+        if rows >= HELD:
+            yield from added()
+            held, rows = [], 0
+    if held:
+        yield from added()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, term, docs, total, counts`` (array of source and n, ascending) of the kept terms.  ``docs``: ``lang, source, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 2):
-                found = _CUTTER.cut(part.column(2))
-                if not len(found.words):
-                    continue
-                langs, sources = (part.column(c).dictionary_encode() for c in (0, 1))
-                group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
-                terms = found.words.dictionary_encode()
-                wide, codes = len(terms.dictionary), terms.indices.to_numpy().astype(np.int64)
-                keys, _, n = counted(group[found.row] * wide + codes)
-                once, _, _ = counted(found.row * np.int64(wide) + codes)
-                _, place, in_docs = counted(np.concatenate([keys, group[once // wide] * wide + once % wide]))
-                group, code = keys // wide, keys % wide
-                yield pa.RecordBatch.from_arrays(
-                    [langs.dictionary.take(pa.array(group // len(sources.dictionary))), sources.dictionary.take(pa.array(group % len(sources.dictionary))),
-                     terms.dictionary.take(pa.array(code)), pa.array(n, pa.int64()), pa.array(in_docs[place[:len(keys)]] - 1, pa.int64())],
-                    ["lang", "source", "term", "n", "docs"])
+            yield from count_batch(batch)
 
     counts = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
     by_source = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

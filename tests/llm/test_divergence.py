@@ -1,9 +1,11 @@
 """Source divergence against sums over the whole vocabulary."""
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import divergence as dv
@@ -84,3 +86,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = [tuple(r) for r in odd_docs.select("lang", "source", "text").collect()]
     assert of(dv.audit(odd_docs)) == by_hand(rows)
     assert dv.audit(no_docs).count() == 0
+
+
+def test_blocks_are_small_and_their_counts_are_added_up(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("w" + "abcdefghij"[rng.randrange(10)] * rng.randint(1, 90) for _ in range(200)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 500, "source": ["a", "b", "c", "d"] * 250, "text": texts})
+    tracemalloc.start()
+    small = pa.Table.from_batches(dv.count_batch(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    keys = list(zip(*(small[c].to_pylist() for c in ("lang", "source", "term"))))
+    assert len(keys) == len(set(keys))
+    monkeypatch.setattr(dv, "COUNT_BYTES", 1 << 30)
+    whole = pa.Table.from_batches(dv.count_batch(batch))
+    assert sorted(map(str, small.to_pylist())) == sorted(map(str, whole.to_pylist()))
