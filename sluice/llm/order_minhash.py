@@ -13,7 +13,7 @@ the band that the threshold allows: similarity = matched / (words of both -
 matched) >= ``SIMILAR``.  Classes are the connected components of verified pairs.
 
 Work per bucket stays linear for groups of copies: equal word sequences are
-one node; each bucket's members are first aligned with leaders (21 at most), and
+one node; each bucket's members are first aligned with leaders (22 at most), and
 only members that are then still in different classes are paired with each other
 (none is left out).  Leaders come from pre-aggregated maxima, joins may be
 split by key, and pairs, links and components never leave the executors.
@@ -56,10 +56,11 @@ SHORT, PICK_SHORT = 16, 4
 #: 64-bit words of a text's mark.
 MARKS = 4
 SEED = 1
-#: Leaders that the members of a bucket are aligned with in each round: of so many of its classes one each.
-LEADERS = (1, 4, 16)
+#: Of each round: one in so many buckets holds it, and its members are aligned with leaders of so many of its classes.
+FIRST = 8
+ROUNDS = ((FIRST, 1), (1, 1), (1, 4), (1, 16))
 #: Hashes held at once while sketching a long text, and bytes of text that are cut into words at once.
-CELLS, TEXT_BYTES = 1 << 21, 1 << 21
+CELLS, TEXT_BYTES = 1 << 18, 1 << 18
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -78,9 +79,9 @@ class Characters:
     _known = None
 
     def __init__(self):
-        every = [chr(c) for c in range(0x110000)]
-        self.word = np.array([c.isalnum() or c == "_" for c in every])
-        self.lower = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in every], np.uint32)
+        every = range(0x110000)
+        self.word = np.fromiter((c.isalnum() or c == "_" for c in map(chr, every)), bool, len(every))
+        self.lower = np.fromiter((ord(low) if len(low := c.lower()) == 1 else ord(c) for c in map(chr, every)), np.uint32, len(every))
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     @classmethod
@@ -308,35 +309,52 @@ def labelled_rows(rows: DataFrame, node: str, labels: DataFrame, name: str) -> D
     return rows.join(labels.toDF(node, name), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def link(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node, n, mark, weight``.
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, node, label`` of the members of buckets that hold several classes."""
+    marked = cut(labelled_rows(members, "node", labels, "label"), "omh-marked")
+    apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return cut(marked.join(apart, "key").select("key", "node", "label"), "omh-open")
+
+
+def link(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Classes of the nodes in buckets: ``node, label``.  ``members``: ``key, node``; ``known``: ``node, n, mark, weight``.
 
     In a few rounds every bucket aligns its members with leaders: the member that shares most buckets (the text that
     copies were made from), then such members of classes that have not led yet, more of them in each round, so that what
-    belongs together soon is one class.  Labels are joined to leaders (a few rows a bucket) and to members; members meet
-    leaders by bucket, and what is left is made distinct before the alignment.  Members that are still in different
-    classes are then paired with each other."""
-    labels, links = None, None
-    members = members.withColumns({"label": F.col("node"), "led": F.lit(False)})
+    belongs together soon is one class.  The first round is held by one in ``FIRST`` of the buckets: copies share
+    many, and a pair that has met in one need not meet in the others.  All buckets come after it.  Members meet
+    leaders by bucket, and what is left is made distinct before the alignment; lengths and marks are joined only to
+    members of buckets that hold several classes.  Members that are still in different classes are then paired with each
+    other."""
+    labels, links, led = None, None, None
     foremost = Window.partitionBy("key").orderBy(F.desc("leader.weight"), F.desc("leader.node"))
-    for most in LEADERS:
-        leaders = members.filter(~F.col("led")).groupBy("key", "label").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader"))
-        leaders = leaders.withColumn("place", F.row_number().over(foremost)).filter(F.col("place") <= most)
+    for share, most in ROUNDS:
+        some = members if share == 1 else members.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+        if labels is None:
+            some = some.withColumn("label", F.col("node"))
+        else:
+            some = still_open(some, labels)
+            if share == 1:
+                members = some.select("key", "node")
+                if members.isEmpty():
+                    return labels
+        rows = cut(some.join(known, "node"), "omh-rows")
+        heads = rows.groupBy("key", "label").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader"))
+        if led is not None:
+            heads = heads.join(labelled_rows(led, "leader", labels, "label").select("key", "label"), ["key", "label"], "left_anti")
+        leaders = heads.withColumn("place", F.row_number().over(foremost)).filter(F.col("place") <= most)
         leaders = cut(leaders.select("key", "leader.node", "leader.n", "leader.mark", "label").toDF("key", "leader", "leader_n", "leader_mark", "leader_label"), "omh-leaders")
-        met = members.join(leaders, "key").filter((F.col("label") != F.col("leader_label")) & near("n", "leader_n", "mark", "leader_mark"))
+        met = rows.join(leaders, "key").filter((F.col("label") != F.col("leader_label")) & near("n", "leader_n", "mark", "leader_mark"))
         new = confirm(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts)
         links = new if links is None else labels.toDF("a", "b").union(new)
         labels = cut(components(links), "omh-labels")
-        led = labelled_rows(leaders.select("key", "leader"), "leader", labels, "label").select("key", "label", F.lit(True).alias("leads")).distinct()
-        marked = cut(labelled_rows(members.drop("label"), "node", labels, "label"), "omh-marked")
-        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        still = marked.join(apart, "key").join(led, ["key", "label"], "left")
-        members = cut(still.select("key", "node", "n", "mark", "weight", "label", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led")), "omh-open")
-        if members.isEmpty():
-            return labels
+        led = leaders.select("key", "leader") if led is None else led.union(leaders.select("key", "leader"))
+    members = still_open(members, labels)
+    if members.isEmpty():
+        return labels
     # lengths within the threshold share one of two neighbouring length classes
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / SIMILAR)) + 1e-9)
-    spread = members.withColumn("size", F.explode(F.array(step, step + 1)))
+    spread = members.join(known, "node").withColumn("size", F.explode(F.array(step, step + 1)))
     x, y = spread.alias("x"), spread.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
                   & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n", "x.mark", "y.mark"))
@@ -347,7 +365,7 @@ def link(members: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, node, class_id`` (least document id of its class), ``class_node`` (that document's node)."""
     table = cut(sketched(docs, doc_id, text), "omh-sketches")
-    rows = table.select(F.explode("sketch").alias("key"), "node", "n")
+    rows = table.select(F.explode("sketch").alias("key"), "node")
     # keys of several rows first, by the keys alone; copies of one text are one member
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     met = cut(rows.join(several.hint("merge"), "key").distinct(), "omh-met")
@@ -356,8 +374,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     weights = cut(members.groupBy("node").agg(F.sum("size").alias("weight")), "omh-weights")
     texts = sequences(docs, text).join(weights.select("node").hint("merge"), "node", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("words").alias("words")), "omh-texts")
-    known = weights.join(table.groupBy("node").agg(F.first("mark").alias("mark")), "node")
-    labels = link(cut(members.join(known, "node").select("key", "node", "n", "mark", "weight"), "omh-weighed"), texts)
+    known = cut(weights.join(table.groupBy("node").agg(F.first("n").alias("n"), F.first("mark").alias("mark")), "node"), "omh-known")
+    labels = link(members.select("key", "node"), known, texts)
 
     ids = table.groupBy("node").agg(F.min("doc_id").alias("least"))
     marked = cut(ids.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "omh-labels")

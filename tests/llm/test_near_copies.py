@@ -1,5 +1,6 @@
 """Order MinHash classes against an alignment of all pairs that share a run of words."""
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -226,3 +227,27 @@ def test_components(spark, seed):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert got == roots(nodes, [x for x in links if x[0] != x[1]])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_meet_their_leader_in_few_buckets(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    for i in range(200):
+        rows.append((i, " ".join(f"new{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in base)))
+    met, confirm = [], omh.confirm
+    monkeypatch.setattr(omh, "confirm", lambda pairs, texts: met.append(pairs.count()) or confirm(pairs, texts))
+    classes = {r.class_id for r in omh.classes(spark.createDataFrame([*rows, (200, " ".join(base))], "doc_id long, text string").repartition(4)).collect()}
+    assert classes == {0} and sum(met) < 16 * len(rows)
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_workers_hold_little():
+    assert peak_mb(omh.Characters) < 20
+    assert peak_mb(lambda: omh.sketch(np.arange(100_000, dtype=np.uint32))) < 30
