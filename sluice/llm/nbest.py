@@ -20,10 +20,12 @@ empty texts have one empty segmentation.  Texts with fewer segmentations than
 
 from __future__ import annotations
 
+import heapq
 import re
+import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +54,11 @@ class Segmentation(NamedTuple):
     ids: tuple[int, ...]
 
 
+def crc_of(raws: list[bytes]) -> int:
+    """crc32 of the text that bytes of words decode to."""
+    return zlib.crc32(text_of(b"".join(raws)).encode("utf-8", "surrogatepass"))
+
+
 def replace(open_ends: list[tuple], at: int, more: list[tuple], most: int) -> None:
     """Put the continuations of an end in its place and keep the best ``most`` ends.
 
@@ -89,9 +96,9 @@ class Model:
         self.whole = any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p) for p in pieces)
         self.surface = {i: p.replace(SPACE, " ").encode() for p, (_, i) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.split = (_WORDS if any(re.search(r"\w[.,]", p) for p in pieces) else _PARTS).findall
-        self.words: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
-        self.once: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
-        self.fresh: dict[str, tuple[int, tuple[int, ...], int | None]] = {}
+        self.words: dict[str, tuple[int, tuple[int, ...], int | None, bytes, bytes]] = {}
+        self.once: dict[str, tuple[int, tuple[int, ...], int | None, bytes, bytes]] = {}
+        self.fresh: dict[str, tuple[int, tuple[int, ...], int | None, bytes, bytes]] = {}
         self.searched: dict[tuple[str, int], list[tuple]] = {}
         self.keys: np.ndarray | None = None
 
@@ -134,8 +141,8 @@ class Model:
             if some:
                 self.fresh.update(zip(some, self.forward_many(np.ascontiguousarray(kinds[covered].T))))
 
-    def forward_many(self, kinds: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], int | None]]:
-        """``forward`` for words of one length (a column of characters each): best score, ids and lead of each word."""
+    def forward_many(self, kinds: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], int | None, bytes, bytes]]:
+        """``forward`` for words of one length (a column of characters each): what ``word`` gives for each of them."""
         length, n = kinds.shape
         best, second = np.full((2, length + 1, n), _NONE, np.int64)
         start_of, id_of = np.zeros((2, length + 1, n), np.int64)
@@ -168,7 +175,8 @@ class Model:
         flat, ends = ids[some].tolist(), np.cumsum(some.sum(axis=1)).tolist()
         lead = np.where(second[-1] > _NONE // 2, best[-1] - second[-1], -1).tolist()
         for a, b, total, ahead in zip([0, *ends], ends, best[-1].tolist(), lead):
-            yield total, tuple(flat[a:b]), ahead if ahead >= 0 else None
+            ids = tuple(flat[a:b])
+            yield total, ids, ahead if ahead >= 0 else None, *self.packed(ids)
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -222,8 +230,8 @@ class Model:
                 step(start, start + 1, self.lowest, self.uncovered(word[start]))
         return best, last, best[-1] - second[-1] if second[-1] > _NONE // 2 else None
 
-    def word(self, word: str) -> tuple[int, tuple[int, ...], int | None]:
-        """Best score and ids of a word, and its lead."""
+    def word(self, word: str) -> tuple[int, tuple[int, ...], int | None, bytes, bytes]:
+        """Best score and ids of a word, its lead, its ids packed, and the bytes that they decode to."""
         known = self.once.get(word)
         if known is not None:  # a second time: worth keeping
             if len(self.words) >= KEPT:
@@ -237,7 +245,8 @@ class Model:
             while at:
                 at, ids = last[at]
                 steps.append(ids)
-            known = best[-1], tuple([i for s in reversed(steps) for i in s]), lead
+            flat = tuple([i for s in reversed(steps) for i in s])
+            known = best[-1], flat, lead, *self.packed(flat)
         if len(word) <= 32:
             if len(self.once) >= KEPT:
                 self.once.clear()
@@ -289,41 +298,80 @@ class Model:
         return ([normal] if normal else []) if self.whole else self.split(normal)
 
     def nbest_words(self, words: list[str], n: int) -> list[tuple[int, list[tuple[int, ...]]]]:
-        known = [self.words.get(w) or self.word(w) for w in words]
-        total, ids = sum(k[0] for k in known), [k[1] for k in known]
-        out = [(total, ids)]
-        if n == 1 or not words:
-            return out
-        for changes, loss in self.along(words, known, n):
-            if changes:
-                other = ids.copy()
-                for at, segmentation in changes:
-                    other[at] = segmentation
-                out.append((total - loss, other))
-            elif loss == 0:
-                out[0] = (total, ids)
+        known = self.known(words)
+        best = [k[1] for k in known]
+        out = []
+        for score, changes in self.ranked(words, known, n):
+            ids = best.copy() if changes else best
+            for at, segmentation in changes:
+                ids[at] = segmentation
+            out.append((score, ids))
+        return out
+
+    def known(self, words: list[str]) -> list:
+        get = self.words.get
+        return [get(w) or self.word(w) for w in words]
+
+    def ranked(self, words: list[str], known: list, n: int) -> list[tuple[int, list[tuple[int, tuple[int, ...]]]]]:
+        """The best segmentations as (score, changes against the best segmentation of each word)."""
+        total = sum([k[0] for k in known])
+        out = [(total, [])]
+        if n > 1 and words:
+            out += [(total - loss, changes) for changes, loss in self.along(words, known, n) if changes]
         return out
 
+    def encoded(self, words: list[str], n: int) -> Iterator[tuple[int, bytes, int]]:
+        """The best segmentations of a text as (score, packed ids, crc32 of the decoded text).
+
+        Each segmentation of a word is packed and decoded once; a text is decoded again if a change alters its bytes."""
+        known = self.known(words)
+        packs, raws, crc = [k[3] for k in known], [k[4] for k in known], None
+        for score, changes in self.ranked(words, known, n):
+            mine, other = packs, []
+            if changes:
+                mine = packs.copy()
+                for at, ids in changes:
+                    mine[at], raw = self.packed(ids)
+                    if raw != raws[at]:
+                        other.append((at, raw))
+            if other:
+                turned = raws.copy()
+                for at, raw in other:
+                    turned[at] = raw
+                yield score, b"".join(mine), crc_of(turned)
+            else:
+                crc = crc_of(raws) if crc is None else crc
+                yield score, b"".join(mine), crc
+
     def along(self, words: list[str], known: list, n: int) -> Iterator[tuple[list[tuple[int, tuple[int, ...]]], int]]:
         """The n best choices of segmentations along the chain: (changes against the best, loss).
 
         Only words with the smallest leads matter, and of equal words only the first and last ones."""
-        leads = sorted((k[2], w) for w, k in dict(zip(words, known)).items() if k[2] is not None)
+        counts = Counter(words)
+        first = dict(zip(words, known))
+        leads = [(k[2], w) for w, k in first.items() if k[2] is not None]
         if not leads:
             yield [], 0
             return
-        places: dict[str, list[int]] = {}
-        for at, w in enumerate(words):
-            places.setdefault(w, []).append(at)
-        taken, enough, limit = [], 0, None
+        if len(leads) > 4 * n:  # only the least n - 1 leads, and those as small, can matter
+            most = heapq.nsmallest(n - 1, [x for x, _ in leads])[-1]
+            leads = [x for x in leads if x[0] <= most]
+        leads.sort()
+        chosen, enough, limit = set(), 0, None
         for lead, w in leads:
             if limit is not None and lead > limit:
                 break
-            at = places[w]
-            taken += at if len(at) <= 2 * n else at[:n] + at[-n:]
-            enough += len(at)
+            chosen.add(w)
+            enough += counts[w]
             if limit is None and enough >= n - 1:
                 limit = lead
+        places: dict[str, list[int]] = {}
+        for at, w in enumerate(words):
+            if w in chosen:
+                places.setdefault(w, []).append(at)
+        taken = []
+        for at in places.values():
+            taken += at if len(at) <= 2 * n else at[:n] + at[-n:]
         taken.sort(reverse=True)
         choices: dict[str, list[tuple]] = {}
         for at in taken:
@@ -343,13 +391,24 @@ class Model:
             at = taken[done]
             replace(ends, here, [(loss + more, done + 1, (*changes, (at, ids)) if k else changes) for _, k, more, ids in choices[words[at]]], n - given)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Text of a segmentation; the space that normalisation puts in front goes again."""
+        return text_of(self.raw(ids))
+
+    def raw(self, ids: Iterable[int]) -> bytes:
+        """The bytes that pieces stand for."""
         try:
-            raw = b"".join(map(self.surface.__getitem__, ids))
+            return b"".join([self.surface[i] for i in ids])
         except KeyError:  # ids that stand for no text
-            raw = b"".join([self.surface.get(i, b"") for i in ids])
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+            return b"".join([self.surface.get(i, b"") for i in ids])
+
+    def packed(self, ids: tuple[int, ...]) -> tuple[bytes, bytes]:
+        """Ids of a word as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+        return struct.pack(f"<{len(ids)}I", *ids), self.raw(ids)
+
+
+def text_of(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode_nbest(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -365,11 +424,8 @@ def encode_nbest(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", tex
                 out, texts = [], [m.words_of(text.as_py()) for text in part.column(1)]
                 m.learn(set().union(*texts))
                 for i, words in enumerate(texts):
-                    for rank, (score, parts) in enumerate(m.nbest_words(words, n), 1):
-                        ids = list(chain.from_iterable(parts))
-                        raw = np.array(ids, "<u4")
-                        decoded = m.decode(ids).encode("utf-8", "surrogatepass")
-                        out.append((i, rank, score / UNIT, len(ids), zlib.crc32(raw), zlib.crc32(decoded), *([raw.view("<i4")] if keep_ids else [])))
+                    for rank, (score, ids, text_crc) in enumerate(m.encoded(words, n), 1):
+                        out.append((i, rank, score / UNIT, len(ids) // 4, zlib.crc32(ids), text_crc, *([np.frombuffer(ids, "<i4")] if keep_ids else [])))
                 cols = list(zip(*out))
                 kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if keep_ids else [])]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *map(pa.array, cols[1:], kinds)],

@@ -131,3 +131,18 @@ def test_one_pass_over_many_words_is_the_pass_over_each(seed):
     assert set(learnt) == {w for w in words if len(w) <= nbest.LONGEST and all(c in each.pieces for c in w)}
     assert all(learnt[w] == each.word(w) for w in learnt)
     assert [many.word(w) for w in sorted(words)] == [each.word(w) for w in sorted(words)]
+
+
+def test_packed_words_are_those_of_the_whole_text(monkeypatch):
+    """Ids and texts put together from words are those of a whole segmentation, and no word is decoded for each of them."""
+    m = nbest.model(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "Some plain words, some words again \U0001f642 and a\nlast line.  Two  spaces\x00 日本語 " * 40
+    decoded, raw = [], m.raw
+    monkeypatch.setattr(m, "raw", lambda ids: decoded.append(ids) or raw(ids))
+    words = m.words_of(text)
+    got = list(m.encoded(words, 4))
+    assert len(got) == 4 and len(decoded) < len(words)
+    for (score, ids, crc), (want, parts) in zip(got, m.nbest_words(words, 4), strict=True):
+        flat = [i for part in parts for i in part]
+        assert score == want and np.frombuffer(ids, "<u4").tolist() == flat
+        assert crc == zlib.crc32(m.decode(flat).encode("utf-8", "surrogatepass"))
