@@ -30,7 +30,7 @@ from sluice.llm.words import blocks
 #: Documents a group holds on average.  Groups are only of this size so that one fits a task; larger ones waste less.
 GROUP_DOCS = 4096
 #: Bytes of text encoded at once (a longer text is taken alone).
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 2 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("grp", pa.int64()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])

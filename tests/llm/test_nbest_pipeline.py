@@ -4,12 +4,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sluice.llm import nbest
+from sluice.llm import nbest, packing
+from sluice.llm.encoding import encoder
+from sluice.llm.words import blocks
 from tests.conftest import SF001
-from tests.llm.test_near_copies import brute
+from tests.llm.test_near_copies import brute, peak_mb
 
 PIECES = "piece_bpe_32k.model"
 
@@ -146,3 +149,11 @@ def test_packed_words_are_those_of_the_whole_text(monkeypatch):
         flat = [i for part in parts for i in part]
         assert score == want and np.frombuffer(ids, "<u4").tolist() == flat
         assert crc == zlib.crc32(m.decode(flat).encode("utf-8", "surrogatepass"))
+
+
+def test_packing_workers_hold_little():
+    """8 MB of text are not encoded at once."""
+    text = " ".join(f"w{i % 997} of some plain words" for i in range(40))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * (8_000_000 // len(text)))], ["text"])
+    encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert peak_mb(lambda: [encode.closed(part.column(0), 1)[0].sum() for part in blocks(batch, 0, packing.ENCODE_BYTES)]) < 80
