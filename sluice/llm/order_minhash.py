@@ -54,7 +54,7 @@ K, PICK, SKETCHES, SIMILAR = 1, 7, 64, 0.8
 #: Longest text, in words, that is sketched as a short one, and the k-mers of its sketches.
 SHORT, PICK_SHORT = 16, 4
 #: 64-bit words of a text's mark.
-MARKS = 4
+MARKS = 16
 SEED = 1
 #: Of each round: one in so many buckets holds it, and its members are aligned with leaders of so many of its classes.
 FIRST = 8
@@ -283,8 +283,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that an alignment confirms.  ``texts``: ``node, words``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [similar(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (texts.select(F.col("node").alias(c), F.col("words").alias("w" + c)) for c in "ab")
@@ -310,10 +309,10 @@ def labelled_rows(rows: DataFrame, node: str, labels: DataFrame, name: str) -> D
 
 
 def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, node, label`` of the members of buckets that hold several classes."""
+    """``members`` with their ``label``, of the buckets that hold several classes."""
     marked = cut(labelled_rows(members, "node", labels, "label"), "omh-marked")
     apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    return cut(marked.join(apart, "key").select("key", "node", "label"), "omh-open")
+    return cut(marked.join(apart, "key"), "omh-open")
 
 
 def link(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
@@ -323,22 +322,20 @@ def link(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     copies were made from), then such members of classes that have not led yet, more of them in each round, so that what
     belongs together soon is one class.  The first round is held by one in ``FIRST`` of the buckets: copies share
     many, and a pair that has met in one need not meet in the others.  All buckets come after it.  Members meet
-    leaders by bucket, and what is left is made distinct before the alignment; lengths and marks are joined only to
-    members of buckets that hold several classes.  Members that are still in different classes are then paired with each
-    other."""
+    leaders by bucket, and what is left is made distinct before the alignment; lengths and marks are joined once, to
+    members of buckets that then hold several classes, and stay with them.  Members that are still in different classes
+    are then paired with each other."""
     labels, links, led = None, None, None
     foremost = Window.partitionBy("key").orderBy(F.desc("leader.weight"), F.desc("leader.node"))
     for share, most in ROUNDS:
         some = members if share == 1 else members.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-        if labels is None:
-            some = some.withColumn("label", F.col("node"))
-        else:
-            some = still_open(some, labels)
-            if share == 1:
-                members = some.select("key", "node")
-                if members.isEmpty():
-                    return labels
-        rows = cut(some.join(known, "node"), "omh-rows")
+        rows = some.withColumn("label", F.col("node")) if labels is None else still_open(some, labels)
+        if "mark" not in rows.columns:
+            rows = cut(rows.join(known, "node"), "omh-rows")
+        if share == 1:
+            members = rows.drop("label")
+            if members.isEmpty():
+                return labels
         heads = rows.groupBy("key", "label").agg(F.max(F.struct("weight", "node", "n", "mark")).alias("leader"))
         if led is not None:
             heads = heads.join(labelled_rows(led, "leader", labels, "label").select("key", "label"), ["key", "label"], "left_anti")
@@ -354,7 +351,7 @@ def link(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
         return labels
     # lengths within the threshold share one of two neighbouring length classes
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(1 / SIMILAR)) + 1e-9)
-    spread = members.join(known, "node").withColumn("size", F.explode(F.array(step, step + 1)))
+    spread = members.withColumn("size", F.explode(F.array(step, step + 1)))
     x, y = spread.alias("x"), spread.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
                   & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n", "x.mark", "y.mark"))

@@ -251,3 +251,17 @@ def peak_mb(run):
 def test_workers_hold_little():
     assert peak_mb(omh.Characters) < 20
     assert peak_mb(lambda: omh.sketch(np.arange(100_000, dtype=np.uint32))) < 30
+
+
+def test_texts_just_too_far_apart_are_not_aligned(spark, monkeypatch):
+    """Long texts of one template, pairwise at 0.71: they share buckets, but marks leave nearly all pairs out, and lengths and marks
+    are joined to a bucket's members twice at most."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(750)]
+    rows = [(i, " ".join(f"new{rng.randrange(10**6)}" if rng.random() < 0.087 else w for w in base)) for i in range(60)]
+    met, written, confirm, cut = [], [], omh.confirm, omh.cut
+    monkeypatch.setattr(omh, "confirm", lambda pairs, texts: met.append(pairs.distinct().count()) or confirm(pairs, texts))
+    monkeypatch.setattr(omh, "cut", lambda df, name: written.append(name) or cut(df, name))
+    classes = {(r.doc_id, r.class_id) for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert classes == set(brute(rows))
+    assert len(met) > 1 and sum(met) < 200 and written.count("omh-rows") <= 2
