@@ -20,7 +20,7 @@ empty texts have one empty segmentation.  Texts with fewer segmentations than
 
 from __future__ import annotations
 
-import heapq
+import math
 import re
 import struct
 import zlib
@@ -127,6 +127,9 @@ class Model:
         """One forward pass over all new words of a length at a time; words with characters that no piece covers are left out."""
         if self.keys is None:
             self.tabulate()
+        if len(self.once) + len(self.fresh) > KEPT:
+            self.once.clear()
+        self.once.update(self.fresh)
         by_length: dict[int, list[str]] = {}
         for w in words.difference(self.words).difference(self.once):
             if len(w) <= LONGEST:
@@ -139,9 +142,9 @@ class Model:
             covered = ((self.codes[kinds] == points) & (self.state_id[self.after(1, kinds)] >= 0)).all(axis=1)
             some = [w for w, c in zip(some, covered.tolist()) if c]
             if some:
-                self.fresh.update(zip(some, self.forward_many(np.ascontiguousarray(kinds[covered].T))))
+                self.fresh.update(zip(some, self.forward_many(np.ascontiguousarray(kinds[covered].T), some)))
 
-    def forward_many(self, kinds: np.ndarray) -> Iterator[tuple[int, tuple[int, ...], int | None, bytes, bytes]]:
+    def forward_many(self, kinds: np.ndarray, words: list[str]) -> Iterator[tuple[int, tuple[int, ...], int | None, bytes, bytes]]:
         """``forward`` for words of one length (a column of characters each): what ``word`` gives for each of them."""
         length, n = kinds.shape
         best, second = np.full((2, length + 1, n), _NONE, np.int64)
@@ -172,11 +175,12 @@ class Model:
             place = start_of[place, each]
         ids = np.array(steps[::-1]).T
         some = ids >= 0
-        flat, ends = ids[some].tolist(), np.cumsum(some.sum(axis=1)).tolist()
+        flat, ends = ids[some], np.cumsum(some.sum(axis=1)).tolist()
+        packs, flat = flat.astype("<u4").tobytes(), flat.tolist()
         lead = np.where(second[-1] > _NONE // 2, best[-1] - second[-1], -1).tolist()
-        for a, b, total, ahead in zip([0, *ends], ends, best[-1].tolist(), lead):
-            ids = tuple(flat[a:b])
-            yield total, ids, ahead if ahead >= 0 else None, *self.packed(ids)
+        for a, b, total, ahead, word in zip([0, *ends], ends, best[-1].tolist(), lead, words):
+            # pieces that cover a word decode to it
+            yield total, tuple(flat[a:b]), ahead if ahead >= 0 else None, packs[4 * a:4 * b], word.replace(SPACE, " ").encode()
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -184,15 +188,6 @@ class Model:
     def uncovered(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids.get(b, self.unknown) for b in char.encode("utf-8", "surrogatepass"))
 
-    def edges(self, word: str, end: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """Pieces that end at ``end``: (start, score, ids)."""
-        get = self.pieces.get
-        for start in range(max(0, end - self.longest), end):
-            if found := get(word[start:end]):
-                yield start, found[0], (found[1],)
-        if word[end - 1] not in self.pieces:
-            yield end - 1, self.lowest, self.uncovered(word[end - 1])
-
     def forward(self, word: str) -> tuple[list[int], list[tuple[int, tuple[int, ...]]], int | None]:
         """Viterbi: best score of every prefix with its last step, and the lead of the best
         segmentation over the second (None if it is the only one)."""
@@ -238,7 +233,7 @@ class Model:
                 self.words.clear()
             self.words[word] = known
             return known
-        known = self.fresh.pop(word, None)
+        known = self.fresh.get(word)
         if known is None:
             best, last, lead = self.forward(word)
             steps, at = [], len(word)
@@ -247,28 +242,48 @@ class Model:
                 steps.append(ids)
             flat = tuple([i for s in reversed(steps) for i in s])
             known = best[-1], flat, lead, *self.packed(flat)
-        if len(word) <= 32:
-            if len(self.once) >= KEPT:
-                self.once.clear()
-            self.once[word] = known
+            if len(word) <= 32:
+                if len(self.once) >= KEPT:
+                    self.once.clear()
+                self.once[word] = known
         return known
 
-    def choices(self, word: str, n: int) -> list[tuple]:
-        """The n best of a word, by their pieces from the end: (pieces from the end, rank, loss, ids)."""
-        known = self.searched.get((word, n))
-        if known is None:
-            found = self.search(word, n)
+    def choices(self, word: str, n: int, limit: float) -> list[tuple]:
+        """The n best of a word that lose at most ``limit``, by their pieces from the end: (pieces from the end, rank, loss, ids)."""
+        reach, known = self.searched.get((word, n), (-1, []))
+        if reach < limit:
+            found = self.search(word, n, limit)
             known = sorted((s.ids[::-1], k, found[0].score - s.score, s.ids) for k, s in enumerate(found))
             if len(word) <= 32:
                 if len(self.searched) >= KEPT // 4:
                     self.searched.clear()
-                self.searched[word, n] = known
+                self.searched[word, n] = limit, known
         return known
 
-    def search(self, word: str, n: int) -> list[Segmentation]:
+    def lattice(self, word: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """Best score of every prefix, and what can end at every place: (start, score, ids)."""
+        begins, length = self.begins.get, len(word)
+        best, into = [0] + [_NONE] * length, [[] for _ in range(length + 1)]
+        for start in range(length):
+            here = best[start]
+            for end in range(start + 1, length + 1):
+                found = begins(word[start:end], ())
+                if found == ():
+                    break
+                if found:
+                    score, piece = found
+                    into[end].append((start, score, (piece,)))
+                    if here + score > best[end]:
+                        best[end] = here + score
+            if word[start] not in self.pieces:
+                into[start + 1].append((start, self.lowest, self.uncovered(word[start])))
+                best[start + 1] = max(best[start + 1], here + self.lowest)
+        return best, into
+
+    def search(self, word: str, n: int, limit: float) -> list[Segmentation]:
         """Backward A-star over the lattice of one word: an end of a segmentation costs what the best
-        segmentation with that end loses, by the forward scores."""
-        best, _, _ = self.forward(word)
+        segmentation with that end loses, by the forward scores.  Ends that cost more than ``limit`` are left."""
+        best, into = self.lattice(word)
         ends: list[tuple] = [(0, len(word), None)]  # cost, place, ids of the piece there and what comes after it
         found: list[Segmentation] = []
         steps: dict[int, list[tuple]] = {}  # what can end at a place, in the order of its pieces from the end
@@ -278,8 +293,9 @@ class Model:
             if place:
                 nexts = steps.get(place)
                 if nexts is None:
-                    nexts = steps[place] = sorted((ids[::-1], best[place] - best[start] - score, start, ids) for start, score, ids in self.edges(word, place))
-                replace(ends, at, [(cost + c, start, (ids, tail)) for _, c, start, ids in nexts], n - len(found))
+                    nexts = [(ids[::-1], c, start, ids) for start, score, ids in into[place] if (c := best[place] - best[start] - score) <= limit]
+                    steps[place] = nexts = sorted(nexts) if len(nexts) > 1 else nexts
+                replace(ends, at, [(cost + c, start, (ids, tail)) for _, c, start, ids in nexts if cost + c <= limit], n - len(found))
                 continue
             del ends[at]
             ids = []
@@ -309,8 +325,8 @@ class Model:
         return out
 
     def known(self, words: list[str]) -> list:
-        get = self.words.get
-        return [get(w) or self.word(w) for w in words]
+        get, fresh = self.words.get, self.fresh.get
+        return [get(w) or fresh(w) or self.word(w) for w in words]
 
     def ranked(self, words: list[str], known: list, n: int) -> list[tuple[int, list[tuple[int, tuple[int, ...]]]]]:
         """The best segmentations as (score, changes against the best segmentation of each word)."""
@@ -354,7 +370,7 @@ class Model:
             yield [], 0
             return
         if len(leads) > 4 * n:  # only the least n - 1 leads, and those as small, can matter
-            most = heapq.nsmallest(n - 1, [x for x, _ in leads])[-1]
+            most = sorted([x for x, _ in leads])[n - 2]
             leads = [x for x in leads if x[0] <= most]
         leads.sort()
         chosen, enough, limit = set(), 0, None
@@ -365,10 +381,11 @@ class Model:
             enough += counts[w]
             if limit is None and enough >= n - 1:
                 limit = lead
+        if limit is None:  # no segmentation that loses more is among the n best
+            limit = math.inf
         places: dict[str, list[int]] = {}
-        for at, w in enumerate(words):
-            if w in chosen:
-                places.setdefault(w, []).append(at)
+        for at in [at for at, w in enumerate(words) if w in chosen]:
+            places.setdefault(words[at], []).append(at)
         taken = []
         for at in places.values():
             taken += at if len(at) <= 2 * n else at[:n] + at[-n:]
@@ -377,7 +394,7 @@ class Model:
         for at in taken:
             w = words[at]
             if w not in choices:
-                choices[w] = self.choices(w, n)
+                choices[w] = self.choices(w, n, limit)
         ends: list[tuple] = [(0, 0, ())]
         given = 0
         while ends and given < n:
@@ -389,7 +406,7 @@ class Model:
                 yield list(changes), loss
                 continue
             at = taken[done]
-            replace(ends, here, [(loss + more, done + 1, (*changes, (at, ids)) if k else changes) for _, k, more, ids in choices[words[at]]], n - given)
+            replace(ends, here, [(loss + more, done + 1, (*changes, (at, ids)) if k else changes) for _, k, more, ids in choices[words[at]] if loss + more <= limit], n - given)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of a segmentation; the space that normalisation puts in front goes again."""

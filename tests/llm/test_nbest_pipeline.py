@@ -151,6 +151,20 @@ def test_packed_words_are_those_of_the_whole_text(monkeypatch):
         assert crc == zlib.crc32(m.decode(flat).encode("utf-8", "surrogatepass"))
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_search_up_to_a_loss(seed):
+    """A search that is told the largest loss that matters gives the beginning of the whole search, and goes no farther."""
+    rng = random.Random(seed)
+    pieces = list(dict.fromkeys(list("ab") + ["".join(rng.choice("ab") for _ in range(rng.randint(2, 3))) for _ in range(5)]))
+    m = Small([(p, -rng.randint(0, 6)) for p in pieces])
+    word = "".join(rng.choice("aabbc") for _ in range(rng.randint(1, 9)))
+    whole = m.search(word, 6, float("inf"))
+    for limit in range(8):
+        assert m.search(word, 6, limit) == [s for s in whole if whole[0].score - s.score <= limit]
+        for reach in (limit, float("inf"), limit):  # what is kept serves smaller losses
+            assert {x[3] for x in m.choices(word, 6, reach)} >= {s.ids for s in whole if whole[0].score - s.score <= reach}
+
+
 def test_packing_workers_hold_little():
     """8 MB of text are not encoded at once."""
     text = " ".join(f"w{i % 997} of some plain words" for i in range(40))
