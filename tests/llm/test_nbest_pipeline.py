@@ -1,5 +1,6 @@
 """N-best segmentation against all segmentations, and the pipeline's stages."""
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -165,6 +166,45 @@ def test_search_up_to_a_loss(seed):
             assert {x[3] for x in m.choices(word, 6, reach)} >= {s.ids for s in whole if whole[0].score - s.score <= reach}
 
 
+def test_best_segmentations_need_no_call_for_each_word():
+    """New words get one pass and are put together by array: a text of 20,000 different words takes fewer calls."""
+    m = nbest.model(public_tokenizers.path(PIECES))
+    rng = random.Random(8)
+    words = m.words_of(" ".join(dict.fromkeys("".join(rng.choice("aeinorst") for _ in range(rng.randint(6, 12))) for _ in range(20_000))))
+    list(m.encoded(m.words_of("of some words"), 1))  # tables and imports of a first use
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        (score, ids, crc), = m.encoded(words, 1)
+    finally:
+        sys.setprofile(None)
+    assert len(words) > 19_000 and len(calls) < len(words)
+    (want, parts), = m.nbest_words(words, 1)
+    assert score == want and np.frombuffer(ids, "<u4").tolist() == [i for part in parts for i in part]
+    assert crc == zlib.crc32("".join(words).replace(nbest.SPACE, " ")[1:].encode())
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_many_texts_are_encoded_as_each(seed, monkeypatch):
+    """Ties, words that are forgotten in between, long words, empty texts, and characters that no piece or byte covers."""
+    monkeypatch.setattr(nbest, "KEPT", 6)
+    monkeypatch.setattr(nbest, "COMMON", 1 + seed % 3)
+    monkeypatch.setattr(nbest, "PASS", 1 + seed % 4)
+    rng = random.Random(seed)
+    pieces = list(dict.fromkeys([nbest.SPACE, *"abé", *("".join(rng.choice("abé.") for _ in range(rng.randint(2, 3))) for _ in range(5))]))
+    m = Small([(p, -rng.randint(0, 5)) for p in pieces])
+    m.byte_ids = {b: i for b, i in m.byte_ids.items() if b < 200 or seed % 2}
+    for _ in range(4):
+        texts = ["".join(rng.choice("aabé. \n雨c") for _ in range(rng.randint(0, 8))) for _ in range(5)] + ["", "ab" * 20]
+        n = rng.randint(1, 5)
+        for text, found in zip(texts, m.encoded_many([m.words_of(t) for t in texts], n), strict=True):
+            got = [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids, _ in found]
+            if len(text) < 10:
+                assert got == every(m, text, n), (seed, text)
+            assert [crc for _, _, crc in found] == [zlib.crc32(m.decode(ids).encode()) for _, ids in got]
+    assert len(m.row) <= 6 + len(texts) * 8
+
+
 def test_packing_workers_hold_little():
     """8 MB of text are not encoded at once."""
     text = " ".join(f"w{i % 997} of some plain words" for i in range(40))
